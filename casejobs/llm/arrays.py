@@ -12,6 +12,7 @@ import pyarrow as pa
 
 #: Bytes of text that are turned into arrays at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 2_000_000
+CHUNK_ROWS = 4096
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -47,11 +48,13 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a batch at row borders: (first row, end row, bytes, offsets) with about ``limit`` bytes each."""
+    """Cuts a batch at row borders: (first row, end row, bytes, offsets), each of ``limit`` bytes and CHUNK_ROWS rows at most,
+    or of one row."""
     raw, off = byte_view(batch.column(batch.schema.get_field_index(text)))
     row, n = 0, len(off) - 1
     while row < n:
         end = max(row + 1, int(np.searchsorted(off, off[row] + limit, side="right")) - 1)
+        end = min(end, row + CHUNK_ROWS)
         yield row, end, raw[off[row] : off[end]], off[row : end + 1] - off[row]
         row = end
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_nbsvm, quality_rules, secret_scan, sentencepiece_codec, topk
+from . import mixing, near_dedup, pii, quality_nbsvm, quality_rules, secret_scan, sentencepiece_codec, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_exact_topk": op6_exact_topk,
         "op7_quality_rules": op7_quality_rules,
+        "op8_near_dedup": op8_near_dedup,
         "op9_quality_nbsvm": op9_quality_nbsvm,
         "op10_personal_data": op10_personal_data,
     }
