@@ -1,6 +1,6 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-Shingles are windows of five words. A shingle weighs its count in the text times a rarity factor from 1 to 1.2 that
+Shingles are windows of five words. A shingle weighs a damped count in the text times a rarity factor from 1 to 1.2 that
 falls with its document frequency, counted over all documents in a fixed number of hash buckets. Consistent samples of
 the weighted shingles agree with the probability of the weighted Jaccard similarity; three samples make a band.
 Equal texts are one node. In each band's buckets every node is paired with a leader, the pairs are verified by exact
@@ -30,6 +30,8 @@ FREQUENCY_BITS = 18
 #: A shingle found once weighs up to so much more than one that all documents have. Small, so that one common passage
 #: does not count in full and yet a large group of near copies is not split over its rare differences.
 RARITY = 0.2
+#: A shingle found n times in a text counts 1 + DAMPING * ln(n).
+DAMPING = 0.2
 #: Ids of documents to verify are broadcast up to this number, and joined by a shuffle beyond.
 MAX_BROADCAST_IDS = 200_000
 
@@ -55,6 +57,10 @@ def _bucket(gram: np.ndarray) -> np.ndarray:
     return (gram >> np.uint64(_GRAM_BITS - FREQUENCY_BITS)).astype(np.int64)
 
 
+def _weights(gram: np.ndarray, count: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    return (1.0 + DAMPING * np.log(count)).astype(np.float32) * factor[_bucket(gram)]
+
+
 def rarity(docs: DataFrame) -> np.ndarray:
     """Rarity factor of each shingle bucket, from document frequencies over all documents."""
     size = 1 << FREQUENCY_BITS
@@ -116,7 +122,7 @@ def signatures(docs: DataFrame, factors: np.ndarray) -> DataFrame:
         for batch in batches:
             for row, end, raw, off in chunks(batch, "text"):
                 doc, gram, count = _shingles(raw, off)
-                found = sampler.samples(doc, gram, count * factor[_bucket(gram)], end - row)
+                found = sampler.samples(doc, gram, _weights(gram, count, factor), end - row)
                 has = np.zeros(end - row, bool)
                 has[doc] = True
                 flat = pa.array(found[has].ravel())
@@ -161,7 +167,7 @@ def verified(pairs: DataFrame, docs: DataFrame, factors: np.ndarray) -> DataFram
                     own: list[tuple] = []
                     for _, end, raw, off in chunks(pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(name))], ["text"]), "text"):
                         doc, gram, count = _shingles(raw, off)
-                        weight = count * factor[_bucket(gram)]
+                        weight = _weights(gram, count, factor)
                         cut = np.searchsorted(doc, np.arange(len(off)))
                         own += [(gram[cut[d] : cut[d + 1]], weight[cut[d] : cut[d + 1]]) for d in range(len(off) - 1)]
                     sides.append(own)
