@@ -4,7 +4,7 @@ Encoding is exact and needs no merge loop over the text: an Aho-Corasick automat
 position, the longest first; a piece may follow the last one only if re-merging the two together gives exactly these
 two; a position from which no piece fits is marked in a bit field, and the search backs up to a shorter piece.
 No piece has a space mark after another character, and characters outside the vocabulary never merge, so a text falls
-into independent runs (spaces and a word, or line ends), whose results are kept in a bounded table per task.
+into independent runs (spaces and a word, or line ends), whose results are kept in a bounded table per worker.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Results of runs, and of pair checks, that a task keeps at most.
-KEPT_RUNS = 300_000
+#: Results of runs, and of pair checks, that a Python worker keeps at most, from task to task.
+KEPT_RUNS = 800_000
 KEPT_PAIRS = 500_000
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -95,6 +96,7 @@ class Codec:
         self.pieces, self.scores = vocabulary.pieces, vocabulary.scores
         self.types = vocabulary.types
         self.id = {p: i for i, p in enumerate(self.pieces) if self.types[i] == _NORMAL}
+        self.characters = {p for p in self.id if len(p) == 1}
         self.end = self.pieces.index("</s>")
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.types[i] == _BYTE}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
@@ -103,8 +105,14 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
             if len(p) == 1 or self.merge(p) == [i]:  # a piece that its own characters don't merge to is never found
-                self.automaton.add_word(p, (len(p), i))
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
+        self.size = [len(p) for p in self.pieces]
+        self.shorter = [-1] * len(self.pieces)  # the longest piece that is a proper prefix
+        for p, i in self.id.items():
+            self.shorter[i] = next((self.id[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.automaton), -1)
+        self.digits = [f" {i}" for i in range(len(self.pieces))]
+        self.shown = [p.replace(SPACE, " ") for p in self.pieces]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.runs = _Runs(self)
 
@@ -137,34 +145,33 @@ class Codec:
         """Ids of a run whose characters are all in the vocabulary."""
         if len(run) == 1:
             return [self.id[run]]
-        starts: list[list[tuple[int, int]]] = [[] for _ in run]
-        for end, (size, i) in self.automaton.iter(run):
-            starts[end - size + 1].append((size, i))
+        size, longest = self.size, [-1] * len(run)
+        for end, i in self.automaton.iter(run):  # of the pieces with one start, the longest comes last
+            longest[end - size[i] + 1] = i
+        pairs, compatible, shorter = self.pairs, self.compatible, self.shorter
         failed = bytearray((len(run) >> 3) + 1)
         out: list[int] = []
-        tried: list[int] = []
-        pos = 0
-        rank = 0  # from the longest piece on
-        while pos < len(run):
-            options = starts[pos]
-            found = False
-            while rank < len(options):
-                size, i = options[-1 - rank]
-                end = pos + size
-                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], i)):
-                    out.append(i)
-                    tried.append(rank)
-                    pos, rank, found = end, 0, True
-                    break
-                rank += 1
-            if not found:
-                failed[pos >> 3] |= 1 << (pos & 7)
-                pos -= len(self.pieces[out.pop()])
-                rank = tried.pop() + 1
-        return out
+        pos, last, i = 0, -1, longest[0]
+        while True:
+            end = pos + size[i]
+            if failed[end >> 3] >> (end & 7) & 1 or last >= 0 and not (pairs.get((last, i)) or compatible(last, i)):
+                i = shorter[i]
+                while i < 0:  # nothing fits here: mark the position and back up
+                    failed[pos >> 3] |= 1 << (pos & 7)
+                    i = out.pop()
+                    pos -= size[i]
+                    last = out[-1] if out else -1
+                    i = shorter[i]
+                continue
+            out.append(i)
+            if end == len(run):
+                return out
+            pos, last, i = end, i, longest[end]
 
     def encode_run(self, run: str) -> list[int]:
         """Ids of a run; characters outside the vocabulary become bytes."""
+        if self.characters.issuperset(run):
+            return self.backtrack(run)
         ids: list[int] = []
         known = ""
         for c in run:
@@ -188,8 +195,10 @@ class Codec:
         return [*ids, self.end] if end else ids
 
     def decode(self, ids: list[int]) -> str:
-        """Text of any ids: control pieces are dropped, bytes that are no UTF-8 become U+FFFD, the leading space goes."""
-        return self._text(ids).removeprefix(" ") if ids else ""
+        """Text of any ids: control pieces are dropped, bytes that are no UTF-8 become U+FFFD, the leading space goes
+        (but not one that is given as a byte)."""
+        first = next((i for i in ids if self.types[i] != _CONTROL), self.end)
+        return self._text(ids) if first in self.byte_of else self._text(ids).removeprefix(" ")
 
     def _text(self, ids: list[int]) -> str:
         out: list[str] = []
@@ -221,22 +230,44 @@ _RUN = re.compile(r" *[^ \n]+|\n+| +")
 
 
 class _Runs(dict):
-    """run -> (number of ids, their text with a space before each, decoded text)"""
+    """run -> (number of ids, their text with a space before each, decoded text)
+
+    When the table is full it becomes the older half; what is used again moves to the new half.
+    """
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def __missing__(self, run: str) -> tuple[int, str, str]:
-        if len(self) >= KEPT_RUNS:
+        if len(self) >= KEPT_RUNS // 2:
+            self.older = dict(self)
             self.clear()
+        found = self.older.get(run)
+        if found is not None:
+            self[run] = found
+            return found
         ids = self.codec.encode_run(run.replace(" ", SPACE))
-        found = (len(ids), "".join([f" {i}" for i in ids]), self.codec._text(ids))
+        digits, shown = self.codec.digits, self.codec.shown
+        plain = self.codec.characters.issuperset(run.replace(" ", SPACE))
+        found = (len(ids), "".join([digits[i] for i in ids]), "".join([shown[i] for i in ids]) if plain else self.codec._text(ids))
         if len(run) <= 64:
             self[run] = found
         return found
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def _codec(key: str, vocabulary: Broadcast) -> Codec:
+    """The worker's codec for a vocabulary; the next task in this worker uses it again."""
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(vocabulary.value)
+    return _CODECS[key]
+
+
 def sentencepiece_roundtrip(docs: DataFrame, model_path: str) -> DataFrame:
     """Encodes each whole text (with the end id) and decodes the ids again.
 
@@ -253,10 +284,12 @@ def sentencepiece_encode(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def _run(docs: DataFrame, model_path: str, whole: bool) -> DataFrame:
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
+    loaded = Vocabulary.load(model_path)
+    key = hashlib.sha256(repr(loaded).encode()).hexdigest()
+    vocabulary = docs.sparkSession.sparkContext.broadcast(loaded)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary.value)
+        codec = _codec(key, vocabulary)
         end = str(codec.end)
         for batch in batches:
             for at in range(0, len(batch), 256):
