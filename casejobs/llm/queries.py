@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, pii, quality_nbsvm, quality_rules, secret_scan, sentencepiece_codec, topk
+from . import mixing, near_dedup, pii, quality_nbsvm, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
     base = [r.kind for r in secret_scan.RULES if r.base]
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_mixing": op2_mixing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op5_secret_scan": op5_secret_scan,
         "op6_exact_topk": op6_exact_topk,
         "op7_quality_rules": op7_quality_rules,
