@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import Words, chunks
@@ -206,6 +206,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     (null or empty) is in no class with others: its class_id is its doc_id. Rows with the same id are one document, so
     their classes are one. A row without an id finds the class of its text, or null. Other columns are left out.
     """
+    return classes(docs).select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each class of ``near_duplicates``, with all columns: that with the class's id.
+
+    Texts without words stay. Of several rows with one id one stays (by the hash of its text, then of all columns); rows
+    without an id stay once for each text, unless a row with an id is in their class.
+    """
+
+    def name(doc_id: Column, text_hash: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text_hash, F.lit("null")))
+
+    found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    unique = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), "text_hash"), F.lit("null"))
+    stays = found.groupBy(unique).agg(F.min(name(F.col("doc_id"), F.col("text_hash"))).alias("name")).select("name")
+    named = docs.select(F.struct("*").alias("doc"), name(F.col("doc_id"), F.sha2(F.col("text").cast("binary"), 256)).alias("name"))
+    first = F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("doc")))
+    return named.join(stays, "name", "left_semi").withColumn("place", first).where("place = 1").select("doc.*")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and class_id of each row; see ``near_duplicates``."""
     factors = rarity(docs)
     rows = written(signatures(docs, factors))
     texts = rows.where(F.col("samples").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min("samples").alias("samples"))
@@ -231,6 +254,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = checkpointed(links.union(verified(more, docs, factors)))
         labels = components(links)
 
-    classes = texts.select("text_hash", "node").join(labels, "node", "left").select("text_hash", F.coalesce("class", "node").alias("class"))
-    found = rows.select("doc_id", F.when(F.col("samples").isNotNull(), F.col("text_hash")).alias("text_hash"))
-    return found.join(classes, "text_hash", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+    known = texts.select("text_hash", "node").join(labels, "node", "left").select("text_hash", F.coalesce("class", "node").alias("class"))
+    return rows.select("doc_id", "text_hash").join(known, "text_hash", "left").select("doc_id", "text_hash", F.coalesce("class", "doc_id").alias("class_id"))

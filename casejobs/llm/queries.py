@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, pii, quality_nbsvm, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, topk
+from . import license_scan, mixing, near_dedup, pii, quality_nbsvm, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(_table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))), ",")
+    places = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["family"], x["line"].cast("string"))), ",")
+    return found.select("doc_id", F.size("found").cast("bigint").alias("n_paragraphs"), names.alias("families"), places.alias("paragraphs"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
     base = [r.kind for r in secret_scan.RULES if r.base]
@@ -63,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_mixing": op2_mixing,
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_license_scan": op4_license_scan,
         "op5_secret_scan": op5_secret_scan,
         "op6_exact_topk": op6_exact_topk,
         "op7_quality_rules": op7_quality_rules,

@@ -155,46 +155,72 @@ class Segment:
 
 
 
+class Scanner:
+    """Rules made ready in a task."""
+
+    def __init__(self, rules: tuple[Rule, ...], queries: list[Query]):
+        self.rules, self.queries = rules, queries
+        self.wanted = {g: i + 1 for i, g in enumerate(sorted(set().union(*(_grams(q) for q in queries))))}
+        self.table = np.zeros(1 << 24, np.uint8 if len(self.wanted) < 256 else np.int32)
+        for g, i in self.wanted.items():
+            a, b, c = g.encode()
+            self.table[(a << 16) | (b << 8) | c] = i
+        self.patterns = [re.compile(r.pattern) for r in rules]
+
+    def scan(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[list[tuple[int, int, int]]], list[str | None]]]:
+        """(first row, end row, spans as (start, rule, end), redacted texts), chunk by chunk."""
+        texts = batch.column(batch.schema.get_field_index("text"))
+        for row, end, raw, off in chunks(batch, "text"):
+            own = texts.slice(row, end - row).to_pylist()
+            segment = Segment(raw, off, self.wanted, self.table)
+            spans: list[list[tuple[int, int, int]]] = [[] for _ in own]
+            for i, (rule, query, pattern) in enumerate(zip(self.rules, self.queries, self.patterns)):
+                for d in segment.find(query).tolist():
+                    for m in pattern.finditer(own[d] or ""):
+                        if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                            spans[d].append((m.start(), i, m.end()))
+            for found in spans:
+                found.sort()
+            yield row, end, spans, [redact(text, found) if found else text for text, found in zip(own, spans)]
+
+
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``spans``, an array of (kind, start, end), and the redacted text.
 
     Starts and ends count code points, the end is exclusive; spans are ordered by start, then by the rule's place.
-    ``redacted`` has each span's characters replaced by one ``[SECRET]`` a run. Null texts count as empty, and their
+    ``redacted`` has each run of covered characters replaced by ``[SECRET]``. Null texts count as empty, and their
     redacted text is null. Rows with repeated or null ids are scanned each for itself; other columns are left out.
     """
-    queries = [trigram_query(r.pattern) for r in rules]
-    wanted = {g: i + 1 for i, g in enumerate(sorted(set().union(*(_grams(q) for q in queries))))}
-    kinds = [r.kind for r in rules]
+    queries, kinds = [trigram_query(r.pattern) for r in rules], [r.kind for r in rules]
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << 24, np.uint8 if len(wanted) < 256 else np.int32)
-        for g, i in wanted.items():
-            a, b, c = g.encode()
-            table[(a << 16) | (b << 8) | c] = i
-        compiled = [re.compile(r.pattern) for r in rules]
+        scanner = Scanner(rules, queries)
         for batch in batches:
-            texts = batch.column(1)
-            for row, end, raw, off in chunks(batch, "text"):
-                own = texts.slice(row, end - row).to_pylist()
-                segment = Segment(raw, off, wanted, table)
-                spans: list[list[tuple[int, int, int]]] = [[] for _ in own]
-                for i, (rule, query, pattern) in enumerate(zip(rules, queries, compiled)):
-                    for d in segment.find(query).tolist():
-                        for m in pattern.finditer(own[d] or ""):
-                            if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                                spans[d].append((m.start(), i, m.end()))
-                out, clean = [], []
-                for text, found in zip(own, spans):
-                    found.sort()
-                    out.append([{"kind": kinds[i], "start": a, "end": b} for a, i, b in found])
-                    clean.append(redact(text, found) if found else text)
-                kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(out, kind), pa.array(clean, pa.string())], ["doc_id", "spans", "redacted"])
+            for row, end, spans, clean in scanner.scan(batch):
+                out = [[{"kind": kinds[i], "start": a, "end": b} for a, i, b in found] for found in spans]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(out, span), pa.array(clean, pa.string())], ["doc_id", "spans", "redacted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>, redacted string")
 
 
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All rows and columns of ``docs``, with the texts redacted as in ``secret_scan``."""
+    queries = [trigram_query(r.pattern) for r in rules]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(rules, queries)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for row, end, _, clean in scanner.scan(batch):
+                columns = batch.slice(row, end - row).columns
+                columns[at] = pa.array(clean, batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:
     """Replaces runs of covered characters; ``found`` is sorted by start."""
     parts, last = [], 0
