@@ -8,9 +8,9 @@ Documents are dealt into blocks; all exchanges below are between blocks and buck
 2. The suffixes at these anchors, cut where the last window of the anchor ends and followed by the text before the
    anchor that its windows reach, are range-partitioned by splitters sampled from all suffixes, and each bucket sorts
    them by multikey quicksort. Equal suffixes are neighbours, so a document learns whether a smaller one has the same
-   suffix with all its windows. A token that stands beside another suffix with the same leading token, within the bucket
-   or across its boundary splitters, leaves its windows open.
-3. Open windows, as suffixes of 50 bytes, are range-partitioned and sorted in the same way, which decides the rest.
+   suffix with all its windows. Different suffixes with the same leading token are neighbours too; their windows are
+   sorted and compared in the bucket, unless the token goes on across a boundary splitter or has very many suffixes.
+3. The windows of those stay open: as suffixes of 50 bytes they are range-partitioned and sorted in the same way.
 
 Blocks send each distinct suffix once with its least id, so a passage that a third of all documents share costs a bucket
 one row per block. Decisions compare bytes, not hashes.
@@ -27,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import CHUNK_BYTES, byte_view, mix
+from .arrays import byte_view, mix
 
 LENGTH = 50
 TOKEN = 24
 #: Text bytes of a block, about; and the most buckets of an exchange.
 BLOCK_BYTES = 6_000_000
 MAX_BUCKETS = 4096
+#: Text bytes that are hashed at once, so that the arrays stay in the processor's caches.
+CHUNK_BYTES = 200_000
+#: Suffixes with one leading token that a bucket compares itself; and how many whose windows it sorts at once.
+GROUP_LIMIT, SLICE = 50_000, 30_000
 #: Documents, and suffixes of each, from which splitters are sampled.
 SAMPLE_DOCS, SAMPLE_SUFFIXES = 1024, 48
 
@@ -180,7 +184,7 @@ class Distinct:
 
 
 _SENT = "bucket int, block bigint, n bigint, records binary, least binary"
-_ANSWER = "block bigint, level int, bucket int, n bigint, one binary, two binary"
+_ANSWER = "block bigint, level int, bucket int, n bigint, one binary, two binary, masks binary"
 
 
 def _sent(block: int, bucket: list[int], rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
@@ -188,18 +192,19 @@ def _sent(block: int, bucket: list[int], rows: list[tuple[int, bytes, bytes]]) -
     return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "n": pa.array(n, pa.int64()), "records": pa.array(records, pa.binary()), "least": pa.array(least, pa.binary())})
 
 
-def _answer(sent: pa.Table, level: int, one: np.ndarray, two: np.ndarray) -> pa.Table:
+def _answer(sent: pa.Table, level: int, one: np.ndarray, two: np.ndarray, masks: np.ndarray | None = None) -> pa.Table:
     cut = np.concatenate([[0], np.cumsum(sent.column("n").to_numpy())])
     bits = [[np.packbits(x[a:b]).tobytes() for a, b in zip(cut, cut[1:])] for x in (one, two)]
-    return pa.table({"block": sent.column("block"), "level": pa.array([level] * len(sent), pa.int32()), "bucket": sent.column("bucket"), "n": sent.column("n"), "one": pa.array(bits[0], pa.binary()), "two": pa.array(bits[1], pa.binary())})
+    return pa.table({"block": sent.column("block"), "level": pa.array([level] * len(sent), pa.int32()), "bucket": sent.column("bucket"), "n": sent.column("n"), "one": pa.array(bits[0], pa.binary()), "two": pa.array(bits[1], pa.binary()), "masks": pa.array([b"" if masks is None else _squeeze(masks[a:b], True) for a, b in zip(cut, cut[1:])], pa.binary())})
 
 
-def _answers(table: pa.Table | None, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both bits of all of a block's records in a level, in order."""
-    rows = sorted((r for r in table.to_pylist() if r["level"] == level), key=lambda r: r["bucket"]) if table is not None else []
+def _answers(table: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both bits and the masks of all of a block's records in a level, in order."""
+    rows = sorted((r for r in table.to_pylist() if r["level"] == level), key=lambda r: r["bucket"])
     if not rows:
-        return np.zeros(0, bool), np.zeros(0, bool)
-    return tuple(np.concatenate([np.unpackbits(np.frombuffer(r[x], np.uint8), count=r["n"]) for r in rows]).astype(bool) for x in ("one", "two"))
+        return np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.uint32)
+    one, two = (np.concatenate([np.unpackbits(np.frombuffer(r[x], np.uint8), count=r["n"]) for r in rows]).astype(bool) for x in ("one", "two"))
+    return one, two, np.concatenate([_unsqueeze(r["masks"], r["n"], 4, True).view(np.uint32).ravel() if r["masks"] else np.zeros(r["n"], np.uint32) for r in rows])
 
 
 @dataclass
@@ -227,8 +232,7 @@ class Block:
         """Level 1: distinct token hashes, and whether two documents of the block have them."""
         key, begin, _ = self._distinct_keys()
         ids = self.anchor_ids[self._order]
-        end = np.append(begin[1:], len(ids)) - 1
-        several = ids[begin] != ids[end] if len(begin) else np.zeros(0, bool)
+        several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin) if len(begin) else np.zeros(0, bool)
         bucket = ((key >> np.uint64(32)) * np.uint64(self.plan.buckets) >> np.uint64(32)).astype(np.int64)
         cut = np.searchsorted(bucket, np.arange(self.plan.buckets + 1))
         short = key >> np.uint64(64 - self.plan.key_bits)
@@ -242,26 +246,26 @@ class Block:
     def _distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         short = np.uint64(64 - self.plan.key_bits)
         key = self.anchors.key >> short << short
-        self._order = np.lexsort((self.anchor_ids, key))
+        self._order = np.argsort(key)
         ordered = key[self._order]
         begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
         number = np.zeros(len(key), np.int64)
         number[self._order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
         return ordered[begin], begin, number
 
-    def shared(self, answers: pa.Table | None) -> Distinct:
+    def shared(self, answers: pa.Table) -> Distinct:
         """Level 2: suffixes at the anchors that occur in two documents or more."""
-        stays, _ = _answers(answers, 1)
+        stays = _answers(answers, 1)[0]
         number = self._distinct_keys()[2]
         self.at = np.flatnonzero(stays[number]) if len(number) else np.zeros(0, np.int64)
         a = self.anchors
         return Distinct(_contexts(self.raw, a.place[self.at], a.low[self.at], a.high[self.at]), self.anchor_ids[self.at])
 
-    def open_windows(self, answers: pa.Table | None) -> tuple[Distinct, Distinct]:
-        """Level 3: windows of suffixes that are first of their kind but share their token with others."""
+    def open_windows(self, answers: pa.Table) -> tuple[Distinct, Distinct]:
+        """Level 3: windows of suffixes that are first of their kind and that a bucket left open."""
         context = self.shared(answers)
-        self.repeated, several = _answers(answers, 2)
-        self.opened = np.flatnonzero(several & ~self.repeated) if context.n else np.zeros(0, np.int64)
+        self.repeated, left_open, self.masks = _answers(answers, 2)
+        self.opened = np.flatnonzero(left_open & ~self.repeated) if context.n else np.zeros(0, np.int64)
         first = self.at[context.first[self.opened]]
         low, size = self.anchors.low[first], self.anchors.high[first] - self.anchors.low[first] + 1
         self.begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -275,9 +279,9 @@ class Block:
         rows = [(int(cut[b + 1] - cut[b]), _squeeze(distinct.records[cut[b] : cut[b + 1]], False), _squeeze(distinct.least[cut[b] : cut[b + 1]], True)) for b in where]
         return _sent(self.number, where, rows)
 
-    def result(self, answers: pa.Table | None) -> pa.Table:
+    def result(self, answers: pa.Table) -> pa.Table:
         context, window = self.open_windows(answers)
-        found, _ = _answers(answers, 3)
+        found = _answers(answers, 3)[0]
         removed = np.zeros(len(self.raw) + 1, np.int64)  # first as steps: +1 where removed windows begin, -1 after the last
         a = self.anchors
         if context.n:
@@ -285,6 +289,10 @@ class Block:
             later = self.anchor_ids[self.at] > context.least[own]
             whole = later | self.repeated[own]
             removed += np.bincount(a.low[self.at[whole]], minlength=len(removed)) - np.bincount(a.high[self.at[whole]] + 1, minlength=len(removed))
+            some = np.flatnonzero(~whole & (self.masks[own] > 0))
+            i, j = np.nonzero(self.masks[own[some], None] >> np.arange(_SPAN, dtype=np.uint32) & np.uint32(1))
+            gone = a.low[self.at[some[i]]] + j
+            removed += np.bincount(gone, minlength=len(removed)) - np.bincount(gone + 1, minlength=len(removed))
             if window.n:
                 bad = (self.window_ids > window.least[window.number]) | found[window.number]
                 slot = np.full(context.n, -1)
@@ -321,28 +329,77 @@ def _match_keys(sent: pa.Table) -> pa.Table:
     return _answer(sent, 1, several, several)
 
 
-def _sort_bucket(sent: pa.Table, level: int, width: int, splitters: np.ndarray) -> pa.Table:
-    """Sorts a bucket's suffixes: is there an equal one of a smaller id; is there another with the same leading token."""
+def _received(sent: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     rows = sent.to_pylist()
     records = np.concatenate([_unsqueeze(r["records"], r["n"], width, False) for r in rows])
-    least = np.concatenate([_unsqueeze(r["least"], r["n"], 8, True).view(np.int64).ravel() for r in rows])
+    return records, np.concatenate([_unsqueeze(r["least"], r["n"], 8, True).view(np.int64).ravel() for r in rows])
+
+
+def _sort_windows(sent: pa.Table) -> pa.Table:
+    """Sorts a bucket's windows: is there an equal one of a smaller id?"""
+    records, least = _received(sent, _WINDOW)
+    order, same = multikey_sort(_words(records))
+    begin = np.flatnonzero(np.concatenate([[True], ~same]))
+    repeated = np.zeros(len(order), bool)
+    repeated[order] = np.repeat(np.minimum.reduceat(least[order], begin), np.diff(np.append(begin, len(order)))) < least[order]
+    return _answer(sent, 3, repeated, repeated)
+
+
+def _sort_contexts(sent: pa.Table, splitters: np.ndarray) -> pa.Table:
+    """Sorts a bucket's suffixes: has a smaller id an equal one; which single windows does a smaller id have; are they open?"""
+    records, ids = _received(sent, _CONTEXT)
     words = _words(records)
     order, same = multikey_sort(words)
     begin = np.flatnonzero(np.concatenate([[True], ~same]))
     size = np.diff(np.append(begin, len(order)))
+    least = np.minimum.reduceat(ids[order], begin)  # of each distinct suffix
     repeated = np.zeros(len(order), bool)
-    repeated[order] = np.repeat(np.minimum.reduceat(least[order], begin), size) < least[order]
-    token = words[order][:, : TOKEN // 8]
-    token_begin = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]).any(axis=1)]))
-    token_size = np.diff(np.append(token_begin, len(order)))
-    kinds = np.add.reduceat(np.concatenate([[1], (~same).astype(np.int64)]), token_begin)
-    several = np.repeat(kinds > 1, token_size)
+    repeated[order] = np.repeat(least, size) < ids[order]
+
+    first = order[begin]
+    token = words[first][:, : TOKEN // 8]
+    group_begin = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]).any(axis=1)]))
+    kinds = np.diff(np.append(group_begin, len(first)))
+    beyond = kinds > GROUP_LIMIT
     bucket = sent.column("bucket")[0].as_py()
     for edge in splitters[max(0, bucket - 1) : bucket + 1]:  # a token at a boundary may go on beyond it
-        several |= (token == _words(np.frombuffer(edge.ljust(width, b"\0"), np.uint8)[None])[0, : TOKEN // 8]).all(axis=1)
-    out = np.zeros(len(order), bool)
-    out[order] = several
-    return _answer(sent, level, repeated, out)
+        beyond |= (token[group_begin] == _words(np.frombuffer(edge.ljust(_CONTEXT, b"\0"), np.uint8)[None])[0, : TOKEN // 8]).all(axis=1)
+    mask = np.zeros(len(first), np.uint32)
+    here = np.flatnonzero(np.repeat((kinds > 1) & ~beyond, kinds))
+    group = np.repeat(np.arange(len(kinds)), kinds)[here]
+    at = 0
+    while at < len(here):
+        end = min(len(here), at + SLICE)
+        end = end if end == len(here) else int(np.searchsorted(group, group[end], side="left"))
+        end = end if end > at else int(np.searchsorted(group, group[at], side="right"))
+        part = here[at:end]
+        mask[part] = _window_masks(records[first[part]], least[part])
+        at = end
+    out, masks = np.zeros(len(order), bool), np.zeros(len(order), np.uint32)
+    out[order] = np.repeat(np.repeat(beyond, kinds), size)
+    masks[order] = np.repeat(mask, size)
+    return _answer(sent, 2, repeated, out, masks)
+
+
+def _window_masks(records: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each suffix, a bit for each of its windows that also stands in a suffix of a smaller id."""
+    right, left = records[:, 78].astype(np.int64), records[:, 79].astype(np.int64)
+    canvas = np.zeros((len(records), _LEFT + LENGTH), np.uint8)
+    at = np.arange(_LEFT) - (_LEFT - left[:, None])
+    canvas[:, :_LEFT] = np.where(at >= 0, np.take_along_axis(records, LENGTH + np.maximum(at, 0), axis=1), 0)
+    canvas[:, _LEFT:] = records[:, :LENGTH]
+    count = left + right - LENGTH + 1
+    owner = np.repeat(np.arange(len(records)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    windows = np.zeros((len(owner), _WINDOW), np.uint8)
+    start = owner * canvas.shape[1] + _LEFT - left[owner] + place
+    windows[:, :LENGTH] = canvas.ravel()[start[:, None] + np.arange(LENGTH)]
+    order, same = multikey_sort(_words(windows))
+    begin = np.flatnonzero(np.concatenate([[True], ~same]))
+    low = np.empty(len(order), np.int64)
+    low[order] = np.repeat(np.minimum.reduceat(least[owner[order]], begin), np.diff(np.append(begin, len(order))))
+    bits = np.where(low < least[owner], np.uint32(1) << place.astype(np.uint32), np.uint32(0)).astype(np.uint32)
+    return np.bitwise_or.reduceat(bits, np.cumsum(count) - count)
 
 
 def _splitters(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -401,10 +458,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return Block(table, plan.value).result(answers)
 
     def sort_contexts(sent: pa.Table) -> pa.Table:
-        return _sort_bucket(sent, 2, _CONTEXT, plan.value.contexts)
+        return _sort_contexts(sent, plan.value.contexts)
 
     def sort_windows(sent: pa.Table) -> pa.Table:
-        return _sort_bucket(sent, 3, _WINDOW, plan.value.windows)
+        return _sort_windows(sent)
 
     by_block = dealt.groupBy("block")
     first = by_block.applyInArrow(keys, _SENT).groupBy("bucket").applyInArrow(_match_keys, _ANSWER)
