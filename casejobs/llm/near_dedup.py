@@ -3,9 +3,11 @@
 Shingles are windows of five words. A shingle weighs a damped count in the text times a rarity factor from 1 to 1.2 that
 falls with its document frequency, counted over all documents in a fixed number of hash buckets. Consistent samples of
 the weighted shingles agree with the probability of the weighted Jaccard similarity; three samples make a band.
-Equal texts are one node. In each band's buckets every node is paired with a leader, the pairs are verified by exact
-weighted Jaccard similarity, and linked nodes form classes. Buckets that still hold several classes are then compared
-across the classes, so that no candidate pair between two classes stays unverified.
+Equal texts are one node. In each band's buckets every node is paired with a leader (by turns the node that shares most
+buckets, and one by hash), the pairs are verified by exact weighted Jaccard similarity, and linked nodes form classes.
+Buckets that still hold several classes are then compared across the classes, so that no candidate pair between two
+classes is lost. Most of these pairs need no look at the texts: what a text shares with no other of these texts bounds
+every similarity it can have, so texts with much of their own, as edited copies of one text have, drop out exactly.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ FREQUENCY_BITS = 18
 RARITY = 0.2
 #: A shingle found n times in a text counts 1 + DAMPING * ln(n).
 DAMPING = 0.2
+#: For sums of rounded weights.
+SLACK = 1e-4
 #: Ids of documents to verify are broadcast up to this number, and joined by a shuffle beyond.
 MAX_BROADCAST_IDS = 200_000
 
@@ -114,7 +118,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, factors: np.ndarray) -> DataFrame:
-    """(doc_id, text_hash, samples) of each row; samples are null for a text without words."""
+    """(doc_id, text_hash, samples, weight) of each row; samples are null for a text without words."""
     shared = docs.sparkSession.sparkContext.broadcast(factors)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,16 +126,17 @@ def signatures(docs: DataFrame, factors: np.ndarray) -> DataFrame:
         for batch in batches:
             for row, end, raw, off in chunks(batch, "text"):
                 doc, gram, count = _shingles(raw, off)
-                found = sampler.samples(doc, gram, _weights(gram, count, factor), end - row)
+                weight = _weights(gram, count, factor)
+                found, total = sampler.samples(doc, gram, weight, end - row), np.bincount(doc, weights=weight, minlength=end - row)
                 has = np.zeros(end - row, bool)
                 has[doc] = True
                 flat = pa.array(found[has].ravel())
                 offsets = np.concatenate([[0], np.cumsum(np.where(has, SAMPLES, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~has))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), lists], ["doc_id", "text_hash", "samples"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), lists, pa.array(total)], ["doc_id", "text_hash", "samples", "weight"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), "text")
-    return rows.mapInArrow(work, "doc_id bigint, text_hash string, samples array<bigint>")
+    return rows.mapInArrow(work, "doc_id bigint, text_hash string, samples array<bigint>, weight double")
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -174,14 +179,35 @@ def verified(pairs: DataFrame, docs: DataFrame, factors: np.ndarray) -> DataFram
                 good = pa.array([weighted_jaccard(x, y) >= SIMILARITY for x, y in zip(*sides)], pa.bool_())
                 yield part.select(["a", "b"]).filter(good)
 
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(ids, "node", "left_semi")
+    texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
     return pairs.join(one, "a").join(two, "b").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the documents with these ids."""
+    ids = checkpointed(nodes)
+    if ids.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(ids, "node", "left_semi")
+
+
+def own_weight(docs: DataFrame, nodes: DataFrame, factors: np.ndarray) -> DataFrame:
+    """(node, own): the weight of each node's shingles that no other of these nodes has."""
+    shared = docs.sparkSession.sparkContext.broadcast(factors)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for row, _, raw, off in chunks(batch, "text"):
+                doc, gram, count = _shingles(raw, off)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row + doc]), pa.array(gram.astype(np.int64)), pa.array(_weights(gram, count, shared.value))], ["node", "gram", "weight"])
+
+    grams = _texts_of(docs, nodes).mapInArrow(work, "node bigint, gram bigint, weight float")
+    alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
+    return alone.groupBy("node").agg(F.sum("weight").alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, class) of all nodes of the edges; a class is the least node that is reached.
 
@@ -199,6 +225,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _open_buckets(placed: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several classes."""
+    several = placed.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "key")
+    return placed.join(several, ["band", "key"], "left_semi")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``class_id``, the least doc_id of its class.
 
@@ -231,23 +263,31 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and class_id of each row; see ``near_duplicates``."""
     factors = rarity(docs)
     rows = written(signatures(docs, factors))
-    texts = rows.where(F.col("samples").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min("samples").alias("samples"))
+    texts = rows.where(F.col("samples").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min("samples").alias("samples"), F.min("weight").alias("weight"))
     texts = written(texts)
-    nodes = texts.where(F.col("node").isNotNull()).select("node", "samples")
+    nodes = texts.where(F.col("node").isNotNull()).select("node", "samples", "weight")
     bands = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.slice("samples", 1 + ROWS * i, ROWS)).alias("key")) for i in range(BANDS)]
     members = nodes.select("node", F.explode(F.array(*bands)).alias("x")).select("node", "x.band", "x.key")
-    leaders = members.groupBy("band", "key").agg(F.min_by("node", F.struct(F.xxhash64("node", F.col("band") % 2), "node")).alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    led = written(members.join(leaders, ["band", "key"]))
-    ordered = led.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    held = written(members.join(shared, ["band", "key"]))
+    central = held.groupBy("node").agg(F.sum("n").alias("central"))
+    order = F.struct(F.when(F.col("band") % 2 == 0, F.col("central")), F.xxhash64("node"), "node")
+    leaders = held.join(central, "node").groupBy("band", "key").agg(F.max_by("node", order).alias("leader"))
+    ordered = held.join(leaders, ["band", "key"]).where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     tested = checkpointed(plausible(ordered, nodes))
     links = checkpointed(verified(tested, docs, factors))
     labels = components(links)
 
-    placed = led.join(labels, "node", "left").select("node", "band", "key", F.coalesce("class", "node").alias("class"))
-    open_buckets = placed.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "key")
-    placed = checkpointed(placed.join(open_buckets, ["band", "key"], "left_semi"))
-    left, right = placed.alias("l"), placed.alias("r")
-    across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")))
+    placed = held.join(labels, "node", "left").select("node", "band", "key", F.coalesce("class", "node").alias("class"))
+    placed = checkpointed(_open_buckets(placed))
+    own = own_weight(docs, placed.select("node").distinct(), factors)
+    bounds = placed.select("node").distinct().join(own, "node", "left").join(nodes.select("node", "weight"), "node")
+    bounds = bounds.select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common")).where(F.col("common") >= (SIMILARITY - SLACK) * F.col("weight"))
+    viable = checkpointed(_open_buckets(placed.join(checkpointed(bounds), "node")))
+    left, right = viable.alias("l"), viable.alias("r")
+    least = F.least("l.common", "r.common")
+    possible = least >= (SIMILARITY - SLACK) * (F.col("l.weight") + F.col("r.weight") - least)
+    across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & possible)
     across = across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     more = checkpointed(plausible(across.join(tested, ["a", "b"], "left_anti"), nodes))
     if not more.isEmpty():
