@@ -34,6 +34,8 @@ FREQUENCY_BITS = 18
 RARITY = 0.2
 #: A shingle found n times in a text counts 1 + DAMPING * ln(n).
 DAMPING = 0.2
+#: How often buckets with several classes are compared with one more leader, before all pairs between classes are.
+LEADER_TURNS = 3
 #: For sums of rounded weights.
 SLACK = 1e-4
 #: Ids of documents to verify are broadcast up to this number, and joined by a shuffle beyond.
@@ -127,7 +129,7 @@ def signatures(docs: DataFrame, factors: np.ndarray) -> DataFrame:
             for row, end, raw, off in chunks(batch, "text"):
                 doc, gram, count = _shingles(raw, off)
                 weight = _weights(gram, count, factor)
-                found, total = sampler.samples(doc, gram, weight, end - row), np.bincount(doc, weights=weight, minlength=end - row)
+                found, total = sampler.samples(doc, gram, weight, end - row), np.bincount(doc, weights=weight, minlength=end - row).astype(np.float64)
                 has = np.zeros(end - row, bool)
                 has[doc] = True
                 flat = pa.array(found[has].ravel())
@@ -231,6 +233,22 @@ def _open_buckets(placed: DataFrame) -> DataFrame:
     return placed.join(several, ["band", "key"], "left_semi")
 
 
+def _possible(left: str, right: str) -> Column:
+    """Whether the weights that two texts have in common with others allow a similarity of 0.8."""
+    least = F.least(f"{left}.common", f"{right}.common")
+    return least >= (SIMILARITY - SLACK) * (F.col(f"{left}.weight") + F.col(f"{right}.weight") - least)
+
+
+def _led_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a bucket's leader with the bucket's nodes of other classes: first the node with the least of its own, which
+    is nearest to what all were copied from, then nodes by hash."""
+    order = F.struct(F.col("common") / F.col("weight"), F.xxhash64("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)))
+    leaders = placed.groupBy("band", "key").agg(F.max_by(F.struct("node", "class", "weight", "common"), order).alias("r"))
+    pairs = placed.select("band", "key", F.struct("node", "class", "weight", "common").alias("l")).join(leaders, ["band", "key"])
+    pairs = pairs.where((F.col("l.class") != F.col("r.class")) & _possible("l", "r"))
+    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``class_id``, the least doc_id of its class.
 
@@ -283,16 +301,25 @@ def classes(docs: DataFrame) -> DataFrame:
     own = own_weight(docs, placed.select("node").distinct(), factors)
     bounds = placed.select("node").distinct().join(own, "node", "left").join(nodes.select("node", "weight"), "node")
     bounds = bounds.select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common")).where(F.col("common") >= (SIMILARITY - SLACK) * F.col("weight"))
-    viable = checkpointed(_open_buckets(placed.join(checkpointed(bounds), "node")))
-    left, right = viable.alias("l"), viable.alias("r")
-    least = F.least("l.common", "r.common")
-    possible = least >= (SIMILARITY - SLACK) * (F.col("l.weight") + F.col("r.weight") - least)
-    across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & possible)
-    across = across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    more = checkpointed(plausible(across.join(tested, ["a", "b"], "left_anti"), nodes))
-    if not more.isEmpty():
-        links = checkpointed(links.union(verified(more, docs, factors)))
+    viable = checkpointed(placed.join(checkpointed(bounds), "node"))
+
+    def compare(pairs: DataFrame) -> bool:
+        """Verifies pairs that were not tested yet; whether there were any. Classes follow."""
+        nonlocal tested, links, labels, viable
+        new = checkpointed(plausible(pairs.distinct().join(tested, ["a", "b"], "left_anti"), nodes))
+        if new.isEmpty():
+            return False
+        tested = checkpointed(tested.union(new))
+        links = checkpointed(links.union(verified(new, docs, factors)))
         labels = components(links)
+        viable = checkpointed(viable.drop("class").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")))
+        return True
+
+    for turn in range(LEADER_TURNS):
+        compare(_led_pairs(_open_buckets(viable), turn))
+    left, right = _open_buckets(viable).alias("l"), _open_buckets(viable).alias("r")
+    across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & _possible("l", "r"))
+    compare(across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")))
 
     known = texts.select("text_hash", "node").join(labels, "node", "left").select("text_hash", F.coalesce("class", "node").alias("class"))
     return rows.select("doc_id", "text_hash").join(known, "text_hash", "left").select("doc_id", "text_hash", F.coalesce("class", "doc_id").alias("class_id"))
