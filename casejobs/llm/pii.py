@@ -28,6 +28,8 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 LEAST_CHARS, LEAST_DIGITS = 6, 4
 ROUNDS = 2
+#: Characters before a token in which the word beside it is looked for.
+NEAR_CHARS = 200
 #: A pattern of high confidence: share of known instances, and how many different ones.
 CONFIDENCE = 0.9
 SUPPORT = 5
@@ -35,22 +37,38 @@ SUPPORT = 5
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 
+_HIT = "struct<start:bigint,end:bigint,hit:string,gap:string,next:string>"
+#: Matches that one running sum goes over; the sums of these parts run on in an outer one, so that long lists of
+#: matches are not copied for each match.
+_PART_SIZE = 256
+_ALL = 1_000_000_000
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, found) of all matches; positions in code points.
+    """Array of (start, end, hit, gap, next) of all matches: positions in code points, the text before and after.
 
     The pieces between matches and the matches alternate, so a running sum of lengths gives every position.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,hit:string,gap:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
+    gaps = F.split(text, pattern, -1)
+    pieces = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.slice(gaps, 2, _ALL).alias("next"))
+    n_parts = F.ceil((F.size(gaps)) / F.lit(_PART_SIZE)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n_parts - 1), lambda i: F.struct(i.alias("i")))
+    # the pieces stand in an array of one, so that they are made once and not again for each part
+    cut = F.flatten(F.transform(F.array(pieces), lambda p: F.transform(parts, lambda i: F.slice(p, i["i"] * _PART_SIZE + 1, _PART_SIZE))))
+
+    def one(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["gap"].alias("gap"))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+        hit = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["gap"].alias("gap"), x["next"].alias("next"))
+        return F.struct(end.cast("bigint").alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    def part(acc: Column, pieces: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{_HIT}>").alias("out"))
+        return F.aggregate(pieces, start, one, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{_HIT}>>").alias("out"))
+    found = F.aggregate(cut, start, part, lambda acc: F.flatten(acc["out"]))
+    return F.filter(found, lambda m: m["hit"].isNotNull())
 
 
 def digits(text: Column) -> Column:
@@ -83,7 +101,7 @@ def base_spans(text: Column) -> Column:
 
     def of_kind(kind: str) -> Column:
         pattern, needs = KINDS[kind]
-        hits = F.filter(matches(text, pattern), lambda m: m["hit"].isNotNull() & valid(kind, m["hit"]))
+        hits = F.filter(matches(text, pattern), lambda m: valid(kind, m["hit"]))
         spans = F.transform(hits, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
         return F.when(text.contains(needs) if kind == "email" else text.rlike(needs), spans).otherwise(none)
 
@@ -92,20 +110,16 @@ def base_spans(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Array of (start, end, token, left, right): identifier-like tokens without outer marks, and the words beside them."""
-    hits = matches(text, TOKEN)
-    after = F.transform(hits, lambda m, i: F.struct(m.alias("m"), F.coalesce(F.get(hits, i + 1)["gap"], F.lit("")).alias("next")))
-
-    def token(x: Column) -> Column:
-        hit = x["m"]["hit"]
-        lead = F.length(F.regexp_extract(hit, r"^[^A-Za-z0-9+]*+", 0))
-        bare = F.regexp_replace(hit, r"^[^A-Za-z0-9+]++|[^A-Za-z0-9]++$", "")
-        begin = x["m"]["start"] + lead
-        left = F.regexp_extract(x["m"]["gap"], r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$", 1)
-        right = F.regexp_extract(x["next"], r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]{1,40})", 1)
+
+    def token(m: Column) -> Column:
+        lead = F.length(F.regexp_extract(m["hit"], r"^[^A-Za-z0-9+]*+", 0))
+        bare = F.regexp_replace(m["hit"], r"^[^A-Za-z0-9+]++|[^A-Za-z0-9]++$", "")
+        begin = m["start"] + lead
+        left = F.regexp_extract(F.right(m["gap"], F.lit(NEAR_CHARS)), r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$", 1)
+        right = F.regexp_extract(m["next"], r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]{1,40})", 1)
         return F.struct(begin.alias("start"), (begin + F.length(bare)).alias("end"), bare.alias("token"), F.lower(left).alias("left"), F.lower(right).alias("right"))
 
-    # the last piece has no match; what stands after the last match is its right context
-    found = F.transform(F.filter(after, lambda x: x["m"]["hit"].isNotNull()), token)
+    found = F.transform(matches(text, TOKEN), token)
     return F.filter(found, lambda t: (F.length(t["token"]) >= LEAST_CHARS) & (F.length(digits(t["token"])) >= LEAST_DIGITS))
 
 
