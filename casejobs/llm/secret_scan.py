@@ -82,13 +82,13 @@ def trigram_query(pattern: str) -> Query:
                 exact = {a + b for a in exact for b in texts}
                 continue
             if exact is not None:
-                needed.append(_join("or", [_of_text(x) for x in exact]))
+                needed.append(_join("or", [_of_text(x) for x in sorted(exact)]))
             needed.append(query)
             exact = texts
         if not needed:
-            return exact, _join("or", [_of_text(x) for x in exact or {""}])
+            return exact, _join("or", [_of_text(x) for x in sorted(exact or {""})])
         if exact is not None:
-            needed.append(_join("or", [_of_text(x) for x in exact]))
+            needed.append(_join("or", [_of_text(x) for x in sorted(exact)]))
         return None, _join("and", needed)
 
     def one(op, arg) -> tuple[set[str] | None, Query]:
