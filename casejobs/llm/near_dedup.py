@@ -3,11 +3,11 @@
 Shingles are windows of five words. A shingle weighs a damped count in the text times a rarity factor from 1 to 1.2 that
 falls with its document frequency, counted over all documents in a fixed number of hash buckets. Consistent samples of
 the weighted shingles agree with the probability of the weighted Jaccard similarity; three samples make a band.
-Equal texts are one node. In each band's buckets every node is paired with a leader (by turns the node that shares most
-buckets, and one by hash), the pairs are verified by exact weighted Jaccard similarity, and linked nodes form classes.
-Buckets that still hold several classes are then compared across the classes, so that no candidate pair between two
-classes is lost. Most of these pairs need no look at the texts: what a text shares with no other of these texts bounds
-every similarity it can have, so texts with much of their own, as edited copies of one text have, drop out exactly.
+Equal texts are one node. What a text shares with no other text of all buckets bounds every similarity it can have, so
+texts with much of their own, as far edited copies of one text have, drop out exactly. In each band's buckets every node
+is paired with a leader (the node with the least of its own, or one by hash), the pairs are verified by exact weighted
+Jaccard similarity, and linked nodes form classes. Buckets that still hold several classes are then compared across the
+classes by 1024 more samples, one bit of each, so that only pairs that are near to the similarity asked for are verified.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import Words, chunks
+from .arrays import Words, chunks, mix
 from .durable import checkpointed, written
 
 SHINGLE = 5
@@ -34,14 +34,14 @@ FREQUENCY_BITS = 18
 RARITY = 0.2
 #: A shingle found n times in a text counts 1 + DAMPING * ln(n).
 DAMPING = 0.2
-#: How often buckets with several classes are compared with one more leader, before all pairs between classes are.
-LEADER_TURNS = 3
+#: Samples of which one bit is kept for nodes of open buckets, and how many of these bits may differ: at a similarity of
+#: 0.8, 102 are expected (deviation 9.6).
+FINE_SAMPLES, MOST_DIFFERENT = 1024, 141
 #: For sums of rounded weights.
 SLACK = 1e-4
 #: Ids of documents to verify are broadcast up to this number, and joined by a shuffle beyond.
 MAX_BROADCAST_IDS = 200_000
 
-_SLOT_BITS = 15
 _GRAM_BITS = 52
 
 
@@ -91,28 +91,33 @@ def rarity(docs: DataFrame) -> np.ndarray:
 class Sampler:
     """Improved consistent weighted sampling: for each sample, gamma and uniform variates by hashed shingle slot."""
 
-    def __init__(self, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        shape = (SAMPLES, 1 << _SLOT_BITS)
-        self.factor = rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
-        self.r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
-        self.beta = rng.random(shape).astype(np.float32)
-        self.inverse = np.float32(1) / self.r
+    def __init__(self, samples: int = SAMPLES, slot_bits: int = 15, seed: int = 7):
+        self.n, self.slot_bits, self.seed = samples, slot_bits, seed
+        self.kept: dict[int, tuple] = {}
+
+    def variates(self, k: int) -> tuple:
+        """Slot factor, r, 1 / r, log c and beta of sample k."""
+        if k not in self.kept:
+            rng, size = np.random.default_rng((self.seed, k)), 1 << self.slot_bits
+            r, c, beta = rng.gamma(2.0, 1.0, size), rng.gamma(2.0, 1.0, size), rng.random(size)
+            factor = np.uint64(rng.integers(1, 2**63)) | np.uint64(1)
+            self.kept[k] = (factor, *(x.astype(np.float32) for x in (r, 1 / r, np.log(c), beta)))
+        return self.kept[k]
 
     def samples(self, doc: np.ndarray, gram: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
-        """64-bit samples (documents, SAMPLES); rows of documents without shingles are 0."""
-        out = np.zeros((n_docs, SAMPLES), np.int64)
+        """64-bit samples (documents, samples); rows of documents without shingles are 0."""
+        out = np.zeros((n_docs, self.n), np.int64)
         if not len(doc):
             return out
         begin = np.flatnonzero(np.diff(doc, prepend=-1))
         own, size = doc[begin], np.diff(np.append(begin, len(doc)))
         log_w = np.log(weight).astype(np.float32)
-        for k in range(SAMPLES):
-            slot = ((gram * self.factor[k]) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-            beta = self.beta[k][slot]
-            t = np.floor(log_w * self.inverse[k][slot] + beta)
-            value = self.log_c[k][slot] - self.r[k][slot] * (t - beta + np.float32(1))
+        for k in range(self.n):
+            factor, r, inverse, log_c, beta = self.variates(k)
+            slot = ((gram * factor) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+            b = beta[slot]
+            t = np.floor(log_w * inverse[slot] + b)
+            value = log_c[slot] - r[slot] * (t - b + np.float32(1))
             at = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, begin), size))
             first = at[np.searchsorted(at, begin)]
             out[own, k] = (gram[first] * np.uint64(0x9E3779B97F4A7C15) + t[first].astype(np.int64).astype(np.uint64)).view(np.int64)
@@ -210,6 +215,26 @@ def own_weight(docs: DataFrame, nodes: DataFrame, factors: np.ndarray) -> DataFr
     return alone.groupBy("node").agg(F.sum("weight").alias("own"))
 
 
+def fine_bits(docs: DataFrame, nodes: DataFrame, factors: np.ndarray) -> DataFrame:
+    """(node, bits): one bit of each of ``FINE_SAMPLES`` samples, in longs."""
+    shared = docs.sparkSession.sparkContext.broadcast(factors)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(FINE_SAMPLES, 12, 11)
+        for batch in batches:
+            for row, end, raw, off in chunks(batch, "text", 300_000):
+                doc, gram, count = _shingles(raw, off)
+                found = sampler.samples(doc, gram, _weights(gram, count, shared.value), end - row)
+                bits = np.packbits((mix(found.view(np.uint64)) & np.uint64(1)).astype(bool), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), bits.shape[1]).cast(pa.list_(pa.int64()))], ["node", "bits"])
+
+    return _texts_of(docs, nodes).mapInArrow(work, "node bigint, bits array<bigint>").groupBy("node").agg(F.min("bits").alias("bits"))
+
+
+def _different(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, class) of all nodes of the edges; a class is the least node that is reached.
 
@@ -239,10 +264,10 @@ def _possible(left: str, right: str) -> Column:
     return least >= (SIMILARITY - SLACK) * (F.col(f"{left}.weight") + F.col(f"{right}.weight") - least)
 
 
-def _led_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a bucket's leader with the bucket's nodes of other classes: first the node with the least of its own, which
-    is nearest to what all were copied from, then nodes by hash."""
-    order = F.struct(F.col("common") / F.col("weight"), F.xxhash64("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)))
+def _led_pairs(placed: DataFrame) -> DataFrame:
+    """Pairs of a bucket's leader with the bucket's other nodes. In every other band it is the node with the least of its
+    own, which is nearest to what all were copied from; in the others, one by hash."""
+    order = F.struct(F.when(F.col("band") % 2 == 0, F.col("common") / F.col("weight")), F.xxhash64("node"))
     leaders = placed.groupBy("band", "key").agg(F.max_by(F.struct("node", "class", "weight", "common"), order).alias("r"))
     pairs = placed.select("band", "key", F.struct("node", "class", "weight", "common").alias("l")).join(leaders, ["band", "key"])
     pairs = pairs.where((F.col("l.class") != F.col("r.class")) & _possible("l", "r"))
@@ -286,40 +311,26 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = texts.where(F.col("node").isNotNull()).select("node", "samples", "weight")
     bands = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.slice("samples", 1 + ROWS * i, ROWS)).alias("key")) for i in range(BANDS)]
     members = nodes.select("node", F.explode(F.array(*bands)).alias("x")).select("node", "x.band", "x.key")
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     held = written(members.join(shared, ["band", "key"]))
-    central = held.groupBy("node").agg(F.sum("n").alias("central"))
-    order = F.struct(F.when(F.col("band") % 2 == 0, F.col("central")), F.xxhash64("node"), "node")
-    leaders = held.join(central, "node").groupBy("band", "key").agg(F.max_by("node", order).alias("leader"))
-    ordered = held.join(leaders, ["band", "key"]).where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    tested = checkpointed(plausible(ordered, nodes))
+    own = own_weight(docs, held.select("node").distinct(), factors)
+    bounds = held.select("node").distinct().join(own, "node", "left").join(nodes.select("node", "weight"), "node")
+    bounds = bounds.select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common")).where(F.col("common") >= (SIMILARITY - SLACK) * F.col("weight"))
+    viable = written(held.join(bounds, "node").select("node", "band", "key", "weight", "common", F.col("node").alias("class")))
+    tested = checkpointed(plausible(_led_pairs(_open_buckets(viable)).distinct(), nodes))
     links = checkpointed(verified(tested, docs, factors))
     labels = components(links)
 
-    placed = held.join(labels, "node", "left").select("node", "band", "key", F.coalesce("class", "node").alias("class"))
-    placed = checkpointed(_open_buckets(placed))
-    own = own_weight(docs, placed.select("node").distinct(), factors)
-    bounds = placed.select("node").distinct().join(own, "node", "left").join(nodes.select("node", "weight"), "node")
-    bounds = bounds.select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common")).where(F.col("common") >= (SIMILARITY - SLACK) * F.col("weight"))
-    viable = checkpointed(placed.join(checkpointed(bounds), "node"))
-
-    def compare(pairs: DataFrame) -> bool:
-        """Verifies pairs that were not tested yet; whether there were any. Classes follow."""
-        nonlocal tested, links, labels, viable
-        new = checkpointed(plausible(pairs.distinct().join(tested, ["a", "b"], "left_anti"), nodes))
-        if new.isEmpty():
-            return False
-        tested = checkpointed(tested.union(new))
-        links = checkpointed(links.union(verified(new, docs, factors)))
+    viable = _open_buckets(viable.drop("class").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    viable = checkpointed(viable)
+    viable = written(viable.join(fine_bits(docs, viable.select("node").distinct(), factors), "node"))
+    left, right = viable.alias("l"), viable.alias("r")
+    across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & _possible("l", "r") & (_different(F.col("l.bits"), F.col("r.bits")) <= MOST_DIFFERENT))
+    across = across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    more = checkpointed(plausible(across.join(tested, ["a", "b"], "left_anti"), nodes))
+    if not more.isEmpty():
+        links = checkpointed(links.union(verified(more, docs, factors)))
         labels = components(links)
-        viable = checkpointed(viable.drop("class").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")))
-        return True
-
-    for turn in range(LEADER_TURNS):
-        compare(_led_pairs(_open_buckets(viable), turn))
-    left, right = _open_buckets(viable).alias("l"), _open_buckets(viable).alias("r")
-    across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & _possible("l", "r"))
-    compare(across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")))
 
     known = texts.select("text_hash", "node").join(labels, "node", "left").select("text_hash", F.coalesce("class", "node").alias("class"))
     return rows.select("doc_id", "text_hash").join(known, "text_hash", "left").select("doc_id", "text_hash", F.coalesce("class", "doc_id").alias("class_id"))
