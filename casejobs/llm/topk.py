@@ -70,10 +70,8 @@ def _slices(a: np.ndarray, b: np.ndarray) -> Callable[[int, int], list[np.ndarra
 def _each_unit(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     for row in batch.to_pylist():
         size = row["size"]
-        yield (
-            np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, size),
-            np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.int64).reshape(-1, size), np.frombuffer(row["cutoffs"], np.int64),
-        )
+        ids, q_ids, cutoffs = (np.frombuffer(row[c], np.int64) for c in ("ids", "q_ids", "cutoffs"))
+        yield ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), size), q_ids, np.frombuffer(row["q_vectors"], np.int64).reshape(len(q_ids), size), cutoffs
 
 
 def local_lists(units: DataFrame, k: int) -> DataFrame:
