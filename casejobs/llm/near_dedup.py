@@ -235,6 +235,11 @@ def _different(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
+def _first_band(a: Column, b: Column) -> Column:
+    """The first band in which two nodes agree, so that a pair is made in one of its buckets only."""
+    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, class) of all nodes of the edges; a class is the least node that is reached.
 
@@ -309,8 +314,8 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = rows.where(F.col("samples").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min("samples").alias("samples"), F.min("weight").alias("weight"))
     texts = written(texts)
     nodes = texts.where(F.col("node").isNotNull()).select("node", "samples", "weight")
-    bands = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.slice("samples", 1 + ROWS * i, ROWS)).alias("key")) for i in range(BANDS)]
-    members = nodes.select("node", F.explode(F.array(*bands)).alias("x")).select("node", "x.band", "x.key")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.slice("samples", 1 + ROWS * i, ROWS)) for i in range(BANDS)])
+    members = nodes.select("node", F.posexplode(keys).alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     held = written(members.join(shared, ["band", "key"]))
     own = own_weight(docs, held.select("node").distinct(), factors)
@@ -323,9 +328,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
     viable = _open_buckets(viable.drop("class").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")))
     viable = checkpointed(viable)
-    viable = written(viable.join(fine_bits(docs, viable.select("node").distinct(), factors), "node"))
+    bits = fine_bits(docs, viable.select("node").distinct(), factors)
+    viable = written(viable.join(bits.join(nodes.select("node", keys.alias("keys")), "node"), "node"))
     left, right = viable.alias("l"), viable.alias("r")
-    across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & _possible("l", "r") & (_different(F.col("l.bits"), F.col("r.bits")) <= MOST_DIFFERENT))
+    across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & _possible("l", "r") & (_different(F.col("l.bits"), F.col("r.bits")) <= MOST_DIFFERENT) & (_first_band(F.col("l.keys"), F.col("r.keys")) == F.col("l.band")))
     across = across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     more = checkpointed(plausible(across.join(tested, ["a", "b"], "left_anti"), nodes))
     if not more.isEmpty():
