@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are turned into arrays at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 400_000
 CHUNK_ROWS = 4096
 
 _SPACE = np.zeros(256, dtype=bool)
