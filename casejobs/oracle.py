@@ -43,6 +43,11 @@ def _year(text: str) -> str:
     return rf"regexp_extract({text}, '(^|[^\p{{L}}\p{{N}}_])(19\d{{2}}|20\d{{2}})($|[^\p{{L}}\p{{N}}_])', 2)"
 
 
+def _half_even(x: str) -> str:
+    """Hundredths of a positive decimal, ties to the even digit, as a double: exact decimals on both engines."""
+    return f"(floor({x})::BIGINT + CASE WHEN {x} - floor({x}) > 0.5 OR ({x} - floor({x}) = 0.5 AND floor({x})::BIGINT % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 100::DOUBLE"
+
+
 def _stats(rows: str) -> str:
     total, resolved, unresolved, percent, rest = C.EMPTY_STATS
     return f"""c AS (SELECT count(*) AS t, count(*) FILTER (WHERE status = 'Unresolved') AS u FROM {rows}), p AS (SELECT t, u, round_even(u / t * 100, 1) AS pct FROM c)
@@ -201,7 +206,9 @@ def oracle_sql() -> dict[str, str]:
         "crawl_report": f"WITH {NEW} SELECT CASE WHEN page_id % 3 = 0 THEN 'error' ELSE 'success' END AS status, count(*) AS n, string_agg(file_name, ',' ORDER BY file_name) AS files FROM fresh GROUP BY 1",
         "frames_sampled": f"WITH {FRAMES} SELECT video_id, event_id, frame_no, printf('frame_%04d.jpg', frame_no) AS frame_name FROM f WHERE frame_no % 30 = 0",
         "frame_report": f"WITH {FRAMES} SELECT video_id, count(*) AS total_frames, count(*) FILTER (WHERE frame_no % 30 = 0) AS saved_frames FROM f GROUP BY video_id",
-        "telemetry": f"SELECT l_orderkey, l_linenumber, round_even(l_extendedprice * 0.3048::DOUBLE, 2) AS altitude_m, l_discount * 360 AS azimuth_deg, round_even(l_quantity::DOUBLE - l_quantity::DOUBLE * 0.05::DOUBLE, 2) AS true_speed_knots, true AS parallax_anomaly, {_q(C.HUD_NOTE)} AS note FROM lineitem",
+        "telemetry": f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_discount * 360 AS azimuth_deg,
+    CAST(CAST(l_extendedprice * 0.3048::DOUBLE AS VARCHAR) AS DECIMAL(30, 14)) * 100 AS a, CAST(CAST(l_quantity::DOUBLE - l_quantity::DOUBLE * 0.05::DOUBLE AS VARCHAR) AS DECIMAL(30, 14)) * 100 AS s FROM lineitem)
+  SELECT l_orderkey, l_linenumber, {_half_even("a")} AS altitude_m, azimuth_deg, {_half_even("s")} AS true_speed_knots, true AS parallax_anomaly, {_q(C.HUD_NOTE)} AS note FROM t""",
         "route_tasks": f"WITH {TASKS} SELECT source_url, route, count(*) AS n FROM r GROUP BY ALL",
         "stream_ingest": f"WITH {TASKS} SELECT case_id, source_url, route, enqueued_at FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY enqueued_at, source_url) = 1",
         "stream_dedupe": "SELECT DISTINCT user_id::VARCHAR AS case_id FROM events",
