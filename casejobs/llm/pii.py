@@ -1,13 +1,15 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Entities that follow a format (mail and network addresses, card and phone numbers) are the seeds. The words beside a
-seed are lexical patterns; patterns and instances (identifier-like tokens) form a graph that is scored in rounds: a
-pattern is as good as the share of its instances that are known, and an instance as known as its best pattern is good.
-Patterns of high confidence then find identifiers that no format describes.
+Entities that follow a format (mail and network addresses, card and phone numbers) are the seeds, each as a whole. The
+words beside a seed are lexical patterns; patterns and instances (seeds, and identifier-like tokens outside them) form a
+graph that is scored in rounds: a pattern is as good as the share of its instances that are known, and an instance as
+known as its best pattern is good. Patterns of high confidence then find identifiers that no format describes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +26,19 @@ KINDS = {
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
-#: An identifier-like token: a word with a digit, of at least so many characters and digits.
+#: An identifier-like token, outside the seeds: a word with a digit, of at least so many characters and digits.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 LEAST_CHARS, LEAST_DIGITS = 6, 4
-ROUNDS = 2
-#: Characters before a token in which the word beside it is looked for.
+#: Characters before and after an instance in which the words beside it are looked for.
 NEAR_CHARS = 200
 #: A pattern of high confidence: share of known instances, and how many different ones.
 CONFIDENCE = 0.9
 SUPPORT = 5
+#: Rounds go on until no pattern comes in and the mean confidence rises by no more than this.
+STILL = 1e-9
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
+PLACES = "array<struct<start:bigint,end:bigint,token:string,left:string,right:string>>"
 
 
 _HIT = "struct<start:bigint,end:bigint,hit:string,gap:string,next:string>"
@@ -108,35 +112,86 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of_kind, KINDS))
 
 
-def tokens(text: Column) -> Column:
-    """Array of (start, end, token, left, right): identifier-like tokens without outer marks, and the words beside them."""
+#: Characters of a piece of text: places are cut out of a few pieces, so that a long text is not walked for each.
+_PIECE = 512
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of the text that was cut into ``pieces``."""
+    first, last = F.floor(start / _PIECE).cast("int"), F.floor(end / _PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, first + 1), F.lit("")))
+    # a slice goes over all pieces
+    some = F.when(last - first < 2, two).otherwise(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""))
+    return F.substring(some, (start - first * _PIECE + 1).cast("int"), (end - start).cast("int"))
+
+
+def with_words(text: Column, places: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """Array of (start, end, token, left, right) of places (start, end, ...): the words beside the one that a place is in.
+
+    ``value`` makes the token from a place and its characters.
+    """
+
+    def of(pieces: Column, p: Column) -> Column:
+        before = _cut(pieces, F.greatest(p["start"] - NEAR_CHARS, F.lit(0)), p["start"])
+        after = _cut(pieces, p["end"], p["end"] + NEAR_CHARS)
+        left = F.regexp_extract(before, r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]++[^\x20\x09-\x0D]*+$", 1)
+        right = F.regexp_extract(after, r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]{1,40})", 1)
+        token = value(p, _cut(pieces, p["start"], p["end"]))
+        return F.struct(p["start"].alias("start"), p["end"].alias("end"), token.alias("token"), F.lower(left).alias("left"), F.lower(right).alias("right"))
+
+    # the pieces stand in an array of one, so that they are made once and not again for each place
+    pieces = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+    found = F.flatten(F.transform(pieces, lambda x: F.transform(places, lambda p: of(x, p))))
+    return F.when(F.size(places) > 0, found).otherwise(F.array().cast(PLACES))
+
+
+def tokens(text: Column, base: Column) -> Column:
+    """Array of (start, end, token, left, right): identifier-like tokens outside the base spans, without outer marks."""
 
     def token(m: Column) -> Column:
         lead = F.length(F.regexp_extract(m["hit"], r"^[^A-Za-z0-9+]*+", 0))
         bare = F.regexp_replace(m["hit"], r"^[^A-Za-z0-9+]++|[^A-Za-z0-9]++$", "")
         begin = m["start"] + lead
-        left = F.regexp_extract(F.right(m["gap"], F.lit(NEAR_CHARS)), r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$", 1)
-        right = F.regexp_extract(m["next"], r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]{1,40})", 1)
-        return F.struct(begin.alias("start"), (begin + F.length(bare)).alias("end"), bare.alias("token"), F.lower(left).alias("left"), F.lower(right).alias("right"))
+        return F.struct(begin.alias("start"), (begin + F.length(bare)).alias("end"), bare.alias("token"))
 
     found = F.transform(matches(text, TOKEN), token)
-    return F.filter(found, lambda t: (F.length(t["token"]) >= LEAST_CHARS) & (F.length(digits(t["token"])) >= LEAST_DIGITS))
+    found = F.filter(found, lambda t: (F.length(t["token"]) >= LEAST_CHARS) & (F.length(digits(t["token"])) >= LEAST_DIGITS))
+    found = F.filter(found, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    # made once, as the pieces are
+    return F.flatten(F.transform(F.array(found), lambda x: with_words(text, x, lambda p, _: p["token"])))
+
+
+def seeds(text: Column, base: Column) -> Column:
+    """Array of (start, end, token, left, right) of the base spans; the token is the value in one way of writing.
+
+    Numbers count by their digits, so a number that stands elsewhere without its format is a known instance, too.
+    """
 
+    def value(s: Column, hit: Column) -> Column:
+        plain = F.regexp_replace(hit, r"(?<![0-9])0+(?=[0-9])", "")
+        return F.when(s["kind"] == "email", F.lower(hit)).when(s["kind"] == "ip", plain).otherwise(digits(hit))
 
-def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    return with_words(text, base, value)
+
+
+def score_graph(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Patterns with their confidence, from edges (pattern, token) and seeds (token).
 
     Each round: confidence = known instances / all instances; score of an instance = its best pattern's confidence, if
-    that is high and enough different known instances support the pattern.
+    that is high and enough different known instances support the pattern. Scores only rise from round to round, and
+    the rounds end when nothing changes any more.
     """
-    known = seeds.select("token", F.lit(1.0).alias("score"))
-    for _ in range(rounds):
-        scored = edges.join(known, "token", "left")
+    edges = checkpointed(edges.join(seeds.select("token", F.lit(1.0).alias("own")).distinct(), "token", "left"))
+    scored, last = edges.withColumn("score", F.col("own")), (0, 0.0)
+    while True:
         patterns = scored.groupBy("pattern").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence"), F.count("score").alias("support"))
         good = checkpointed(patterns.where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)))
-        grown = edges.join(good, "pattern").groupBy("token").agg(F.max("confidence").alias("score"))
-        known = checkpointed(seeds.select("token", F.lit(1.0).alias("score")).unionByName(grown).groupBy("token").agg(F.max("score").alias("score")))
-    return good
+        n, total = good.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if n == last[0] and total - last[1] <= STILL * n:
+            return good
+        last = n, total
+        grown = edges.where("own IS NULL").join(good, "pattern").groupBy("token").agg(F.max("confidence").alias("grown"))
+        scored = edges.join(grown, "token", "left").withColumn("score", F.coalesce("own", "grown"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -148,21 +203,30 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     some_digits = F.col("text").rlike("[0-9]")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,token:string,left:string,right:string>>")
+    none = F.array().cast(PLACES)
+
+    def places_of(base: Column) -> Column:
+        own = F.when(some_digits, tokens(F.col("text"), base)).otherwise(none)
+        return F.struct(base.alias("base"), seeds(F.col("text"), base).alias("seeds"), own.alias("tokens"))
+
     found = docs.select("doc_id", text.alias("text")).select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
-        base_spans(F.col("text")).alias("base"),
-        F.when(some_digits, tokens(F.col("text"))).otherwise(none).alias("tokens"),
+        # the base spans stand in an array of one, so that they are found once
+        F.transform(F.array(base_spans(F.col("text"))), places_of)[0].alias("found"),
     )
-    found = checkpointed(found)
-    places = found.where(F.size("tokens") > 0).select("doc_id", "text_hash", "base", F.explode("tokens").alias("t"))
-    inside = F.exists("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    places = places.select("doc_id", "text_hash", "t.start", "t.end", "t.token", inside.alias("seed"), F.array(F.concat(F.lit("left "), "t.left"), F.concat(F.lit("right "), "t.right")).alias("patterns"))
-    places = places.withColumn("pattern", F.explode("patterns")).drop("patterns").where(~F.col("pattern").isin("left ", "right "))
-    edges = checkpointed(places.groupBy("pattern", "token").agg(F.max("seed").alias("seed")))
-    patterns = score_graph(edges.select("pattern", "token"), edges.where("seed").select("token").distinct())
-    new = places.where(~F.col("seed")).join(patterns.select("pattern"), "pattern", "left_semi")
+    found = checkpointed(found).select("doc_id", "text_hash", "found.*")
+
+    def patterns_of(places: DataFrame) -> DataFrame:
+        beside = F.array(F.concat(F.lit("left "), "t.left"), F.concat(F.lit("right "), "t.right"))
+        rows = places.select("doc_id", "text_hash", "t.start", "t.end", "t.token", F.explode(beside).alias("pattern"))
+        return rows.where(~F.col("pattern").isin("left ", "right "))
+
+    known = found.select("doc_id", "text_hash", F.explode("seeds").alias("t"))
+    places = patterns_of(found.select("doc_id", "text_hash", F.explode("tokens").alias("t")))
+    edges = patterns_of(known).select("pattern", "token").unionByName(places.select("pattern", "token")).distinct()
+    patterns = score_graph(edges, known.select("t.token").distinct())
+    new = places.join(patterns.select("pattern"), "pattern", "left_semi")
     new = new.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end"))).alias("new"))
     left, right = found.select("doc_id", "text_hash", "base").alias("l"), new.alias("r")
     joined = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_hash") == F.col("r.text_hash")), "left")

@@ -259,3 +259,30 @@ def test_personal_data_by_context(spark):
     got = {r.doc_id: [tuple(s) for s in r.spans if s.kind == "context"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[100] == [("context", 11, 21)] and got[101] == [("context", 11, 21)]
     assert all(not v for k, v in got.items() if k >= 200 or k < 100)
+
+
+@pytest.mark.parametrize(
+    "seed",
+    [
+        lambda i: f"{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}.novak@mail.com",
+        lambda i: next(f"4465 7583 8288 {i:02d}{j:02d}" for j in range(100) if brute_pii(f"4465 7583 8288 {i:02d}{j:02d}")),
+        lambda i: f"+1 499 555 {1000 + i}",
+        lambda i: f"+1 (743) 555-{3800 + i}",
+    ],
+)
+@pytest.mark.parametrize("words", ["reach {} x{}", "x{1}. {0} reach"])
+def test_personal_data_seeds_are_whole_spans(spark, seed, words):
+    rows = [(i, words.format(seed(i), i)) for i in range(20)] + [(100, words.format("ZX-40000-B", 100))]
+    got = {r.doc_id: [tuple(s) for s in r.spans if s.kind == "context"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = rows[-1][1].index("ZX")
+    assert got.pop(100) == [("context", at, at + 10)]
+    assert not any(got.values())
+
+
+def test_pattern_graph_is_scored_to_the_end(spark):
+    """Each pattern needs the instances that the one before it makes known."""
+    seeds = [(f"p{k}", f"s{k}.{i}") for k in range(7) for i in range(60)]
+    edges = seeds + [(f"p{k}", f"t{j}.{i}") for k in range(7) for j in (k, k + 1) if j for i in range(5)]
+    edges += [("bad", f"t1.{i}") for i in range(5)] + [("bad", f"u{i}") for i in range(5)]
+    good = pii.score_graph(spark.createDataFrame(edges, "pattern string, token string"), spark.createDataFrame([(t,) for _, t in seeds], "token string"))
+    assert {r.pattern for r in good.collect()} == {f"p{k}" for k in range(7)}
