@@ -33,6 +33,17 @@ class Rule:
     base: bool = False
 
 
+# A private key in PEM form: from the BEGIN line to the END line, which no other BEGIN or END comes before. Without an
+# END line: over known header fields, lines that hold only base64 up to their end or a quote (line breaks may be escaped,
+# lines quoted or indented), and runs of at least 40 such characters anywhere behind.
+_BREAK = r"(?:\r\n?|\n|\\r|\\n)"
+_MARKS = r"[\x20\t>#|*\"'+,;]*+"
+_FIELDS = rf"(?:{_MARKS}{_BREAK}{_MARKS}(?:Proc-Type|Content-Domain|DEK-Info):[^\r\n\\]*+)*+"
+_LINE = rf"{_MARKS}(?:{_BREAK}{_MARKS})++[A-Za-z0-9+/=]++(?={_MARKS}(?:{_BREAK}|\Z)|[\"'`<])"
+_RUN = rf"{_MARKS}(?:{_BREAK}{_MARKS})*+[A-Za-z0-9+/=]{{40,}}+"
+_TO_END = r"[^-]*+(?:(?!-----(?:BEGIN|END)\x20)-[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+_PRIVATE_KEY = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_FIELDS}(?:{_RUN}|{_LINE})*+)"
+
 # The base kinds and published formats of access tokens.
 RULES = (
     Rule("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
@@ -43,8 +54,8 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{4,64}@"),
+    Rule("private_key", _PRIVATE_KEY),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/:@]{4,}+@"),
 )
 
 
