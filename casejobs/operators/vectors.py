@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,40 +51,56 @@ def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Queries whose vectors are sent to all tasks at once; more are taken block by block.
+#: Vectors in a block of queries and in a block of points, about.
 QUERY_BLOCK = 4096
+POINT_BLOCK = 4096
+#: Queries whose scores a task holds at once.
+STEP = 256
 
 
 def knn_join(points: DataFrame, queries: DataFrame, k: int = C.TOP_K) -> DataFrame:
     """query_id, id, score and rank of each query's k best points (``queries``: query_id, vector).
 
-    A block of at most about ``QUERY_BLOCK`` query vectors goes to all tasks, which keep the k best points of each batch.
+    Queries and points are packed into blocks, and each pair of blocks is one row, of which a task keeps the k best
+    points of each query; only the two counts reach the driver. Rows without an id or a vector take no part; only
+    vectors of equal length are compared.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = [_best_of_block(points, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k) for b in range(blocks)]
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
-    return rank_hits(hits, k)
-
-
-def _best_of_block(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("query_id", "vector").collect()
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    matrix = _unit(np.array([r[1] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
-    shared = points.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, q = shared.value
+    points, queries = points.where("id IS NOT NULL AND vector IS NOT NULL"), queries.where("query_id IS NOT NULL AND vector IS NOT NULL")
+    p_blocks, q_blocks = max(1, -(-points.count() // POINT_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    left = _pack(points, "id", "p", p_blocks).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    right = _pack(queries, "query_id", "q", q_blocks).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
+    right = right.withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
+    return rank_hits(_best_of_units(left.join(right, ["p", "q", "size"]), k), k)
+
+
+def _pack(rows: DataFrame, name: str, block: str, blocks: int) -> DataFrame:
+    """One row for each block and length: ids and unit vectors as bytes."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        size = table.column("size")[0].as_py()
+        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        unit = _unit(flat.astype(np.float64).reshape(table.num_rows, size))
+        ids = table.column("id").to_numpy()
+        return pa.table({block: table.column(block)[:1], "size": pa.array([size], pa.int32()), "ids": pa.array([ids.tobytes()]), "vectors": pa.array([unit.tobytes()])})
+
+    number = F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias(block)
+    rows = rows.select(F.col(name).cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("size"), number)
+    return rows.groupBy(block, "size").applyInArrow(pack, f"{block} int, size int, ids binary, vectors binary")
+
+
+def _best_of_units(units: DataFrame, k: int) -> DataFrame:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch) or not len(query_ids):
-                continue
-            own, scores = batch["id"].to_numpy(), q @ _unit(np.array(batch["vector"].tolist(), dtype=np.float64)).T
-            order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-            n = order.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(query_ids, n), "id": own[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
-
-    return points.select("id", "vector").mapInPandas(best, "query_id bigint, id bigint, score double")
+            for row in batch.to_pylist():
+                own, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+                p, q = (np.frombuffer(row[c], np.float64).reshape(-1 if row["size"] else len(i), row["size"]) for c, i in (("vectors", own), ("q_vectors", query_ids)))
+                for i in range(0, len(query_ids), STEP):
+                    scores = q[i : i + STEP] @ p.T
+                    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+                    columns = np.repeat(query_ids[i : i + STEP], order.shape[1]), own[order].ravel(), np.take_along_axis(scores, order, axis=1).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "id", "score"])
+
+    return units.mapInArrow(best, "query_id bigint, id bigint, score double")
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:

@@ -151,6 +151,29 @@ def test_vectors(spark):
     assert [r.id for r in vectors.check_collection(points, 3).select("id").distinct().orderBy("id").collect()] == [1, 2, 3, 4]
 
 
+def test_knn_pairs_blocks_inside_spark(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = {i: [0.0] * 3 if i == 40 else [float(rng.randint(-9, 9)) + i / 1000 for _ in range(3)] for i in range(400)}
+    points = spark.createDataFrame(list(rows.items()) + [(1000, [1.0, 2.0]), (1001, None)], "id bigint, vector array<double>")
+    queries = points.where("id % 20 = 0 AND id < 1000").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(vectors, "POINT_BLOCK", 37, raising=False)
+    monkeypatch.setattr(vectors, "STEP", 4, raising=False)
+    with monkeypatch.context() as m:  # query vectors don't pass through the driver
+        for name in ("collect", "toPandas", "toLocalIterator"):
+            m.setattr(type(points), name, lambda *_: pytest.fail("rows were sent to the driver"))
+        hits = vectors.knn_join(points, queries, 4)
+
+    def score(a, b):
+        norm = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / norm if norm else 0.0
+
+    want = {(q, n + 1): i for q in range(0, 400, 20) for n, i in enumerate(sorted(rows, key=lambda i: (-score(rows[q], rows[i]), i))[:4])}
+    got = hits.collect()
+    assert {(r.query_id, r.rank): r.id for r in got} == want and len(got) == len(want)
+    assert all(abs(r.score - score(rows[r.query_id], rows[r.id])) < 1e-9 for r in got)
+
+
 def test_ingest_twice_is_ingest_once(spark, tmp_path):
     files = spark.createDataFrame([("a.pdf",), ("b.txt",), ("x" * 25 + "1.mp4",), ("x" * 25 + "2.mp4",), ("bad.pdf",), ("scan.pdf",)], "file_name string")
     pages = spark.createDataFrame([("a.pdf", 2, "two 1999"), ("a.pdf", 1, " one"), ("bad.pdf", 1, None), ("scan.pdf", 1, "  ")], "file_name string, page_no int, text string").withColumn("error", F.when(F.col("file_name") == "bad.pdf", "broken"))
