@@ -64,28 +64,32 @@ def _margins(rows: list[np.ndarray], weights: np.ndarray, bias: float) -> np.nda
     return np.array([weights[x].sum() / np.sqrt(max(1, len(x))) + bias for x in rows])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 0) -> tuple[np.ndarray, float]:
-    """L2-regularised hinge loss (squared): weights of the *unscaled* indicators and the bias.
+def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, tolerance: float = 0.1, seed: int = 0) -> tuple[np.ndarray, float]:
+    """L2-regularised hinge loss: weights of the *unscaled* indicators and the bias.
 
-    Row i has the values scale[f] / sqrt(number of its features) for its features f, and a constant 1.
+    Row i has the values scale[f] / sqrt(number of its features) for its features f, and a constant 1. Epochs go on until
+    the projected gradients of one differ by no more than ``tolerance``.
     """
     w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
     norm = np.array([1.0 / np.sqrt(max(1, len(x))) for x in rows])
-    diagonal = 0.5 / cost
-    square = np.array([(scale[x] ** 2).sum() * k * k + 1.0 for x, k in zip(rows, norm)]) + diagonal
+    square = np.array([(scale[x] ** 2).sum() * k * k + 1.0 for x, k in zip(rows, norm)])
     order = np.random.default_rng(seed)
-    for _ in range(epochs):
+    while True:
+        least, most = np.inf, -np.inf
         for i in order.permutation(len(rows)):
             x = rows[i]
             v = scale[x] * norm[i]
-            slope = y[i] * (w[x] @ v + bias) - 1.0 + diagonal[i] * alpha[i]
-            new = max(0.0, alpha[i] - slope / square[i])
+            slope = y[i] * (w[x] @ v + bias) - 1.0
+            projected = min(slope, 0.0) if alpha[i] <= 0 else max(slope, 0.0) if alpha[i] >= cost[i] else slope
+            least, most = min(least, projected), max(most, projected)
+            new = min(max(0.0, alpha[i] - slope / square[i]), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[x] += step * v
                 bias += step
                 alpha[i] = new
-    return w * scale, bias
+        if most - least <= tolerance:
+            return w * scale, bias
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:

@@ -259,6 +259,12 @@ def test_nbsvm_on_held_out_labels(spark, docs, labels):
     assert (got.predicted == got.quality).mean() > 0.8 and got.score.between(0, 1).all()
 
 
+def test_nbsvm_loss_is_the_hinge():
+    """Equal rows with opposite labels: cost 0.25 (1 - m) + 0.1 (1 + m) + m^2 / 4 is least at m = 0.3."""
+    w, bias = quality_nbsvm.dual_coordinate_descent([np.array([0])] * 2, np.array([1.0, -1.0]), np.ones(1), np.array([0.25, 0.1]))
+    assert abs(w[0] + bias - 0.3) < 1e-9 and abs(w[0] - bias) < 1e-9
+
+
 def brute_pii(t):
     def luhn(n):
         return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(n))) % 10 == 0
