@@ -5,11 +5,14 @@ Everything here works on one bounded chunk of one Arrow batch inside a Spark tas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Bytes of text that are turned into arrays at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 400_000
 CHUNK_ROWS = 4096
@@ -17,11 +20,26 @@ CHUNK_ROWS = 4096
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(20240229)
-_BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _GRAM_FACTORS = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
+def released(work: Work) -> Work:
+    """The same work over a task's batches; freed memory goes back to the system at the task's end, since the worker stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit hashes (a bijection), so that high and low bits depend on all bits."""
     h = h ^ (h >> np.uint64(31))
@@ -59,6 +77,23 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         row = end
 
 
+def run_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes at these places.
+
+    Eight bytes at a time are scrambled together with their place in the run and summed up, so no swap or repeat of
+    parts leaves the sum as it was.
+    """
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    parts = (length + 7) >> 3
+    begin = np.cumsum(parts) - parts
+    place = np.arange(int(parts.sum()), dtype=np.int64) - np.repeat(begin, parts)
+    rest = np.minimum(np.repeat(length, parts) - 8 * place, 8)
+    value = eight[np.repeat(start, parts) + 8 * place] & _FIRST_BYTES[rest]
+    part = mix(value ^ mix((place + 1).astype(np.uint64) * _BASE))
+    return mix(np.add.reduceat(part, begin) + length.astype(np.uint64) * _BASE)
+
+
 class Words:
     """Words of a chunk: maximal runs of bytes outside 0x20 and 0x09-0x0D, which never cross documents.
 
@@ -94,12 +129,7 @@ class Words:
         if not len(self.start):
             self.hash = np.zeros(0, np.uint64)
             return
-        begin = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        place = np.arange(int(self.length.sum()), dtype=np.int64) - np.repeat(begin, self.length)
-        powers = np.full(int(self.length.max()), _BASE, dtype=np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        self.hash = mix(np.add.reduceat(_BYTE_CODES[raw[inside]] * powers[place], begin))
+        self.hash = run_hashes(raw, self.start, self.length)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and documents of all windows of n words; windows never cross documents."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,14 +18,39 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The table, computed once and written to the shared folder; a lost executor doesn't lose it."""
+#: Rows of a file, about.
+FILE_ROWS = 100_000
+
+
+def few_parts(df: DataFrame, rows: int, per_part: int = FILE_ROWS) -> DataFrame:
+    """The table in no more parts than so many rows need, and than can run at once: a file for each of many tiny parts costs
+    more than the rows in it. Nothing moves between tasks, and a large table stays as it is dealt."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_part)))
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The table, computed once and written to the shared folder; a lost executor doesn't lose it.
+
+    ``rows``: it has no more, so that a small table gets few files.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else few_parts(df, rows)).checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """As ``checkpointed``, as a compressed Parquet table in the same folder."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if rows is None else few_parts(df, rows)).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Tables that are made inside pass no more than so many bytes at once to Python; for rows that hold whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

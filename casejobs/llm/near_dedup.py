@@ -3,11 +3,13 @@
 Shingles are windows of five words. A shingle weighs a damped count in the text times a rarity factor from 1 to 1.2 that
 falls with its document frequency, counted over all documents in a fixed number of hash buckets. Consistent samples of
 the weighted shingles agree with the probability of the weighted Jaccard similarity; three samples make a band.
-Equal texts are one node. What a text shares with no other text of all buckets bounds every similarity it can have, so
-texts with much of their own, as far edited copies of one text have, drop out exactly. In each band's buckets every node
-is paired with a leader (the node with the least of its own, or one by hash), the pairs are verified by exact weighted
-Jaccard similarity, and linked nodes form classes. Buckets that still hold several classes are then compared across the
-classes by 1024 more samples, one bit of each, so that only pairs that are near to the similarity asked for are verified.
+A node is a text, known by a 64-bit hash. The shingles of all nodes that share a bucket are written once to the shared
+folder, and the rest is read from there. What a text shares with no other text of all buckets bounds every similarity it
+can have, so texts with much of their own, as far edited copies of one text have, drop out exactly. In each band's buckets
+every node is paired with a leader (the node with the least of its own, or one by hash), the pairs are verified by exact
+weighted Jaccard similarity, and linked nodes form classes. The nodes of buckets that still hold several classes are
+banded again by 1024 more samples, ten to a band, so that a large bucket falls apart into small ones of very like texts;
+these get leaders in the same way, and what then is still open is compared across the classes by one bit of each sample.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import Words, chunks, mix
-from .durable import checkpointed, written
+from .arrays import Words, chunks, mix, released
+from .durable import checkpointed, small_batches, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -34,13 +36,17 @@ FREQUENCY_BITS = 18
 RARITY = 0.2
 #: A shingle found n times in a text counts 1 + DAMPING * ln(n).
 DAMPING = 0.2
-#: Samples of which one bit is kept for nodes of open buckets, and how many of these bits may differ: at a similarity of
-#: 0.8, 102 are expected (deviation 9.6).
-FINE_SAMPLES, MOST_DIFFERENT = 1024, 141
+#: The second banding of nodes in open buckets: a pair at a similarity of 0.8 is missed by all bands with probability 1e-5.
+#: One bit of each sample is kept, too, and so many of these bits may differ: 102 are expected (deviation 9.6).
+FINE_SAMPLES, FINE_ROWS, MOST_DIFFERENT = 1024, 10, 141
+FINE_BANDS = FINE_SAMPLES // FINE_ROWS
 #: For sums of rounded weights.
 SLACK = 1e-4
-#: Ids of documents to verify are broadcast up to this number, and joined by a shuffle beyond.
+#: Nodes whose texts are looked up are broadcast up to this number, and joined by a shuffle beyond.
 MAX_BROADCAST_IDS = 200_000
+#: Rounds of the class search. Each one takes the class of the neighbours' class, so paths double and a chain of n links
+#: takes about log2(n) of them.
+MAX_ROUNDS = 100
 
 _GRAM_BITS = 52
 
@@ -67,10 +73,11 @@ def _weights(gram: np.ndarray, count: np.ndarray, factor: np.ndarray) -> np.ndar
     return (1.0 + DAMPING * np.log(count)).astype(np.float32) * factor[_bucket(gram)]
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Rarity factor of each shingle bucket, from document frequencies over all documents."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Document frequency of each shingle bucket, over all documents, and the number of documents."""
     size = 1 << FREQUENCY_BITS
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size, np.int64), 0
         for batch in batches:
@@ -84,25 +91,31 @@ def rarity(docs: DataFrame) -> np.ndarray:
     bucket, n = found["bucket"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
     frequency = np.zeros(size)
     frequency[bucket[bucket >= 0]] = n[bucket >= 0]
-    everything = max(1, int(n[bucket < 0].sum()))
-    return (1.0 + RARITY * (1.0 - np.minimum(1.0, np.log1p(frequency) / np.log1p(everything)))).astype(np.float32)
+    return frequency, int(n[bucket < 0].sum())
+
+
+def rarity(frequency: np.ndarray, n_docs: int) -> np.ndarray:
+    """Rarity factor of each shingle bucket."""
+    return (1.0 + RARITY * (1.0 - np.minimum(1.0, np.log1p(frequency) / np.log1p(max(1, n_docs))))).astype(np.float32)
 
 
 class Sampler:
-    """Improved consistent weighted sampling: for each sample, gamma and uniform variates by hashed shingle slot."""
+    """Improved consistent weighted sampling: for each sample, gamma and uniform variates by hashed shingle slot.
 
-    def __init__(self, samples: int = SAMPLES, slot_bits: int = 15, seed: int = 7):
-        self.n, self.slot_bits, self.seed = samples, slot_bits, seed
-        self.kept: dict[int, tuple] = {}
+    A sample has its own hash to the slots; the tables of variates are used in turn. Shingles in one slot share their
+    variates, which for the few thousand shingles of a text leaves the agreement as it is within its deviation.
+    """
+
+    def __init__(self, samples: int = SAMPLES, slot_bits: int = 15, tables: int = 14, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.n, self.slot_bits, size = samples, slot_bits, (tables, 1 << slot_bits)
+        r, c, beta = rng.gamma(2.0, 1.0, size), rng.gamma(2.0, 1.0, size), rng.random(size)
+        self.tables = [x.astype(np.float32) for x in (r, 1 / r, np.log(c), beta)]
+        self.factors = rng.integers(1, 2**63, samples).astype(np.uint64) | np.uint64(1)
 
     def variates(self, k: int) -> tuple:
         """Slot factor, r, 1 / r, log c and beta of sample k."""
-        if k not in self.kept:
-            rng, size = np.random.default_rng((self.seed, k)), 1 << self.slot_bits
-            r, c, beta = rng.gamma(2.0, 1.0, size), rng.gamma(2.0, 1.0, size), rng.random(size)
-            factor = np.uint64(rng.integers(1, 2**63)) | np.uint64(1)
-            self.kept[k] = (factor, *(x.astype(np.float32) for x in (r, 1 / r, np.log(c), beta)))
-        return self.kept[k]
+        return (self.factors[k], *(x[k % len(x)] for x in self.tables))
 
     def samples(self, doc: np.ndarray, gram: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
         """64-bit samples (documents, samples); rows of documents without shingles are 0."""
@@ -124,10 +137,19 @@ class Sampler:
         return out
 
 
+def _text_hash(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _node(text_hash: Column) -> Column:
+    return F.xxhash64(text_hash)
+
+
 def signatures(docs: DataFrame, factors: np.ndarray) -> DataFrame:
     """(doc_id, text_hash, samples, weight) of each row; samples are null for a text without words."""
     shared = docs.sparkSession.sparkContext.broadcast(factors)
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, factor = Sampler(), shared.value
         for batch in batches:
@@ -142,10 +164,39 @@ def signatures(docs: DataFrame, factors: np.ndarray) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~has))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), lists, pa.array(total)], ["doc_id", "text_hash", "samples", "weight"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash(F.col("text")).alias("text_hash"), "text")
     return rows.mapInArrow(work, "doc_id bigint, text_hash string, samples array<bigint>, weight double")
 
 
+def shingle_store(docs: DataFrame, nodes: DataFrame, n_nodes: int, factors: np.ndarray) -> DataFrame:
+    """(node, grams, weights) of the nodes (node, doc_id), as bytes; a node's text is taken from the row with that id."""
+    shared = docs.sparkSession.sparkContext.broadcast(factors)
+
+    @released
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, raw, off in chunks(batch, "text"):
+                doc, gram, count = _shingles(raw, off)
+                weight = _weights(gram, count, shared.value)
+                cut = np.searchsorted(doc, np.arange(end - row + 1))
+                grams, weights = ([x[i:j].tobytes() for i, j in zip(cut, cut[1:])] for x in (gram, weight))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(grams, pa.binary()), pa.array(weights, pa.binary())], ["node", "grams", "weights"])
+
+    wanted = checkpointed(nodes, n_nodes)
+    if wanted.count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    rows = docs.select(_node(_text_hash(F.col("text"))).alias("node"), F.col("doc_id").cast("bigint").alias("id"), "text")
+    found = rows.join(wanted, (rows["node"] == wanted["node"]) & rows["id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    found = found.select("node", "text").mapInArrow(work, "node bigint, grams binary, weights binary")
+    return found.groupBy("node").agg(F.min_by(F.struct("grams", "weights"), "grams").alias("x")).select("node", "x.*")
+
+
+def _shingles_of(batch: pa.RecordBatch, side: str = "") -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and weights of each row of a batch of the store."""
+    grams, weights = (batch.column(batch.schema.get_field_index(side + x)) for x in ("grams", "weights"))
+    return [(np.frombuffer(g.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.float32)) for g, w in zip(grams, weights)]
+
+
 def agreement(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
@@ -165,70 +216,61 @@ def weighted_jaccard(left: tuple, right: tuple) -> float:
     return float(low / high) if high else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, factors: np.ndarray) -> DataFrame:
-    """Pairs whose exact weighted Jaccard similarity is at least 0.8. Texts of paired documents meet by shuffles."""
-    shared = docs.sparkSession.sparkContext.broadcast(factors)
+def verified(pairs: DataFrame, n_pairs: int, store: DataFrame) -> DataFrame:
+    """Pairs whose exact weighted Jaccard similarity is at least 0.8. Shingles of paired nodes meet by shuffles."""
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                sides = []
-                for name in ("a_text", "b_text"):
-                    own: list[tuple] = []
-                    for _, end, raw, off in chunks(pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(name))], ["text"]), "text"):
-                        doc, gram, count = _shingles(raw, off)
-                        weight = _weights(gram, count, factor)
-                        cut = np.searchsorted(doc, np.arange(len(off)))
-                        own += [(gram[cut[d] : cut[d + 1]], weight[cut[d] : cut[d + 1]]) for d in range(len(off) - 1)]
-                    sides.append(own)
-                good = pa.array([weighted_jaccard(x, y) >= SIMILARITY for x, y in zip(*sides)], pa.bool_())
-                yield part.select(["a", "b"]).filter(good)
-
-    texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").mapInArrow(work, "a bigint, b bigint").distinct()
-
-
-def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and text of the documents with these ids."""
-    ids = checkpointed(nodes)
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(ids, "node", "left_semi")
-
-
-def own_weight(docs: DataFrame, nodes: DataFrame, factors: np.ndarray) -> DataFrame:
+            good = [weighted_jaccard(x, y) >= SIMILARITY for x, y in zip(_shingles_of(batch, "a_"), _shingles_of(batch, "b_"))]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one, two = (store.select(F.col("node").alias(x), F.col("grams").alias(f"{x}_grams"), F.col("weights").alias(f"{x}_weights")) for x in "ab")
+    with small_batches(store.sparkSession):
+        return checkpointed(pairs.join(one, "a").join(two, "b").mapInArrow(work, "a bigint, b bigint"), n_pairs)
+
+
+def own_weight(store: DataFrame) -> DataFrame:
     """(node, own): the weight of each node's shingles that no other of these nodes has."""
-    shared = docs.sparkSession.sparkContext.broadcast(factors)
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for row, _, raw, off in chunks(batch, "text"):
-                doc, gram, count = _shingles(raw, off)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row + doc]), pa.array(gram.astype(np.int64)), pa.array(_weights(gram, count, shared.value))], ["node", "gram", "weight"])
+            for row, (gram, weight) in enumerate(_shingles_of(batch)):
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[row], len(gram)), pa.array(gram.view(np.int64)), pa.array(weight)], ["node", "gram", "weight"])
 
-    grams = _texts_of(docs, nodes).mapInArrow(work, "node bigint, gram bigint, weight float")
+    grams = store.mapInArrow(work, "node bigint, gram bigint, weight float")
     alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
     return alone.groupBy("node").agg(F.sum("weight").alias("own"))
 
 
-def fine_bits(docs: DataFrame, nodes: DataFrame, factors: np.ndarray) -> DataFrame:
-    """(node, bits): one bit of each of ``FINE_SAMPLES`` samples, in longs."""
-    shared = docs.sparkSession.sparkContext.broadcast(factors)
+def fine_samples(store: DataFrame, n_nodes: int) -> DataFrame:
+    """(node, bits, keys): one bit of each of ``FINE_SAMPLES`` samples, in longs, and the keys of the second banding."""
 
+    @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(FINE_SAMPLES, 12, 11)
+        sampler = Sampler(FINE_SAMPLES, 12, 64, 11)
+        lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
         for batch in batches:
-            for row, end, raw, off in chunks(batch, "text", 300_000):
-                doc, gram, count = _shingles(raw, off)
-                found = sampler.samples(doc, gram, _weights(gram, count, shared.value), end - row)
-                bits = np.packbits((mix(found.view(np.uint64)) & np.uint64(1)).astype(bool), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), bits.shape[1]).cast(pa.list_(pa.int64()))], ["node", "bits"])
+            for at in range(0, len(batch), 128):
+                part = batch.slice(at, 128)
+                own = _shingles_of(part)
+                doc = np.repeat(np.arange(len(own)), [len(g) for g, _ in own])
+                found = sampler.samples(doc, *(np.concatenate(x) for x in zip(*own)), len(own)).view(np.uint64)
+                bits = np.packbits((mix(found) & np.uint64(1)).astype(bool), axis=1).view(np.int64)
+                key = np.zeros((len(own), FINE_BANDS), np.uint64)
+                for i in range(FINE_ROWS):
+                    key = mix(key + found[:, i : FINE_BANDS * FINE_ROWS : FINE_ROWS])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(bits), lists(key.view(np.int64))], ["node", "bits", "keys"])
+
+    with small_batches(store.sparkSession):
+        return written(store.mapInArrow(work, "node bigint, bits array<bigint>, keys array<bigint>"), n_nodes)
+
 
-    return _texts_of(docs, nodes).mapInArrow(work, "node bigint, bits array<bigint>").groupBy("node").agg(F.min("bits").alias("bits"))
+def _close(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose bits differ in few places."""
+    one, two = (fine.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").where(_different(F.col("a_bits"), F.col("b_bits")) <= MOST_DIFFERENT).select("a", "b")
 
 
 def _different(a: Column, b: Column) -> Column:
@@ -240,21 +282,22 @@ def _first_band(a: Column, b: Column) -> Column:
     return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, class) of all nodes of the edges; a class is the least node that is reached.
+def components(edges: DataFrame, n_nodes: int) -> DataFrame:
+    """(node, class) of all nodes of the edges (n at most); a class is the least node that is reached.
 
     Each round takes the least class among the neighbours and then that class's own class, until nothing changes.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")))
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("class")))
-    while True:
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("class")), n_nodes)
+    for _ in range(MAX_ROUNDS):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("other"))
         step = labels.join(near, "node").select("node", "class", F.least("class", "other").alias("next"))
         jump = step.join(labels.select(F.col("node").alias("next"), F.col("class").alias("far")), "next", "left")
-        new = checkpointed(jump.select("node", F.least("next", F.coalesce("far", "next")).alias("class"), (F.least("next", F.coalesce("far", "next")) != F.col("class")).alias("changed")))
+        new = checkpointed(jump.select("node", F.least("next", F.coalesce("far", "next")).alias("class"), (F.least("next", F.coalesce("far", "next")) != F.col("class")).alias("changed")), n_nodes)
         labels = new.select("node", "class")
         if new.where("changed").isEmpty():
             return labels
+    raise RuntimeError(f"classes still change after {MAX_ROUNDS} rounds")
 
 
 def _open_buckets(placed: DataFrame) -> DataFrame:
@@ -284,59 +327,93 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal texts with words, and texts linked by similarities of 0.8 or more, are in one class. A text without words
     (null or empty) is in no class with others: its class_id is its doc_id. Rows with the same id are one document, so
-    their classes are one. A row without an id finds the class of its text, or null. Other columns are left out.
+    the classes of their texts with words are one. A row without an id is in the class of its text; a class without any
+    id has the class_id null. Other columns are left out.
     """
     return classes(docs).select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each class of ``near_duplicates``, with all columns: that with the class's id.
+    """One row of each class of ``near_duplicates``, with all columns: one with the class's id, if it has one.
 
-    Texts without words stay. Of several rows with one id one stays (by the hash of its text, then of all columns); rows
-    without an id stay once for each text, unless a row with an id is in their class.
+    Texts without words stay. Of several rows with one id one stays (by the hash of its text, then of all columns); of a
+    class without any id the row whose text has the least hash stays, and texts without words and id stay once each.
     """
 
     def name(doc_id: Column, text_hash: Column) -> Column:
         return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text_hash, F.lit("null")))
 
     found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    unique = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), "text_hash"), F.lit("null"))
+    unique = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("class "), F.col("class").cast("string")), F.concat(F.lit(":"), "text_hash"), F.lit("null"))
     stays = found.groupBy(unique).agg(F.min(name(F.col("doc_id"), F.col("text_hash"))).alias("name")).select("name")
-    named = docs.select(F.struct("*").alias("doc"), name(F.col("doc_id"), F.sha2(F.col("text").cast("binary"), 256)).alias("name"))
+    named = docs.select(F.struct("*").alias("doc"), name(F.col("doc_id"), _text_hash(F.col("text"))).alias("name"))
     first = F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("doc")))
     return named.join(stays, "name", "left_semi").withColumn("place", first).where("place = 1").select("doc.*")
 
 
+def _same_id(rows: DataFrame) -> DataFrame:
+    """Links between the texts of one id: each with the least."""
+    known = rows.where("doc_id IS NOT NULL AND samples IS NOT NULL").select("doc_id", "node")
+    several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    return known.join(several, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct()
+
+
+def _classed(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    return placed.drop("class").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and class_id of each row; see ``near_duplicates``."""
-    factors = rarity(docs)
-    rows = written(signatures(docs, factors))
-    texts = rows.where(F.col("samples").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.min("samples").alias("samples"), F.min("weight").alias("weight"))
-    texts = written(texts)
-    nodes = texts.where(F.col("node").isNotNull()).select("node", "samples", "weight")
+    """doc_id, text_hash, class (the least node; null without words) and class_id of each row; see ``near_duplicates``."""
+    with small_batches(docs.sparkSession, "16m"):
+        frequency, n_docs = frequencies(docs)
+        factors = rarity(frequency, n_docs)
+        rows = written(signatures(docs, factors), n_docs)
+    rows = rows.withColumn("node", _node(F.col("text_hash")))
+    texts = rows.where(F.col("samples").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("samples").alias("samples"), F.min("weight").alias("weight"))
+    texts = written(texts, n_docs)
+    nodes, n_nodes = texts.select("node", "samples", "weight"), texts.count()
     keys = F.array(*[F.xxhash64(F.lit(i), F.slice("samples", 1 + ROWS * i, ROWS)) for i in range(BANDS)])
     members = nodes.select("node", F.posexplode(keys).alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    held = written(members.join(shared, ["band", "key"]))
-    own = own_weight(docs, held.select("node").distinct(), factors)
-    bounds = held.select("node").distinct().join(own, "node", "left").join(nodes.select("node", "weight"), "node")
-    bounds = bounds.select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common")).where(F.col("common") >= (SIMILARITY - SLACK) * F.col("weight"))
-    viable = written(held.join(bounds, "node").select("node", "band", "key", "weight", "common", F.col("node").alias("class")))
-    tested = checkpointed(plausible(_led_pairs(_open_buckets(viable)).distinct(), nodes))
-    links = checkpointed(verified(tested, docs, factors))
-    labels = components(links)
-
-    viable = _open_buckets(viable.drop("class").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")))
-    viable = checkpointed(viable)
-    bits = fine_bits(docs, viable.select("node").distinct(), factors)
-    viable = written(viable.join(bits.join(nodes.select("node", keys.alias("keys")), "node"), "node"))
-    left, right = viable.alias("l"), viable.alias("r")
-    across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & _possible("l", "r") & (_different(F.col("l.bits"), F.col("r.bits")) <= MOST_DIFFERENT) & (_first_band(F.col("l.keys"), F.col("r.keys")) == F.col("l.band")))
-    across = across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    more = checkpointed(plausible(across.join(tested, ["a", "b"], "left_anti"), nodes))
-    if not more.isEmpty():
-        links = checkpointed(links.union(verified(more, docs, factors)))
-        labels = components(links)
-
-    known = texts.select("text_hash", "node").join(labels, "node", "left").select("text_hash", F.coalesce("class", "node").alias("class"))
-    return rows.select("doc_id", "text_hash").join(known, "text_hash", "left").select("doc_id", "text_hash", F.coalesce("class", "doc_id").alias("class_id"))
+    held = written(members.join(shared, ["band", "key"]), BANDS * n_nodes)
+    n_held = held.count()
+    candidates = held.select("node").distinct()
+    with small_batches(docs.sparkSession):
+        store = written(shingle_store(docs, texts.join(candidates, "node", "left_semi").select("node", "doc_id"), n_nodes, factors), n_nodes)
+        bounds = candidates.join(own_weight(store), "node", "left").join(nodes.select("node", "weight"), "node")
+        bounds = bounds.select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common"))
+        bounds = checkpointed(bounds.where(F.col("common") >= (SIMILARITY - SLACK) * F.col("weight")), n_nodes)
+    viable = written(held.join(bounds, "node").select("node", "band", "key", "weight", "common", F.col("node").alias("class")), n_held)
+    tested = checkpointed(plausible(_led_pairs(_open_buckets(viable)).distinct(), nodes), n_held)
+    links = verified(tested, n_held, store)
+    same_id = _same_id(rows)
+    if not same_id.isEmpty():
+        links = links.union(checkpointed(same_id, n_nodes))
+    labels = components(links, n_nodes)
+
+    still = checkpointed(_open_buckets(_classed(viable, labels)).select("node").distinct(), n_nodes)
+    n_still = still.count()
+    if n_still:
+        fine = fine_samples(store.join(still, "node", "left_semi"), n_still)
+        placed = bounds.join(fine, "node").select("node", "weight", "common", "bits", "keys", F.posexplode("keys").alias("band", "key"), F.col("node").alias("class"))
+        led = _led_pairs(_open_buckets(_classed(placed, labels))).distinct()
+        led = checkpointed(_close(led, fine).join(tested, ["a", "b"], "left_anti"), FINE_BANDS * n_still)
+        links = links.union(verified(led, led.count(), store))
+        labels = components(links, n_nodes)
+
+        placed = checkpointed(_open_buckets(_classed(placed, labels)), FINE_BANDS * n_still)
+        left, right = placed.alias("l"), placed.alias("r")
+        across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & _possible("l", "r") & (_different(F.col("l.bits"), F.col("r.bits")) <= MOST_DIFFERENT) & (_first_band(F.col("l.keys"), F.col("r.keys")) == F.col("l.band")))
+        across = across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+        more = checkpointed(across.join(tested.union(led), ["a", "b"], "left_anti"))
+        n_more = more.count()
+        if n_more:
+            links = links.union(verified(more, n_more, store))
+            labels = components(links, n_nodes)
+
+    known = texts.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("class", "node").alias("class"))
+    least = known.groupBy("class").agg(F.min("doc_id").alias("least"))
+    known = known.join(least, "class").select("node", "class", "least")
+    found = rows.select("doc_id", "text_hash", "samples", "node").join(known, "node", "left")
+    has = F.col("samples").isNotNull()
+    return found.select("doc_id", "text_hash", F.when(has, F.col("class")).alias("class"), F.when(has, F.col("least")).otherwise(F.col("doc_id")).alias("class_id"))

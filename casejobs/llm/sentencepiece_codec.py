@@ -21,9 +21,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Results of runs, and of pair checks, that a Python worker keeps at most, from task to task.
-KEPT_RUNS = 800_000
-KEPT_PAIRS = 500_000
+#: Bytes of results of runs, about, and number of pair checks, that a Python worker keeps at most, from task to task.
+KEPT_BYTES = 120_000_000
+KEPT_PAIRS = 300_000
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -232,28 +232,37 @@ _RUN = re.compile(r" *[^ \n]+|\n+| +")
 class _Runs(dict):
     """run -> (number of ids, their text with a space before each, decoded text)
 
-    When the table is full it becomes the older half; what is used again moves to the new half.
+    When half of the bytes are used the table becomes the older half; what is used again moves to the new half.
     """
 
+    #: Bytes of an entry besides its characters: four objects, a number and the places in the table.
+    ENTRY = 420
+
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
         self.older: dict[str, tuple[int, str, str]] = {}
+        self.bytes = 0
 
-    def __missing__(self, run: str) -> tuple[int, str, str]:
-        if len(self) >= KEPT_RUNS // 2:
+    def keep(self, run: str, found: tuple[int, str, str]) -> None:
+        if self.bytes >= KEPT_BYTES // 2:
             self.older = dict(self)
             self.clear()
-        found = self.older.get(run)
+            self.bytes = 0
+        self[run] = found
+        self.bytes += self.ENTRY + len(run) + len(found[1]) + len(found[2])
+
+    def __missing__(self, run: str) -> tuple[int, str, str]:
+        found = self.older.pop(run, None)
         if found is not None:
-            self[run] = found
+            self.keep(run, found)
             return found
         ids = self.codec.encode_run(run.replace(" ", SPACE))
         digits, shown = self.codec.digits, self.codec.shown
         plain = self.codec.characters.issuperset(run.replace(" ", SPACE))
         found = (len(ids), "".join([digits[i] for i in ids]), "".join([shown[i] for i in ids]) if plain else self.codec._text(ids))
         if len(run) <= 64:
-            self[run] = found
+            self.keep(run, found)
         return found
 
 
