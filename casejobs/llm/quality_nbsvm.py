@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, chunks
+from .sampling import hash_sample
 
 WORD_BITS = 17
 BYTE_BITS = 16
@@ -125,25 +127,27 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN_DOCS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct features and labels of at most ``limit`` labelled rows outside the held-out fold, in hash order."""
+    """Distinct features and labels of at most ``limit`` labelled ids outside the held-out fold, chosen by a hash.
+
+    An id with several labels counts with the least, and an id with several texts with the one that has the least hash.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    label = {r[0]: r[1] for r in known.collect()}
+    known = hash_sample(known.groupBy("doc_id").agg(F.min("quality").alias("quality")), limit, F.col("doc_id")).collect()
+    label = {r[0]: r[1] for r in known}
     ids = np.sort(np.array(list(label), dtype=np.int64))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = pa.array([x.as_py() is not None and x.as_py() in label for x in batch.column(0)], pa.bool_())
-            batch = batch.filter(wanted)
+            batch = batch.filter(pc.is_in(batch.column(0).cast(pa.int64()), pa.array(ids)))
             for row, end, raw, off in chunks(batch, "text"):
                 found = [np.unique(x).astype(np.int32).tobytes() for x in _features(raw, off)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(found, pa.binary())], ["doc_id", "features"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, end - row).select(["doc_id", "place"]).columns, pa.array(found, pa.binary())], ["doc_id", "place", "features"])
 
     if not len(ids):
         return [], np.zeros(0, np.int64)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = docs.select("doc_id", "text").mapInArrow(take, f"doc_id {kind}, features binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = docs.select("doc_id", "text", F.xxhash64("text").alias("place")).mapInArrow(take, f"doc_id {kind}, place bigint, features binary")
+    got = got.groupBy("doc_id").agg(F.min_by("features", F.struct("place", "features")).alias("features")).toPandas().sort_values("doc_id")
     return [np.frombuffer(x, np.int32) for x in got["features"]], np.array([label[x] for x in got["doc_id"]], np.int64)
 
 
