@@ -1,7 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Words are summed per source (partial sums in each task), targets and repetition rates follow from the sums, and each
-document is taken floor(rate) times plus once more if a coin, seeded by a hash of its id, falls below the fraction.
+document is taken floor(rate) times plus once more if a coin, seeded by a hash of its id, falls below the fraction. A
+document without an id seeds its coin by its text, so that a source of such documents is not taken as one.
 """
 
 from __future__ import annotations
@@ -17,14 +18,38 @@ WEIGHTS = (3, 1, 2)
 #: The mix's size as a share of all words, and the most that a document is repeated.
 TOTAL_SHARE = 1.5
 MOST_REPEATS = 2
-#: The per-source table is broadcast up to this many sources, and joined by a shuffle beyond.
+#: The per-source table is broadcast up to this many sources. Beyond, documents and sources meet by a shuffle in which
+#: each source is dealt out in so many parts.
 MAX_BROADCAST_SOURCES = 20_000
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def _in_order(table: DataFrame, order: list[Column], sums: dict[str, str]) -> tuple[DataFrame, list[int]]:
+    """The table with ``place`` (from 1) in the given order and running sums (name: column) up to the row before; and the
+    whole sums.
+
+    Rows are dealt into ranges of the order, each range counts for itself, and only one row for each range meets the
+    others, so no task sees the whole table.
+    """
+    table = checkpointed(table.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    totals = table.groupBy("range").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"all_{s}") for s, c in sums.items()))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("range", *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"before_{x}") for x in ("n", *(f"all_{s}" for s in sums))))
+    within = Window.partitionBy("range").orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, -1)
+    placed = table.join(F.broadcast(before), "range").select(
+        *(c for c in table.columns if c != "range"),
+        (F.col("before_n") + F.row_number().over(within)).alias("place"),
+        *((F.col(f"before_all_{s}") + F.coalesce(F.sum(c).over(so_far), F.lit(0))).alias(s) for s, c in sums.items()),
+    )
+    whole = totals.agg(*(F.sum(f"all_{s}") for s in sums)).first() if sums else ()
+    return placed, [x or 0 for x in whole]
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, target and rate of each source, from rows (source, size).
 
@@ -33,43 +58,44 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     sum finds the level at which the rest share.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("int"))
-    table = per_source.select("source", "source_size", weight.cast("double").alias("weight"))
-    table = table.withColumn("most", F.lit(float(MOST_REPEATS)) * F.col("source_size"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    everything = Window.partitionBy()
-    total = F.lit(TOTAL_SHARE) * F.sum("source_size").over(everything)
-    table = table.withColumn("level", (total - before) / rest).withColumn("place", F.row_number().over(order))
-    free = F.col("most") / F.col("weight") >= F.col("level")
-    level = F.min_by(F.when(free, F.col("level")), F.when(free, F.col("place"))).over(everything)
-    table = table.withColumn("level", level)
-    target = F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most")))
+    named, _ = _in_order(per_source, [F.col("source").asc_nulls_last()], {})
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("place") - 1) % len(WEIGHTS) + 1).cast("int"))
+    named = named.select("source", "source_size", weight.cast("bigint").alias("weight"))
+    named = named.withColumn("edge", F.lit(float(MOST_REPEATS)) * F.col("source_size") / F.col("weight"))
+    table, (all_sizes, all_weights) = _in_order(named, [F.col("edge").asc(), F.col("source").asc_nulls_last()], {"sizes": "source_size", "weights": "weight"})
+    level = (F.lit(TOTAL_SHARE * all_sizes) - F.lit(float(MOST_REPEATS)) * F.col("sizes")) / (F.lit(all_weights) - F.col("weights"))
+    table = checkpointed(table.select("source", "source_size", "weight", "edge", "place", level.alias("level")))
+    shared = table.where(F.col("edge") >= F.col("level")).agg(F.min_by("level", "place")).first()[0]
+    most = F.lit(float(MOST_REPEATS)) * F.col("source_size")
+    target = F.least(most, F.coalesce(F.lit(shared).cast("double") * F.col("weight"), most))
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
     return table.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def coin(doc_id: Column) -> Column:
-    """A number in [0, 1) that depends on the id alone: the first 13 hexadecimal digits of its MD5."""
-    text = F.coalesce(doc_id.cast("string"), F.lit("null"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+def coin(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) that depends on the id, or without one on the text: the first 13 hexadecimal digits of an MD5."""
+    seed = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(seed.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc`` (a struct of its columns), size, source_size, target and copies.
 
     Null and empty texts have size 0 and are taken as often as the coin says; they add nothing. Null is a source of its
-    own, the last in order. Rows with the same id have the same coin. Extra columns, whatever their names, stay in ``doc``.
+    own, the last in order. Rows with the same id have the same coin, and so have rows without an id that have the same
+    text. Extra columns, whatever their names, stay in ``doc``.
     """
     rows = docs.select(F.struct("*").alias("doc"), word_count(F.col("text")).alias("size"))
     sizes = rows.select(F.col("doc.source").alias("source"), "size")
     table = checkpointed(source_targets(sizes))
+    same = rows["doc"]["source"].eqNullSafe(table["source"])
     if table.count() <= MAX_BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    joined = rows.join(table, rows["doc"]["source"].eqNullSafe(table["source"]))
-    extra = coin(F.col("doc.doc_id")) < F.col("rate") - F.floor("rate")
+        joined = rows.join(F.broadcast(table), same)
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc.doc_id", "doc.text"), F.lit(SALTS)).cast("int"))
+        parts = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(parts, rows["doc"]["source"].eqNullSafe(parts["source"]) & (F.col("salt") == F.col("part")))
+    extra = coin(F.col("doc.doc_id"), F.col("doc.text")) < F.col("rate") - F.floor("rate")
     return joined.select("doc", "size", "source_size", "target", (F.floor("rate") + extra.cast("bigint")).alias("copies"))
 
 

@@ -82,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP2_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
 m AS (SELECT *, 2.0::DOUBLE * source_size AS most FROM w),
@@ -94,7 +94,7 @@ v AS (SELECT level FROM l WHERE edge >= level ORDER BY place LIMIT 1),
 t AS (SELECT source, source_size, least(most, coalesce((SELECT level FROM v) * weight, most)) AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t)
 SELECT d.doc_id, d.size, r.source_size, r.target,
-  d.size * (floor(r.rate)::BIGINT + CASE WHEN ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE
+  d.size * (floor(r.rate)::BIGINT + CASE WHEN ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null:' || coalesce(d.text, ''))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE
     < r.rate - floor(r.rate) THEN 1 ELSE 0 END) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
