@@ -24,13 +24,17 @@ from .arrays import chunks
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: leftmost matches that do not overlap; those with fewer characters in ``group`` are dropped."""
+    """A kind of secret: leftmost matches that do not overlap; those with fewer characters in ``group`` are dropped.
+
+    The secret itself is the match's group ``span``.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     base: bool = False
+    span: int = 0
 
 
 # A private key in PEM form: from the BEGIN line to the END line, which no other BEGIN or END comes before. Without an
@@ -44,6 +48,11 @@ _RUN = rf"{_MARKS}(?:{_BREAK}{_MARKS})*+[A-Za-z0-9+/=]{{40,}}+"
 _TO_END = r"[^-]*+(?:(?!-----(?:BEGIN|END)\x20)-[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
 _PRIVATE_KEY = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_FIELDS}(?:{_RUN}|{_LINE})*+)"
 
+# A token of three parts joined by dots. A run of its characters is looked at from its first mark on and from nowhere
+# else, so that a long run is gone over once.
+_PART = "[A-Za-z0-9_-]"
+_JWT = rf"(?<!{_PART})(?>{_PART}*?(?=eyJ))(eyJ{_PART}{{8,}}+\.eyJ{_PART}{{8,}}+\.{_PART}++)"
+
 # The base kinds and published formats of access tokens.
 RULES = (
     Rule("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
@@ -53,7 +62,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("jwt", _JWT, span=1),
     Rule("private_key", _PRIVATE_KEY),
     Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/:@]{4,}+@"),
 )
@@ -80,15 +89,22 @@ def _of_text(text: str) -> Query:
 _MOST_TEXTS = 64
 
 
+#: Letters that match others outside ASCII where a pattern ignores case.
+_OUTSIDE_ASCII = frozenset("iksIKS")
+
+
 def trigram_query(pattern: str) -> Query:
-    """The Boolean trigram query that every document with a match satisfies."""
+    """The Boolean trigram query that every document with a match satisfies.
 
-    def walk(items) -> tuple[set[str] | None, Query]:
+    What is not literal asks for nothing; nor do letters that match others outside ASCII, since postings fold ASCII only.
+    """
+
+    def walk(items, flags: int) -> tuple[set[str] | None, Query]:
         """(all texts that the items can match, or None if there are many; the query)"""
         exact: set[str] | None = {""}
         needed: list[Query] = []
         for op, arg in items:
-            texts, query = one(op, arg)
+            texts, query = one(op, arg, flags)
             if exact is not None and texts is not None and len(exact) * len(texts) <= _MOST_TEXTS:
                 exact = {a + b for a in exact for b in texts}
                 continue
@@ -102,20 +118,23 @@ def trigram_query(pattern: str) -> Query:
             needed.append(_join("or", [_of_text(x) for x in sorted(exact)]))
         return None, _join("and", needed)
 
-    def one(op, arg) -> tuple[set[str] | None, Query]:
+    def loose(c: int, flags: int) -> bool:
+        return bool(flags & re.IGNORECASE and not flags & re.ASCII and (c > 127 or chr(c) in _OUTSIDE_ASCII))
+
+    def one(op, arg, flags: int) -> tuple[set[str] | None, Query]:
         if op is rc.LITERAL:
-            return {chr(arg)}, True
+            return None if loose(arg, flags) else {chr(arg)}, True
         if op is rc.IN and len(arg) <= 8 and all(k is rc.LITERAL for k, _ in arg):
-            return {chr(c) for _, c in arg}, True
+            return None if any(loose(c, flags) for _, c in arg) else {chr(c) for _, c in arg}, True
         if op is rc.SUBPATTERN:
-            return walk(arg[3])
+            return walk(arg[3], (flags | arg[1]) & ~arg[2])
         if op is rc.BRANCH:
-            found = [walk(x) for x in arg[1]]
+            found = [walk(x, flags) for x in arg[1]]
             texts = set().union(*(t for t, _ in found)) if all(t is not None for t, _ in found) else None
             return texts, _join("or", [q for _, q in found])
         if op in (rc.MAX_REPEAT, rc.MIN_REPEAT):
             low, high, inner = arg
-            texts, query = walk(inner)
+            texts, query = walk(inner, flags)
             if (low, high) == (0, 1) and texts is not None:
                 return texts | {""}, True
             if low and low == high == 1:
@@ -123,7 +142,8 @@ def trigram_query(pattern: str) -> Query:
             return None, query if low else True
         return ({""} if op is rc.AT else None), True
 
-    return walk(rp.parse(pattern))[1]
+    parsed = rp.parse(pattern)
+    return walk(parsed, parsed.state.flags)[1]
 
 
 def _grams(query: Query) -> set[str]:
@@ -165,7 +185,6 @@ class Segment:
         return out
 
 
-
 class Scanner:
     """Rules made ready in a task."""
 
@@ -189,7 +208,7 @@ class Scanner:
                 for d in segment.find(query).tolist():
                     for m in pattern.finditer(own[d] or ""):
                         if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                            spans[d].append((m.start(), i, m.end()))
+                            spans[d].append((m.start(rule.span), i, m.end(rule.span)))
             for found in spans:
                 found.sort()
             yield row, end, spans, [redact(text, found) if found else text for text, found in zip(own, spans)]
