@@ -10,7 +10,8 @@ Documents are dealt into blocks; all exchanges below are between blocks and buck
    them by multikey quicksort. Equal suffixes are neighbours, so a document learns whether a smaller one has the same
    suffix with all its windows. Different suffixes with the same leading token are neighbours too; their windows are
    sorted and compared in the bucket, unless the token goes on across a boundary splitter or has very many suffixes.
-3. The windows of those stay open: as suffixes of 50 bytes they are range-partitioned and sorted in the same way.
+3. The windows of those stay open: as suffixes of 50 bytes they meet in buckets by a hash, which spreads the windows of
+   one token, and are sorted there in the same way.
 
 Blocks send each distinct suffix once with its least id, so a passage that a third of all documents share costs a bucket
 one row per block. Decisions compare bytes, not hashes.
@@ -27,18 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import byte_view, mix
+from .arrays import byte_view, mix, released
 
 LENGTH = 50
 TOKEN = 24
-#: Text bytes of a block, about; and the most buckets of an exchange.
+#: Text bytes of a block, about. There are as many buckets as blocks, so that both stay small.
 BLOCK_BYTES = 6_000_000
-MAX_BUCKETS = 4096
 #: Text bytes that are hashed at once, so that the arrays stay in the processor's caches.
 CHUNK_BYTES = 200_000
 #: Suffixes with one leading token that a bucket compares itself; and how many whose windows it sorts at once.
 GROUP_LIMIT, SLICE = 50_000, 30_000
-#: Documents, and suffixes of each, from which splitters are sampled.
+#: Documents (one for each bucket, if these are more), and suffixes of each, from which splitters are sampled, about.
 SAMPLE_DOCS, SAMPLE_SUFFIXES = 1024, 48
 
 _SPAN = LENGTH - TOKEN + 1  # token places in a window
@@ -183,6 +183,16 @@ class Distinct:
         return np.concatenate([[0], np.searchsorted(keys, splitters, side="left"), [self.n]])
 
 
+    def by_hash(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the records by bucket, and where each bucket begins in it, and the end."""
+        h = np.zeros(self.n, np.uint64)
+        for word in _words(self.records).T if self.n else ():
+            h = mix(h * np.uint64(_base) + word)
+        bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
 _SENT = "bucket int, block bigint, n bigint, records binary, least binary"
 _ANSWER = "block bigint, level int, bucket int, n bigint, one binary, two binary, masks binary"
 
@@ -214,7 +224,6 @@ class Plan:
     buckets: int
     key_bits: int
     contexts: np.ndarray  # splitters
-    windows: np.ndarray
 
 
 class Block:
@@ -223,6 +232,7 @@ class Block:
     def __init__(self, table: pa.Table, plan: Plan):
         self.plan = plan
         self.number = table.column("block")[0].as_py()
+        self.no_id = table.column("doc_id").is_null().to_numpy()
         self.ids = table.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()
         self.raw, self.off = byte_view(table.column("text"))
         self.anchors = find_anchors(self.raw, self.off)
@@ -273,15 +283,25 @@ class Block:
         self.window_ids = np.repeat(context.least[self.opened], size)
         return context, Distinct(_windows(self.raw, start), self.window_ids)
 
-    def send(self, distinct: Distinct, splitters: np.ndarray) -> pa.Table:
-        cut = distinct.cuts(splitters)
+    def send(self, distinct: Distinct) -> pa.Table:
+        """Level 2: each range of suffixes to its bucket."""
+        return self._send(distinct, distinct.cuts(self.plan.contexts))
+
+    def send_windows(self, distinct: Distinct) -> pa.Table:
+        """Level 3: windows by their hash."""
+        order, cut = distinct.by_hash(self.plan.buckets)
+        distinct.records, distinct.least = distinct.records[order], distinct.least[order]
+        return self._send(distinct, cut)
+
+    def _send(self, distinct: Distinct, cut: np.ndarray) -> pa.Table:
         where = np.flatnonzero(np.diff(cut)).tolist()
         rows = [(int(cut[b + 1] - cut[b]), _squeeze(distinct.records[cut[b] : cut[b + 1]], False), _squeeze(distinct.least[cut[b] : cut[b + 1]], True)) for b in where]
         return _sent(self.number, where, rows)
 
     def result(self, answers: pa.Table) -> pa.Table:
         context, window = self.open_windows(answers)
-        found = _answers(answers, 3)[0]
+        found = np.zeros(window.n, bool)
+        found[window.by_hash(self.plan.buckets)[0]] = _answers(answers, 3)[0]
         removed = np.zeros(len(self.raw) + 1, np.int64)  # first as steps: +1 where removed windows begin, -1 after the last
         a = self.anchors
         if context.n:
@@ -312,7 +332,7 @@ class Block:
         before[inner] = False
         total, runs = (np.concatenate([[0], np.cumsum(x)]) for x in (covered, covered & ~before))
         kept = [hashlib.sha256(self.raw[x:y][~covered[x:y]].tobytes()).hexdigest() for x, y in zip(self.off, self.off[1:])]
-        ids = pa.array(self.ids, mask=self.ids == np.iinfo(np.int64).max)
+        ids = pa.array(self.ids, mask=self.no_id)
         return pa.table({"doc_id": ids, "n_bytes": np.diff(self.off), "n_removed": np.diff(total[self.off]), "n_spans": np.diff(runs[self.off]), "kept_sha256": pa.array(kept, pa.string())})
 
 
@@ -402,29 +422,30 @@ def _window_masks(records: np.ndarray, least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduceat(bits, np.cumsum(count) - count)
 
 
-def _splitters(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Splitters for suffixes at anchors and for windows, from a bounded, hash-ordered sample of documents."""
+def _splitters(docs: DataFrame, n_docs: int, buckets: int) -> np.ndarray:
+    """Splitters for suffixes at anchors, from those of documents that a hash of the text picks.
+
+    Blocks send equal suffixes once, so the sample counts them once, too; only the sampled suffixes reach the driver.
+    """
 
+    @released
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 raw, off = byte_view(batch.column(0).slice(row, 1))
                 a = find_anchors(raw, off)
                 some = np.linspace(0, len(a.place) - 1, min(len(a.place), SAMPLE_SUFFIXES)).astype(np.int64)
-                starts = (a.low[some] + a.high[some]) // 2
                 records = [x.tobytes() for x in _contexts(raw, a.place[some], a.low[some], a.high[some])]
-                yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary()), pa.array([x.tobytes() for x in _windows(raw, starts)], pa.binary())], ["context", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["context"])
 
     if buckets < 2:
-        return np.zeros(0, f"S{_CONTEXT}"), np.zeros(0, f"S{_WINDOW}")
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.coalesce("text", F.lit("")).alias("text"))
-    got = some.mapInArrow(sample, "context binary, window binary").toPandas()
-    out = []
-    for name, width in (("context", _CONTEXT), ("window", _WINDOW)):
-        records = np.sort(np.array([bytes(x) for x in got[name]], dtype=f"S{width}"))
-        at = np.linspace(0, len(records), buckets + 1).astype(np.int64)[1:-1]
-        out.append(np.unique(records[at]) if len(records) else records)
-    return out[0], out[1]
+        return np.zeros(0, f"S{_CONTEXT}")
+    share = min(1.0, max(SAMPLE_DOCS, buckets) / max(1, n_docs))
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1 << 31)) < F.lit(round(share * (1 << 31)))).select(F.coalesce("text", F.lit("")).alias("text"))
+    got = some.mapInArrow(sample, "context binary").distinct().toPandas()
+    records = np.sort(np.array([bytes(x) for x in got["context"]], dtype=f"S{_CONTEXT}"))
+    at = np.linspace(0, len(records), buckets + 1).astype(np.int64)[1:-1]
+    return np.unique(records[at]) if len(records) else records
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -432,13 +453,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Texts count as UTF-8 bytes, null as empty; texts below 50 bytes lose nothing. Strings are judged on the input, and
     matches never cross documents. Rows with the same id never remove each other's bytes; a row without an id counts as
-    larger than all ids. Other columns are left out; an empty table gives no rows.
+    larger than all ids below 2^63 - 1, and rows without an id never remove each other's bytes. Other columns are left
+    out; an empty table gives no rows.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    buckets = min(blocks, MAX_BUCKETS)
-    context_splitters, window_splitters = _splitters(docs, buckets)
-    plan = docs.sparkSession.sparkContext.broadcast(Plan(buckets, min(64, int(total).bit_length() + 12), context_splitters, window_splitters))
+    total, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    blocks = buckets = max(1, -(-total // BLOCK_BYTES))
+    plan = docs.sparkSession.sparkContext.broadcast(Plan(buckets, min(64, int(total).bit_length() + 12), _splitters(docs, n_docs, buckets)))
 
     block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).alias("block")
     dealt = docs.select(block, F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -448,11 +468,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def shared(table: pa.Table, answers: pa.Table) -> pa.Table:
         own = Block(table, plan.value)
-        return own.send(own.shared(answers), plan.value.contexts)
+        return own.send(own.shared(answers))
 
     def windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         own = Block(table, plan.value)
-        return own.send(own.open_windows(answers)[1], plan.value.windows)
+        return own.send_windows(own.open_windows(answers)[1])
 
     def result(table: pa.Table, answers: pa.Table) -> pa.Table:
         return Block(table, plan.value).result(answers)
