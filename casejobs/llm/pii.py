@@ -1,9 +1,11 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Entities that follow a format (mail and network addresses, card and phone numbers) are the seeds, each as a whole. The
-words beside a seed are lexical patterns; patterns and instances (seeds, and identifier-like tokens outside them) form a
-graph that is scored in rounds: a pattern is as good as the share of its instances that are known, and an instance as
-known as its best pattern is good. Patterns of high confidence then find identifiers that no format describes.
+one to three words on either side of a seed, and the two words around it, are lexical patterns. A pattern that enough
+different seeds stand in is looked for in all texts, where it has other instances: any words, with digits or without. The
+graph of patterns and instances is scored in rounds: a pattern is as good as the share of its instances that are known, and
+an instance is known if one of its patterns is good. What becomes known induces patterns in its turn, until nothing new
+comes in. Words in good patterns are identifiers that no format describes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
+from .durable import checkpointed, written
 
 # The kinds in their order, their patterns, and what a text with a match must hold. Runs that cannot end
 # elsewhere are possessive, so no text is tried again and again.
@@ -26,20 +28,19 @@ KINDS = {
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
-#: An identifier-like token, outside the seeds: a word with a digit, of at least so many characters and digits.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-LEAST_CHARS, LEAST_DIGITS = 6, 4
-#: Characters before and after an instance in which the words beside it are looked for.
-NEAR_CHARS = 200
-#: A pattern of high confidence: share of known instances, and how many different ones.
+#: An instance outside the seeds has so many characters at least, without marks at its ends.
+LEAST_CHARS = 4
+#: A pattern of high confidence: the share of its instances that are known, with one more that is not, and how many
+#: different ones. Patterns with less than half of that share at once are not followed.
 CONFIDENCE = 0.9
 SUPPORT = 5
+FLOOR = CONFIDENCE / 2
 #: Rounds go on until no pattern comes in and the mean confidence rises by no more than this.
 STILL = 1e-9
+#: Patterns, and documents with identifiers found by them, are broadcast up to this number.
+MAX_BROADCAST = 200_000
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
-PLACES = "array<struct<start:bigint,end:bigint,token:string,left:string,right:string>>"
-
 
 _HIT = "struct<start:bigint,end:bigint,hit:string,gap:string,next:string>"
 #: Matches that one running sum goes over; the sums of these parts run on in an outer one, so that long lists of
@@ -125,66 +126,123 @@ def _cut(pieces: Column, start: Column, end: Column) -> Column:
     return F.substring(some, (start - first * _PIECE + 1).cast("int"), (end - start).cast("int"))
 
 
-def with_words(text: Column, places: Column, value: Callable[[Column, Column], Column]) -> Column:
-    """Array of (start, end, token, left, right) of places (start, end, ...): the words beside the one that a place is in.
+#: Stands for a seed in a text; the same character in a text itself is another one.
+_MARK, _OTHER = "\x01", "\x02"
+_PIECES = "array<struct<start:bigint,end:bigint,kind:string,before:bigint>>"
 
-    ``value`` makes the token from a place and its characters.
-    """
 
-    def of(pieces: Column, p: Column) -> Column:
-        before = _cut(pieces, F.greatest(p["start"] - NEAR_CHARS, F.lit(0)), p["start"])
-        after = _cut(pieces, p["end"], p["end"] + NEAR_CHARS)
-        left = F.regexp_extract(before, r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]++[^\x20\x09-\x0D]*+$", 1)
-        right = F.regexp_extract(after, r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]{1,40})", 1)
-        token = value(p, _cut(pieces, p["start"], p["end"]))
-        return F.struct(p["start"].alias("start"), p["end"].alias("end"), token.alias("token"), F.lower(left).alias("left"), F.lower(right).alias("right"))
+def _apart(base: Column) -> Column:
+    """Base spans by start as (start, end, kind, before), each without what an earlier one covers; ``before`` is the
+    place where the one before it ends."""
+    by_start = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    none = F.array().cast(_PIECES)
+
+    def one(acc: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], acc["at"])
+        new = F.array(F.struct(start.alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), acc["at"].alias("before")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > start, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+
+    def part(acc: Column, spans: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), none.alias("out"))
+        return F.aggregate(spans, begin, one, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
 
-    # the pieces stand in an array of one, so that they are made once and not again for each place
-    pieces = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
-    found = F.flatten(F.transform(pieces, lambda x: F.transform(places, lambda p: of(x, p))))
-    return F.when(F.size(places) > 0, found).otherwise(F.array().cast(PLACES))
+    numbers = F.transform(F.sequence(F.lit(0), F.floor(F.size(base) / _PART_SIZE).cast("int")), lambda i: F.struct(i.alias("i")))
+    cut = F.flatten(F.transform(F.array(by_start), lambda p: F.transform(numbers, lambda i: F.slice(p, i["i"] * _PART_SIZE + 1, _PART_SIZE))))
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_PIECES}>").alias("out"))
+    return F.aggregate(cut, begin, part, lambda acc: F.flatten(acc["out"]))
 
 
-def tokens(text: Column, base: Column) -> Column:
-    """Array of (start, end, token, left, right): identifier-like tokens outside the base spans, without outer marks."""
+def _masked(text: Column, seeds: Column, mask: Callable[[Column, Column], Column]) -> Column:
+    """The text with each seed (start, end, kind, before) replaced by what ``mask`` makes of it and its characters."""
+    plain = F.translate(text, _MARK, _OTHER)
 
-    def token(m: Column) -> Column:
-        lead = F.length(F.regexp_extract(m["hit"], r"^[^A-Za-z0-9+]*+", 0))
-        bare = F.regexp_replace(m["hit"], r"^[^A-Za-z0-9+]++|[^A-Za-z0-9]++$", "")
-        begin = m["start"] + lead
-        return F.struct(begin.alias("start"), (begin + F.length(bare)).alias("end"), bare.alias("token"))
+    def of(pieces: Column) -> Column:
+        parts = F.transform(seeds, lambda s: F.concat(_cut(pieces, s["before"], s["start"]), mask(s, _cut(pieces, s["start"], s["end"]))))
+        return F.concat(F.array_join(parts, ""), _cut(pieces, F.element_at(seeds, -1)["end"], F.length(text).cast("bigint")))
 
-    found = F.transform(matches(text, TOKEN), token)
-    found = F.filter(found, lambda t: (F.length(t["token"]) >= LEAST_CHARS) & (F.length(digits(t["token"])) >= LEAST_DIGITS))
-    found = F.filter(found, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
-    # made once, as the pieces are
-    return F.flatten(F.transform(F.array(found), lambda x: with_words(text, x, lambda p, _: p["token"])))
+    # the pieces stand in an array of one, so that they are made once and not again for each seed
+    pieces = F.array(F.regexp_extract_all(plain, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+    return F.when(F.size(seeds) > 0, F.element_at(F.transform(pieces, of), 1)).otherwise(plain)
 
 
-def seeds(text: Column, base: Column) -> Column:
-    """Array of (start, end, token, left, right) of the base spans; the token is the value in one way of writing.
+def _with_values(text: Column, seeds: Column) -> Column:
+    """Each seed as its value in one way of writing, between marks, as one word.
 
     Numbers count by their digits, so a number that stands elsewhere without its format is a known instance, too.
     """
 
     def value(s: Column, hit: Column) -> Column:
         plain = F.regexp_replace(hit, r"(?<![0-9])0+(?=[0-9])", "")
-        return F.when(s["kind"] == "email", F.lower(hit)).when(s["kind"] == "ip", plain).otherwise(digits(hit))
+        own = F.when(s["kind"] == "email", F.lower(hit)).when(s["kind"] == "ip", plain).otherwise(digits(hit))
+        return F.concat(F.lit(_MARK), own, F.lit(_MARK))
+
+    return _masked(text, seeds, value)
+
+
+def _with_blots(text: Column, seeds: Column) -> Column:
+    """Each seed as so many marks, so that words have the same numbers as in ``_with_values`` and stand at their places."""
+    return _masked(text, seeds, lambda s, _: F.repeat(F.lit(_MARK), (s["end"] - s["start"]).cast("int")))
 
-    return with_words(text, base, value)
 
+_OUTER = r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$"
 
-def score_graph(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Patterns with their confidence, from edges (pattern, token) and seeds (token).
 
-    Each round: confidence = known instances / all instances; score of an instance = its best pattern's confidence, if
-    that is high and enough different known instances support the pattern. Scores only rise from round to round, and
-    the rounds end when nothing changes any more.
+def word_contexts(rows: DataFrame) -> DataFrame:
+    """One row for each word of ``rows`` (doc_id, text_hash, words): ``at`` (from 0), ``word`` and the hashes of its patterns.
+
+    ``l1`` and ``r1`` are those of the word on the left and on the right; ``more`` has longer ones. Null: no such words.
     """
-    edges = checkpointed(edges.join(seeds.select("token", F.lit(1.0).alias("own")).distinct(), "token", "left"))
+    around = F.array(*[F.lit("")] * 3)
+    padded = F.concat(around, "words", around)
+    places = [F.slice(padded, k + 1, F.size("words")).alias(name) for k, name in enumerate(("l3", "l2", "l1", "w", "r1", "r2", "r3"))]
+    zipped = rows.select("doc_id", "text_hash", F.arrays_zip(*places).alias("places"))
+    each = zipped.select("doc_id", "text_hash", F.posexplode("places").alias("at", "x")).select("doc_id", "text_hash", "at", "x.*")
+
+    def pattern(kind: str, *words: str) -> Column:
+        there = F.col(words[0]) != "" if len(words) == 1 else (F.col(words[0]) != "") & (F.col(words[-1]) != "")
+        return F.when(there, F.xxhash64(F.lit(kind), *words))
+
+    more = F.array(pattern("l2", "l2", "l1"), pattern("l3", "l3", "l2", "l1"), pattern("r2", "r1", "r2"), pattern("r3", "r1", "r2", "r3"), pattern("b", "l1", "r1"))
+    return each.where("w != ''").select("doc_id", "text_hash", "at", F.col("w").alias("word"), pattern("l1", "l1").alias("l1"), pattern("r1", "r1").alias("r1"), more.alias("more"))
+
+
+def _token(word: Column) -> Column:
+    """A word's instance: the seed's value, or the word without marks at its ends; null if it is too short."""
+    seed = F.regexp_extract(word, f"{_MARK}([^{_MARK}]+){_MARK}", 1)
+    bare = F.regexp_replace(word, _OUTER, "")
+    return F.when(word.contains(_MARK), seed).when(F.length(bare) >= LEAST_CHARS, bare)
+
+
+def _small(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= MAX_BROADCAST else table
+
+
+def instances(contexts: DataFrame, near: tuple[DataFrame, int], patterns: tuple[DataFrame, int]) -> DataFrame:
+    """(doc_id, text_hash, at, pattern, token, seed) of the words that stand in one of the patterns (table, number of rows).
+
+    ``near`` has the patterns of one word that the patterns begin with, among others: a word in none of these is in none.
+    """
+    one, two = (_small(near[0].select(F.col("pattern").alias(x), F.lit(True).alias(f"in_{x}")), near[1]) for x in ("l1", "r1"))
+    some = contexts.join(one, "l1", "left").join(two, "r1", "left").where("in_l1 OR in_r1")
+    each = some.select("doc_id", "text_hash", "at", _token(F.col("word")).alias("token"), F.col("word").contains(_MARK).alias("seed"), F.explode(F.concat(F.array("l1", "r1"), "more")).alias("pattern"))
+    return each.where("token IS NOT NULL").join(_small(patterns[0].select("pattern"), patterns[1]), "pattern", "left_semi")
+
+
+def score_graph(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Patterns with their confidence, from edges (pattern, token; n, how often) and known instances (token).
+
+    Each round: confidence = known instances / (all instances + 1), by different instances or by how often they stand
+    there, whichever is less, so that one word that stands there often counts; score of an instance = its best pattern's
+    confidence, if that is high and enough different known instances support the pattern. Scores only rise from round to
+    round, and the rounds end when nothing changes any more.
+    """
+    edges = edges if "n" in edges.columns else edges.withColumn("n", F.lit(1))
+    edges = checkpointed(edges.join(known.select("token", F.lit(1.0).alias("own")).distinct(), "token", "left"))
     scored, last = edges.withColumn("score", F.col("own")), (0, 0.0)
     while True:
-        patterns = scored.groupBy("pattern").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence"), F.count("score").alias("support"))
+        score = F.coalesce("score", F.lit(0.0))
+        share = F.least(F.sum(score) / (F.count("*") + 1), F.sum(score * F.col("n")) / (F.sum("n") + 1))
+        patterns = scored.groupBy("pattern").agg(share.alias("confidence"), F.count("score").alias("support"))
         good = checkpointed(patterns.where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)))
         n, total = good.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
         if n == last[0] and total - last[1] <= STILL * n:
@@ -194,42 +252,74 @@ def score_graph(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         scored = edges.join(grown, "token", "left").withColumn("score", F.coalesce("own", "grown"))
 
 
+def good_patterns(contexts: DataFrame, of_seeds: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
+    """Patterns of high confidence and all candidates of the last round, with their numbers, by rounds over all texts.
+
+    ``of_seeds`` are the contexts of words with seeds. Each round takes the patterns that enough different known instances
+    stand in, drops those whose instances (counted by a sketch, within some 2 %) are mostly unknown, scores the graph of the
+    others, and ends if no instance becomes known that was not.
+    """
+    every = F.explode(F.concat(F.array("l1", "r1"), "more")).alias("pattern")
+    held = checkpointed(of_seeds.select(every, _token(F.col("word")).alias("token")).where("pattern IS NOT NULL AND token IS NOT NULL").distinct())
+    known = held.select("token").distinct()
+    while True:
+        candidates = checkpointed(held.groupBy("pattern").agg(F.count("*").alias("n_known")).where(F.col("n_known") >= SUPPORT))
+        near = candidates, candidates.count()
+        if not near[1]:
+            return candidates, 0, *near
+        counted = instances(contexts, near, near).groupBy("pattern").agg(F.approx_count_distinct("token", 0.02).alias("n_all"))
+        likely = checkpointed(counted.join(_small(candidates, near[1]), "pattern").where(F.col("n_known") >= FLOOR * F.col("n_all")).select("pattern"))
+        n = likely.count()
+        if not n:
+            return likely, 0, *near
+        edges = checkpointed(instances(contexts, near, (likely, n)).groupBy("pattern", "token").agg(F.count("*").alias("n")))
+        good = score_graph(edges, known)
+        n = good.count()
+        new = checkpointed(edges.join(_small(good, n), "pattern", "left_semi").select("token").distinct().join(known, "token", "left_anti"))
+        n_new = new.count()
+        if not n_new:
+            return good, n, *near
+        # patterns that the new instances stand in, wherever they do
+        named = contexts.select("l1", "r1", "more", _token(F.col("word")).alias("token")).join(_small(new, n_new), "token", "left_semi")
+        held = checkpointed(held.union(named.select(every, "token").where("pattern IS NOT NULL")).distinct())
+        known = checkpointed(known.union(new))
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``base`` and ``spans``, arrays of (kind, start, end).
 
     ``base`` has the formats' spans by kind, then start; ``spans`` has those and the ones found by context (kind
-    ``context``), which never overlap a base span. Null texts count as empty. Repeated rows give repeated results; rows
-    with the same id but other texts are told apart by their text's hash. Other columns are left out.
+    ``context``), single words without marks at their ends, which never overlap a base span. Null texts count as empty.
+    Repeated rows give repeated results; rows with the same id but other texts are told apart by their text's hash.
+    Patterns are told apart by 64-bit hashes. Other columns are left out.
     """
-    text = F.coalesce("text", F.lit(""))
-    some_digits = F.col("text").rlike("[0-9]")
-    none = F.array().cast(PLACES)
-
-    def places_of(base: Column) -> Column:
-        own = F.when(some_digits, tokens(F.col("text"), base)).otherwise(none)
-        return F.struct(base.alias("base"), seeds(F.col("text"), base).alias("seeds"), own.alias("tokens"))
-
-    found = docs.select("doc_id", text.alias("text")).select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        # the base spans stand in an array of one, so that they are found once
-        F.transform(F.array(base_spans(F.col("text"))), places_of)[0].alias("found"),
-    )
-    found = checkpointed(found).select("doc_id", "text_hash", "found.*")
-
-    def patterns_of(places: DataFrame) -> DataFrame:
-        beside = F.array(F.concat(F.lit("left "), "t.left"), F.concat(F.lit("right "), "t.right"))
-        rows = places.select("doc_id", "text_hash", "t.start", "t.end", "t.token", F.explode(beside).alias("pattern"))
-        return rows.where(~F.col("pattern").isin("left ", "right "))
-
-    known = found.select("doc_id", "text_hash", F.explode("seeds").alias("t"))
-    places = patterns_of(found.select("doc_id", "text_hash", F.explode("tokens").alias("t")))
-    edges = patterns_of(known).select("pattern", "token").unionByName(places.select("pattern", "token")).distinct()
-    patterns = score_graph(edges, known.select("t.token").distinct())
-    new = places.join(patterns.select("pattern"), "pattern", "left_semi")
-    new = new.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end"))).alias("new"))
-    left, right = found.select("doc_id", "text_hash", "base").alias("l"), new.alias("r")
-    joined = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_hash") == F.col("r.text_hash")), "left")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # the base spans stand in an array of one, so that they are found once
+    spans = F.transform(F.array(base_spans(F.col("text"))), lambda base: F.struct(base.alias("base"), _apart(base).alias("seeds")))
+    found = written(texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.element_at(spans, 1).alias("x")).select("doc_id", "text", "text_hash", "x.*"))
+    split = F.split(F.lower(F.regexp_replace(_with_values(F.col("text"), F.col("seeds")), r"^[\x20\x09-\x0D]++|[\x20\x09-\x0D]++$", "")), r"[\x20\x09-\x0D]+")
+    words = found.select("doc_id", "text_hash", "seeds", split.alias("words"))
+    contexts = word_contexts(words)
+    of_seeds = word_contexts(words.where(F.size("seeds") > 0)).where(F.col("word").contains(_MARK))
+    good, n, *near = good_patterns(contexts, of_seeds)
+    if not n:
+        return found.select("doc_id", "base", F.col("base").alias("spans"))
+
+    places = instances(contexts, tuple(near), (good, n)).where("NOT seed").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("at"))
+    places = checkpointed(places)
+    n_places = places.count()
+    here = (F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("l.text_hash") == F.col("r.text_hash"))
+    within = found.alias("l").join(_small(places, n_places).alias("r"), here).select("l.doc_id", "l.text_hash", "at", _with_blots(F.col("text"), F.col("seeds")).alias("text"))
+
+    def span(m: Column) -> Column:
+        begin = m["start"] + F.length(F.regexp_extract(m["hit"], r"^[^\p{L}\p{N}+]*+", 0))
+        bare = F.regexp_replace(m["hit"], _OUTER, "")
+        return F.struct(F.lit("context").alias("kind"), begin.cast("bigint").alias("start"), (begin + F.length(bare)).cast("bigint").alias("end"))
+
+    hits = matches(F.col("text"), r"[^\x20\x09-\x0D]++")
+    new = F.transform(F.array(hits), lambda h: F.transform("at", lambda i: span(F.get(h, i))))
+    new = within.select("doc_id", "text_hash", F.array_sort(F.flatten(new)).alias("new")).groupBy("doc_id", "text_hash").agg(F.min("new").alias("new"))
+    joined = found.select("doc_id", "text_hash", "base").alias("l").join(new.alias("r"), here, "left")
     return joined.select("l.doc_id", "base", F.concat("base", F.coalesce("new", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
 
 
