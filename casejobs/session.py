@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "casejobs", master: str | None = None, **conf: str) -> SparkSession:
@@ -17,6 +17,18 @@ def session(name: str = "casejobs", master: str | None = None, **conf: str) -> S
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, which all executors share; a temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="casejobs-")
+    """A new path below ``spark.checkpoint.dir``, which all executors share; without that setting, only in a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="casejobs-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores if they are read in fewer parts than that, as a small file is; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    files = rows.inputFiles()
+    return rows.repartition(cores) if len(files) < cores else rows
