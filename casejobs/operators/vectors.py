@@ -94,11 +94,17 @@ def _best_of_units(units: DataFrame, k: int) -> DataFrame:
             for row in batch.to_pylist():
                 own, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
                 p, q = (np.frombuffer(row[c], np.float64).reshape(-1 if row["size"] else len(i), row["size"]) for c, i in (("vectors", own), ("q_vectors", query_ids)))
+                few = min(k, len(own))
                 for i in range(0, len(query_ids), STEP):
                     scores = q[i : i + STEP] @ p.T
-                    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                    columns = np.repeat(query_ids[i : i + STEP], order.shape[1]), own[order].ravel(), np.take_along_axis(scores, order, axis=1).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "id", "score"])
+                    # all that reach the k-th best score; only these few are put in order
+                    least = np.partition(scores, len(own) - few, axis=1)[:, len(own) - few]
+                    r, c = np.nonzero(scores >= least[:, None])
+                    order = np.lexsort((own[c], -scores[r, c], r))
+                    r, c = r[order], c[order]
+                    top = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    columns = query_ids[i + r[top]], own[c[top]], scores[r[top], c[top]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "id", "score"])
 
     return units.mapInArrow(best, "query_id bigint, id bigint, score double")
 
