@@ -9,6 +9,8 @@ from ..functions.links import route_source
 from ..operators.ingest import first_per_key, skip_existing
 
 STORED_SCHEMA = "case_id string, source_url string, route string, enqueued_at timestamp"
+#: The store is partitioned by a hash of the case_id; a batch reads and appends to the parts of its own ids only.
+PARTS = 32
 
 
 def route_stream(tasks: DataFrame) -> DataFrame:
@@ -24,15 +26,20 @@ def dedupe_stream(tasks: DataFrame, bound: str = "1 hour") -> DataFrame:
 
 def store_batch(batch: DataFrame, target: str) -> None:
     """Appends the first task of each case that is not stored yet; doing it again changes nothing."""
+    part = F.pmod(F.xxhash64("case_id"), F.lit(PARTS)).cast("int")
     ordered = batch.withColumn("order", F.struct("enqueued_at", "source_url"))
-    new = first_per_key(ordered, "case_id", "order").select("case_id", "source_url", "route", "enqueued_at")
-    stored = _read(batch.sparkSession, target)
-    (skip_existing(new, stored) if stored is not None else new).write.mode("append").parquet(target)
+    new = first_per_key(ordered, "case_id", "order").select("case_id", "source_url", "route", "enqueued_at").withColumn("part", part)
+    stored = read_store(batch.sparkSession, target)
+    if stored is not None:
+        touched = [r.part for r in batch.select(part.alias("part")).distinct().collect()]  # PARTS numbers at most
+        new = skip_existing(new, stored.where(F.col("part").isin(touched)))
+    new.repartition("part").write.mode("append").partitionBy("part").parquet(target)
 
 
-def _read(spark: SparkSession, target: str) -> DataFrame | None:
+def read_store(spark: SparkSession, target: str) -> DataFrame | None:
+    """The stored tasks with their ``part``; None if nothing was ever stored."""
     try:
-        return spark.read.schema(STORED_SCHEMA).parquet(target)
+        return spark.read.schema(f"{STORED_SCHEMA}, part int").parquet(target)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
