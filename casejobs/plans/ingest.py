@@ -40,7 +40,7 @@ def new_files(files: DataFrame, existing: DataFrame, profile: Profile) -> DataFr
     return first_per_key(skip_existing(keys, existing), "case_id", "file_name")
 
 
-def ingest(files: DataFrame, pages: DataFrame, existing: DataFrame, profile: Profile = ENGINE, answers: DataFrame | None = None, first_id: int = 1) -> DataFrame:
+def ingest(files: DataFrame, pages: DataFrame, existing: DataFrame, profile: Profile = ENGINE, answers: DataFrame | None = None) -> DataFrame:
     """New case rows, in the case schema.
 
     files: file_name. pages: file_name, page_no, text and, where extraction failed, error. answers: case_id, raw_json

@@ -1,7 +1,7 @@
 """Reading and writing the case table, listings and exports."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -26,13 +26,29 @@ def list_incoming(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.substring_index("path", "/", -1).alias("file_name"), "length", "modificationTime")
 
 
-def read_cases(spark: SparkSession, path: str | None = None, jdbc: dict | None = None) -> DataFrame:
-    """The case table from Parquet, or from a database by JDBC options (partitioned by id if bounds are given)."""
+def read_cases(spark: SparkSession, path: str | None = None, jdbc: dict | None = None, parts: int = 64) -> DataFrame:
+    """The case table from Parquet, or from a database by JDBC options (with ``dbtable``)."""
     if jdbc:
-        return spark.read.format("jdbc").options(**jdbc).load().select(*[F.col(f.name).cast(f.dataType) for f in CASE_SCHEMA])
+        rows = _by_ranges(spark, jdbc, parts).load()
+        named = {c.lower(): c for c in rows.columns}  # some databases fold names to capitals
+        return rows.select(*[F.col(named[f.name]).cast(f.dataType).alias(f.name) for f in CASE_SCHEMA])
     return spark.read.schema(CASE_SCHEMA).parquet(path)
 
 
+def _by_ranges(spark: SparkSession, jdbc: dict, parts: int) -> DataFrameReader:
+    """A reader by ranges of the id, one query for each; the database is asked for the bounds unless they are given.
+
+    Options of a partitioned read, if the caller gives them, stay as they are. An empty table is one part.
+    """
+    options = {k: str(v) for k, v in jdbc.items()}
+    if "dbtable" in options and not any(k.lower() == "partitioncolumn" for k in options):
+        ask = {k: v for k, v in options.items() if k != "dbtable"} | {"query": f"SELECT MIN(id) AS low, MAX(id) AS high FROM {options['dbtable']}"}
+        low, high = spark.read.format("jdbc").options(**ask).load().first()
+        if low is not None:
+            options |= {"partitionColumn": "id", "lowerBound": str(low), "upperBound": str(int(high) + 1), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(**options)
+
+
 def split_valid(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = is_valid(F.col("case_id"))
     return cases.where(good), cases.where(~F.coalesce(good, F.lit(False)))
