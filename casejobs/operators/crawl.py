@@ -58,5 +58,6 @@ def new_downloads(links: DataFrame, downloaded: DataFrame) -> DataFrame:
 
 
 def crawl_report(downloads: DataFrame) -> DataFrame:
-    """File names and their number by status."""
-    return downloads.groupBy("status").agg(F.array_sort(F.collect_list("file_name")).alias("files"), F.count("*").alias("n"))
+    """Each file's status and name, and the number of files with its status. Names stay rows; counts are partial sums."""
+    counts = downloads.groupBy("status").agg(F.count("*").alias("n"))
+    return downloads.select("status", "file_name").join(F.broadcast(counts), "status")  # a row for each kind of status

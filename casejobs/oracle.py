@@ -128,7 +128,7 @@ FRAMES = "f AS (SELECT user_id AS video_id, event_id, row_number() OVER (PARTITI
 TASKS = """t AS (SELECT CASE event_id % 5 WHEN 0 THEN 'http://h/a.mp4' WHEN 1 THEN 'http://h/A.MP4' WHEN 2 THEN 'http://h/VIDEO/1' WHEN 3 THEN 'http://h/x.pdf' ELSE 'http://h/b.mov?x' END AS source_url,
   user_id::VARCHAR AS case_id, ts AS enqueued_at FROM events),
 r AS (SELECT *, CASE WHEN contains(lower(source_url), 'video') OR suffix(source_url, '.mp4') OR suffix(source_url, '.avi') OR suffix(source_url, '.mov') THEN 'video' ELSE 'pdf' END AS route FROM t)"""
-KNN = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20),
+KNN = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], v) AS score FROM embeddings, q),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 5)"""
 
@@ -203,7 +203,8 @@ def oracle_sql() -> dict[str, str]:
         "media_links": f"WITH {MEDIA} SELECT page_id, pos, href, url, file_name FROM named",
         "new_downloads": f"WITH {NEW} SELECT * FROM fresh",
         "fetch_status": f"WITH {CRAWL} SELECT page_id, CASE WHEN error IS NOT NULL THEN 'offline_mode' WHEN http_status = 403 THEN 'fallback_mode' WHEN http_status <> 200 THEN 'error' ELSE 'success' END AS status, CASE WHEN error IS NOT NULL THEN error WHEN http_status <> 200 THEN 'HTTP ' || http_status END AS message FROM crawl",
-        "crawl_report": f"WITH {NEW} SELECT CASE WHEN page_id % 3 = 0 THEN 'error' ELSE 'success' END AS status, count(*) AS n, string_agg(file_name, ',' ORDER BY file_name) AS files FROM fresh GROUP BY 1",
+        "crawl_report": f"WITH {NEW}, c AS (SELECT CASE WHEN page_id % 3 = 0 THEN 'error' ELSE 'success' END AS status, file_name FROM fresh) SELECT status, file_name, count(*) OVER (PARTITION BY status) AS n FROM c",
+        "reset": f"WITH {CASES} SELECT id, case_id FROM fx_cases WHERE id % 3 = 0",
         "frames_sampled": f"WITH {FRAMES} SELECT video_id, event_id, frame_no, printf('frame_%04d.jpg', frame_no) AS frame_name FROM f WHERE frame_no % 30 = 0",
         "frame_report": f"WITH {FRAMES} SELECT video_id, count(*) AS total_frames, count(*) FILTER (WHERE frame_no % 30 = 0) AS saved_frames FROM f GROUP BY video_id",
         "telemetry": f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_discount * 360 AS azimuth_deg,

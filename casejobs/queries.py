@@ -268,6 +268,15 @@ def append_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.unionByName(sources.read_cases(spark, rejected).select("id", "case_id", F.lit("rejected").alias("result")))
 
 
+def reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the case table after it was filled, emptied, and filled with every third case."""
+    cases, target = fx_cases(spark, sf_dir), scratch(spark, "cases")
+    sources.append_cases(cases, target, scratch(spark, "rejected"))
+    sources.reset_cases(spark, target)
+    sources.append_cases(cases.where("id % 3 = 0"), target, scratch(spark, "rejected"))
+    return sources.read_cases(spark, target).select("id", "case_id")
+
+
 def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds an emptied case table, and leaves the full one as it is."""
     cases, rows = fx_cases(spark, sf_dir), sources.seed_cases(spark)
@@ -329,7 +338,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fx_points(spark, sf_dir)
-    return vectors.knn_join(points, points.where("id < 20").select(F.col("id").alias("query_id"), "vector"))
+    return vectors.knn_join(points, points.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"))
 
 
 def vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,8 +372,7 @@ def fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = new_downloads(spark, sf_dir)
-    report = crawl.crawl_report(new.withColumn("status", F.when(F.col("page_id") % 3 == 0, "error").otherwise("success")))
-    return report.select("status", "n", F.array_join("files", ",").alias("files"))
+    return crawl.crawl_report(new.withColumn("status", F.when(F.col("page_id") % 3 == 0, "error").otherwise("success")))
 
 
 def frames_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,7 +399,7 @@ def route_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch(spark, "tasks")
     streams.ingest_stream(task_stream(spark, sf_dir), target, scratch(spark, "tasks-state")).awaitTermination()
-    return spark.read.schema(streams.STORED_SCHEMA).parquet(target)
+    return streams.read_store(spark, target).drop("part")
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,7 +435,7 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     plain = (
         case_ids, supported_files, existing_skip, existing_stored, first_wins, append_new, ingest_report, cap_text, year_date, display, map_points,
-        search_url, search_cases, status_filter, first_case, stats_server, stats_view, stats_empty, export_catalog, append_cases, seed,
+        search_url, search_cases, status_filter, first_case, stats_server, stats_view, stats_empty, export_catalog, append_cases, reset, seed,
         llm_requests, llm_answers, llm_fallback, geotag, repair_fixed, repair_table, vector_upsert, vector_check, vector_topk, vector_knn,
         vector_hits, links, media_links, new_downloads, fetch_status, crawl_report, frames_sampled, frame_report, telemetry, route_tasks,
         stream_ingest, stream_dedupe, list_incoming, ingest_stats,

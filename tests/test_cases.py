@@ -1,8 +1,9 @@
 """Hand-made rows: one test for each trap."""
 
+import os
 import random
 import re
-from urllib.parse import quote
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,29 +44,41 @@ def test_year(spark):
     assert column(spark, values, lambda c: text.detect_year_date(c, F.lit("D"))) == want
 
 
-def model_url(title, date):
-    """The search address, step by step as the rules say."""
-    name = re.sub("|".join(map(re.escape, C.SEARCH_PREFIXES)), "", title or "", flags=re.I).strip()
-    year = m[0] if date and date not in ("N/A", "Unknown") and (m := re.search(r"[0-9]{4}", date)) else ""
-    if re.fullmatch(r"[0-9]+[A-Z]+[0-9]+(\.pdf)?", name, re.I | re.A):
-        term = year or "UAP"
-    elif year:
-        term = year
-    else:
-        clean = re.sub(r"\.(pdf|mp4|jpg|png|avi|mov)\Z", "", name, flags=re.I | re.A)
-        parts = clean.split("_")
-        term = (parts[2] if len(parts) > 2 else parts[1] or parts[0]).replace("-", " ").strip() if "_" in clean else clean
-    return C.PORTAL + "?search=" + quote(term, safe="-_.!~*'()")
+GOLDEN_TERMS = [  # title, date, search term
+    ("059UAP00011.pdf", "2001-01-01", "2001"),
+    ("059UAP00011.pdf", None, "UAP"),
+    ("059UAP00011", "N/A", "UAP"),
+    (None, None, ""),
+    ("", "Unknown", ""),
+    ("Red Lights.pdf", None, "Red%20Lights"),
+    ("Red Lights.pdf", "a1987b", "1987"),
+    ("DOW-UAP_D12_Red-Lights-en_x.JPG", None, "Red%20Lights%20en"),
+    ("a_b.mp4", "x19", "b"),
+    ("a_.mov", None, "a"),
+    ("_x", None, "x"),
+    ("é !~*'().avi", None, "%C3%A9%20!~*'()"),
+    ("a+b&c/d😀", None, "a%2Bb%26c%2Fd%F0%9F%98%80"),
+    ("x.pdf.pdf", None, "x.pdf"),
+    *((f"{prefix}059UAP1.pdf", "2001-01-01", "2001") for prefix in C.SEARCH_PREFIXES),
+    *((f"{prefix.upper()} Utah", None, "Utah") for prefix in C.SEARCH_PREFIXES),
+]
+
+
+def test_search_addresses(spark):
+    df = spark.createDataFrame([(i, t, d) for i, (t, d, _) in enumerate(GOLDEN_TERMS)], "i int, t string, d string").orderBy("i")
+    got = [r[0] for r in df.select(links.portal_search_url(F.col("t"), F.col("d"))).collect()]
+    assert got == [f"{C.PORTAL}?search={term}" for _, _, term in GOLDEN_TERMS]
 
 
-def test_search_url_against_the_model(spark):
+def test_search_terms_hold_only_safe_characters(spark):
     rng = random.Random(4)
-    pool = ["Odtajněný spis: ", "ODTAJNĚNÝ SPIS: ", "059UAP00011", ".pdf", ".MP4", "_", "__", "a-b", " ", "é", "!~*'()", "+&/", "😀", "_x", "-", "Záznam: "]
-    rows = [("".join(rng.choices(pool, k=rng.randint(0, 6))), rng.choice([None, "", "N/A", "Unknown", "2001-01-01", "x19", "a1987b"])) for _ in range(300)]
-    rows += [("059UAP00011.pdf", "2001-01-01"), ("059UAP00011.pdf", None), (None, None)]
+    pool = ["Odtajněný spis: ", "059UAP00011", ".pdf", ".MP4", "_", "a-b", " ", "é", "!~*'()", "+&/", "😀", "-"]
+    rows = [("".join(rng.choices(pool, k=rng.randint(0, 6))), rng.choice([None, "N/A", "2001-01-01", "x19"])) for _ in range(300)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, d string").orderBy("i")
-    got = [r[0] for r in df.select(links.portal_search_url(F.col("t"), F.col("d"))).collect()]
-    assert got == [model_url(*r) for r in rows]
+    for (_, date), (url,) in zip(rows, df.select(links.portal_search_url(F.col("t"), F.col("d"))).collect()):
+        term = url.removeprefix(C.PORTAL + "?search=")
+        assert re.fullmatch(r"(?:[A-Za-z0-9_.!~*'()-]|%[0-9A-F]{2})*", term) and unquote(term, errors="strict") is not None
+        assert term == "2001" if date == "2001-01-01" else term != "2001"
 
 
 @pytest.mark.parametrize(
@@ -216,3 +229,31 @@ def test_report_parts(spark):
     cand = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), ("c", "4")], "case_id string, file_name string")
     existing = spark.createDataFrame([("b",)], "case_id string")
     assert tuple(ingest.ingest_report(cand, cand, existing).first()) == (4, 2, 2)
+
+
+def test_database_reads_by_ranges(spark, tmp_path):
+    """An embedded database that comes with Spark; each range of ids is a part of its own."""
+    url = f"jdbc:derby:memory:cases{os.getpid()};create=true"
+    jdbc = {"url": url, "dbtable": "CASES", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [tuple(i if f.name == "id" else f"c{i}" if f.name == "case_id" else 1.5 if f.dataType.typeName() == "double" else "x" for f in CASE_SCHEMA) for i in range(100)]
+    cases = spark.createDataFrame(rows, CASE_SCHEMA)
+    folded = cases.toDF(*[c.upper() for c in cases.columns])
+    kinds = ", ".join(f"{f.name.upper()} VARCHAR(200)" for f in CASE_SCHEMA if f.dataType.typeName() == "string")
+    folded.write.format("jdbc").options(**jdbc, createTableColumnTypes=kinds).mode("overwrite").save()
+    got = sources.read_cases(spark, jdbc=jdbc, parts=4)
+    assert got.schema.names == CASE_COLUMNS and got.rdd.getNumPartitions() == 4
+    assert [r.id for r in got.select("id").distinct().orderBy("id").collect()] == list(range(100)) and got.count() == 100
+    folded.limit(0).write.format("jdbc").options(**jdbc, truncate="true").mode("overwrite").save()
+    assert sources.read_cases(spark, jdbc=jdbc).count() == 0
+    own = jdbc | {"partitionColumn": "ID", "lowerBound": "0", "upperBound": "10", "numPartitions": "2"}
+    assert sources.read_cases(spark, jdbc=own).rdd.getNumPartitions() == 2
+
+
+def test_a_store_reads_only_touched_parts(spark, tmp_path):
+    target = str(tmp_path / "store")
+    batch = spark.createDataFrame([(f"u{i}", f"c{i % 50}", "pdf", i) for i in range(100)], "source_url string, case_id string, route string, n int").withColumn("enqueued_at", F.timestamp_seconds("n")).drop("n")
+    for _ in range(2):
+        tasks.store_batch(batch, target)
+    stored = tasks.read_store(spark, target)
+    assert stored.count() == 50 and sorted(r.source_url for r in stored.collect()) == sorted(f"u{i}" for i in range(50))
+    assert stored.where("part <> pmod(xxhash64(case_id), 32)").isEmpty()
