@@ -196,7 +196,8 @@ def word_contexts(rows: DataFrame) -> DataFrame:
     padded = F.concat(around, "words", around)
     places = [F.slice(padded, k + 1, F.size("words")).alias(name) for k, name in enumerate(("l3", "l2", "l1", "w", "r1", "r2", "r3"))]
     zipped = rows.select("doc_id", "text_hash", F.arrays_zip(*places).alias("places"))
-    each = zipped.select("doc_id", "text_hash", F.posexplode("places").alias("at", "x")).select("doc_id", "text_hash", "at", "x.*")
+    # the outer form, since for the other Spark first looks which arrays are empty, and makes them twice for that
+    each = zipped.select("doc_id", "text_hash", F.posexplode_outer("places").alias("at", "x")).select("doc_id", "text_hash", "at", "x.*")
 
     def pattern(kind: str, *words: str) -> Column:
         there = F.col(words[0]) != "" if len(words) == 1 else (F.col(words[0]) != "") & (F.col(words[-1]) != "")
