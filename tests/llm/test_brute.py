@@ -1,10 +1,14 @@
 """Operators against brute force, the tokenizer's own library, or held-out labels."""
 
 import hashlib
+import math
 import random
 import re
+import textwrap
+import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -59,6 +63,28 @@ def test_mix_shares_by_weight(spark):
     assert all(abs(taken[s] - t) <= 0.1 * t + 1 for s, (_, t) in target.items())
 
 
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_mix_without_ids(spark, monkeypatch, most):
+    """Documents without ids have coins of their own, on both ways that documents and sources meet."""
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", most)
+    rows = [(None, f"text {i} " + "w " * 8, "a") for i in range(800)] + [(i, f"{i} w w", f"s{i % 40:02d}") for i in range(3200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).select("doc.source", "size", "target", "copies").collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.size * r.copies
+        target[r.source] = r.target
+    assert len(got) == 4000 and abs(taken["a"] / target["a"] - 1) < 0.05
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(target))}  # a, s00, s01 ...
+    level, sizes, open_ = 0.0, {s: sum(r.size for r in got if r.source == s) for s in target}, set(target)
+    while True:  # water level, by hand
+        level = (1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in set(target) - open_)) / sum(weights[s] for s in open_)
+        over = {s for s in open_ if level * weights[s] > 2 * sizes[s]}
+        if not over:
+            break
+        open_ -= over
+    assert all(abs(target[s] - (level * weights[s] if s in open_ else 2 * sizes[s])) < 1e-6 for s in target)
+
+
 def brute_removed(texts):
     first = {}
     for k in sorted(texts):
@@ -88,7 +114,8 @@ def repeated_texts(n=60):
 def test_suffix_dedup(spark, monkeypatch):
     texts = repeated_texts()
     df = spark.createDataFrame([(k, v.decode()) for k, v in texts.items()], "doc_id bigint, text string")
-    for block in (10**9, 2000):  # one block, and many blocks and buckets with tokens across their boundaries
+    size = sum(map(len, texts.values()))
+    for block in (10**9, 2000, size // 5000):  # one block, many, and over 5,000 blocks and buckets: tokens go across boundaries
         monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
         assert got == brute_removed(texts)
@@ -102,7 +129,7 @@ def test_suffix_dedup_routes(monkeypatch, limit, chunk):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
     texts = repeated_texts(40)
     blocks = [pa.table({"block": pa.array([b] * 20, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "text": pa.array([texts[k].decode() for k in ids])}) for b, ids in enumerate([list(range(0, 40, 2)), list(range(1, 40, 2))])]
-    plan = suffix_dedup.Plan(2, 40, np.array([b"c"], "S80"), np.array([b"c"], "S56"))
+    plan = suffix_dedup.Plan(2, 40, np.array([b"c"], "S80"))
 
     def by(tables, key):
         whole = pa.concat_tables(tables)
@@ -113,22 +140,82 @@ def test_suffix_dedup_routes(monkeypatch, limit, chunk):
     own = [suffix_dedup.Block(b, plan) for b in blocks]
     answers = [suffix_dedup._match_keys(t) for t in by([b.keys() for b in own], "bucket")]
     pick = lambda b: pa.concat_tables(answers).filter(pa.compute.equal(pa.concat_tables(answers).column("block"), b))
-    answers += [suffix_dedup._sort_contexts(t, plan.contexts) for t in by([b.send(b.shared(pick(i)), plan.contexts) for i, b in enumerate(own)], "bucket")]
-    sent = [b.send(b.open_windows(pick(i))[1], plan.windows) for i, b in enumerate(own)]
+    answers += [suffix_dedup._sort_contexts(t, plan.contexts) for t in by([b.send(b.shared(pick(i))) for i, b in enumerate(own)], "bucket")]
+    sent = [b.send_windows(b.open_windows(pick(i))[1]) for i, b in enumerate(own)]
     answers += [suffix_dedup._sort_windows(t) for t in by(sent, "bucket")]
     got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i, b in enumerate(own) for r in b.result(pick(i)).to_pylist()}
     assert got == brute_removed(texts)
 
 
-def test_license_lines(spark, docs, texts):
-    lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit"}
-    extra = spark.createDataFrame([(-1, "x\nCopyright 2020 A. Licensed under the terms of the MIT license\n\ny"), (-2, "The licence of the poet is in the use of the word."), (-3, "All rights reserved. This software is licensed under the terms of a private contract.")], "doc_id bigint, text string")
-    for r in license_scan.license_scan(docs.select("doc_id", "text").unionByName(extra)).collect():
-        found = {(x.line, x.family) for x in r.found}
+LICENCE_LINES = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit"}
+GRANT = license_scan.TEMPLATES["mit"][2]
+NOTICES = [  # text, (line, lines, family) of what is found
+    ("x\nCopyright 2020 A. Licensed under the terms of the MIT license\n\ny", [(2, 1, "mit")]),
+    ("The licence of the poet is in the use of the word.", []),
+    ("All rights reserved. This software is licensed under the terms of a private contract.", []),
+    ("Licensed under the Eclipse Public License, version 2.0.", [(1, 1, "epl")]),
+    ("SPDX-License-Identifier: ISC", [(1, 1, "isc")]),
+    (license_scan.TEMPLATES["mit"][4], [(1, 1, "mit")]),
+    ("Licensed under the CDDL License, version 1.0\nLicensed under the Foo Public License, version 2.0.", []),
+    ("MIT License\n\nLicense: Apache 2.0", [(1, 1, "mit"), (3, 1, "apache")]),
+    ("a b\n" + textwrap.fill(GRANT, 72) + "\nq r", [(2, 7, "mit")]),
+    ("# " + textwrap.fill(GRANT, 72).replace("\n", "\r\n# "), [(1, 7, "mit")]),
+    (textwrap.fill(license_scan.TEMPLATES["lgpl"][0], 60), [(1, 3, "lgpl")]),
+    (textwrap.fill(license_scan.TEMPLATES["gpl"][1], 60), [(1, 4, "gpl")]),
+    ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", [(1, 1, "mit"), (2, 1, "apache")]),
+]
+
+
+def brute_licences(text, c):
+    """Paragraphs by sets of words; only the probability is the classifier's."""
+    fold = lambda x: ["".join(ch.lower() if ch.isascii() else ch for ch in w) for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", x) if w]
+    pairs = lambda w: set(zip(w, w[1:]))
+    texts = [[fold(t) for t in license_scan.templates(f)] for f in license_scan.FAMILIES]
+    every = set().union(*(pairs(t) for own in texts for t in own))
+    marks = [set().union(*({(w,) for w in t} | pairs(t) for t in own)) for own in texts]
+    plain = lambda w: w in ("version", "v", "license", "licence", "or", "later", "only", "and") or w.isdigit() or w[0] == "v" and w[1:].isdigit()
+    own = [{m for m in x if sum(m in y for y in marks) == 1 and not (len(m) == 2 and all(map(plain, m)))} for x in marks]
+
+    def family(words):
+        p = c.probabilities(license_scan._features(license_scan._of_text(" ".join(words))))
+        f = int(p.argmax())
+        if f == license_scan.UNKNOWN or p[f] < 0.6 or not own[f] & ({(w,) for w in words} | pairs(words)):
+            return None
+        shares = [len(pairs(t) & pairs(words)) / (len(pairs(words)) if len(pairs(t)) < 8 else min(len(pairs(t)), len(pairs(words)))) for t in texts[f] if len(pairs(t) & pairs(words)) >= max(1, min(3, len(pairs(t))))]
+        return license_scan.FAMILIES[f] if max(shares, default=0) >= 0.6 else None
+
+    lines = [fold(x) for x in text.split("\n")]
+    hits = [sum(p in every for p in zip(w, w[1:])) for w in lines]
+    near = [h > 0 and h >= 0.5 * (len(w) - 1) for h, w in zip(hits, lines)]
+    out, at = [], 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and near[end]:
+            end += 1
+        whole = family(sum(lines[at:end], [])) if end > at else None
+        single = [(i + 1, 1, f) for i in range(at, end) if (f := family(lines[i]))] if end - at > 1 else []
+        kinds = {f for _, _, f in single}
+        if kinds - {whole}:
+            out += single
+        if whole and (whole not in kinds or not kinds - {whole}):
+            out.append((at + 1, end - at, whole))
+        at = max(end, at + 1)
+    return sorted(out)
+
+
+def test_licences(spark, docs, texts):
+    extra = spark.createDataFrame([(-i - 1, t) for i, (t, _) in enumerate(NOTICES)], "doc_id bigint, text string")
+    rows = docs.select("doc_id", "text").unionByName(extra)
+    c = license_scan.train(license_scan.sample_lines(rows))
+    for r in license_scan.license_scan(rows).collect():
+        found = [(x.line, x.lines, x.family) for x in r.found]
         if r.doc_id < 0:
-            assert found == {-1: {(2, "mit")}, -2: set(), -3: set()}[r.doc_id]
+            text, wanted = NOTICES[-r.doc_id - 1]
+            assert found == wanted, text
         else:
-            assert found == {(i + 1, lines[x]) for i, x in enumerate(texts[r.doc_id].split("\n")) if x in lines}
+            text = texts[r.doc_id]
+            assert [(i, f) for i, _, f in found] == [(i + 1, LICENCE_LINES[x]) for i, x in enumerate(text.split("\n")) if x in LICENCE_LINES]
+        assert found == brute_licences(text, c)
 
 
 SECRETS = (("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))
@@ -178,7 +265,29 @@ def test_secrets_to_their_end(spark):
     assert "plain words between" in found.redacted
 
 
+def test_long_runs_take_linear_time():
+    """Ten times the text takes some ten times as long, for every rule."""
+    for rule in secret_scan.RULES:
+        for unit in ("eyJ", "eyJaaaaaaaaa.", "eyJaaaaaaaaa.eyJ", "a-", "token", "AKIA", "ghp_", "xoxa-", "sk_live_", "ab://u:", "-----BEGIN PRIVATE KEY-----\n", "0f"):
+            text = unit * (200_000 // len(unit))
+            began = time.process_time()
+            for _ in re.finditer(rule.pattern, text):
+                pass
+            assert time.process_time() - began < 1.0, (rule.kind, unit)
+
+
+def test_token_of_three_parts():
+    part = "eyJhbGciOiJ9"
+    pattern = re.compile(secret_scan._JWT)
+    for text in (f"x {part}.{part}.sig_- y", f"x{part}.{part}.sig_-", f"eyJeyJ{part}.{part}.sig_-"):
+        (m,) = pattern.finditer(text)
+        assert m[1].endswith("sig_-") and m[1].startswith("eyJ") and text[m.start(1) - 1 : m.start(1)] in ("", " ", "x")
+    assert not pattern.search(f"{part}.{part}") and not pattern.search(f"{part}.ey.sig")
+
+
 def test_trigram_queries():
+    assert secret_scan.trigram_query("(?i)skillful") == ("and", ("llf", "lfu", "ful")) and secret_scan.trigram_query("(?i)skill") is True
+    assert secret_scan.trigram_query("(?ai)ski") == "ski"
     assert secret_scan.trigram_query("[0-9a-f]+") is True and secret_scan.trigram_query("a?b*") is True
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
     assert secret_scan.trigram_query("(?:abc|xyz)+q") == ("or", ("abc", "xyz"))
@@ -191,6 +300,84 @@ def test_topk_blocks(spark, data, monkeypatch):
     same(queries.op6_exact_topk(spark, data), queries.oracle_sql()["op6_exact_topk"], connect(data))
 
 
+def test_topk_repeated_rows_as_sql(spark, data, tmp_path):
+    """Repeated ids and vectors: the SQL, on a table with more copies of rows than results."""
+    rows = spark.read.parquet(f"{data}/embeddings.parquet")
+    hot = rows.where("vec_id = 21").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(90)))).drop("n")
+    more = [rows.where("vec_id IN (1, 20, 40)"), hot, hot.withColumn("vec_id", F.lit(60).cast("bigint")), rows.where("vec_id = 40").withColumn("vec_id", F.lit(20).cast("bigint"))]
+    for x in more:
+        rows = rows.unionByName(x)
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    same(queries.op6_exact_topk(spark, str(tmp_path)), queries.oracle_sql()["op6_exact_topk"], con)
+
+
+def test_topk_resolves_few_entries(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet")
+    search = topk.Search(rows, F.col("vec_id") % 20 == 0, 5)
+    pairs = rows.count() * rows.where("vec_id % 20 = 0").count()
+    (found,) = search.entries().select("n_resolved").distinct().collect()  # one unit and one step
+    assert 0 < found.n_resolved < 0.3 * pairs
+
+
+def brute_ratios(got, texts, label):
+    """Ratios, threshold and verdicts by counting n-grams one by one; buckets are the operator's own."""
+    grams = {}
+    for k, t in texts.items():
+        raw = np.frombuffer(t.encode(), np.uint8)
+        grams[k] = Counter(quality_rules._buckets(quality_rules.Words(raw, np.array([0, len(raw)])))[0].tolist())
+    raw, target = Counter(), Counter()
+    for k, g in grams.items():
+        raw.update(g)
+        if label.get(k) == 1:
+            target.update(g)
+    size = 1 << quality_rules.BUCKET_BITS
+
+    def ratio(g, target):
+        a, b = sum(target.values()) + size, sum(raw.values()) + size
+        return sum(n * (math.log((target[x] + 1) / a) - math.log((raw[x] + 1) / b)) for x, n in g.items()) / max(1, sum(g.values()))
+
+    left_out = []
+    for r in got:
+        assert abs(r.ratio - ratio(grams[r.doc_id], target)) < 1e-9
+        if label.get(r.doc_id) == 1 and not r.base_failed:
+            rest = Counter(target)
+            rest.subtract(grams[r.doc_id])
+            left_out.append(ratio(grams[r.doc_id], rest))
+    least = np.quantile(left_out, quality_rules.LOW_QUANTILE) - quality_rules.MARGIN
+    assert all(r.kept == (not r.base_failed and r.ratio >= least) for r in got if abs(r.ratio - least) > 1e-9)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_quality_rules_with_few_trusted(spark, n):
+    """One rule for any number of trusted documents: none, no threshold; few, a threshold below each of them."""
+    words = [f"w{i}" for i in range(300)]
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(90))) for i in range(20)] + [(99, " ".join(f"{i}$$" for i in range(90)))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(n)] + [(5, 0), (5, 1), (None, 1)], "doc_id bigint, quality int")
+    weights, least = quality_rules.fit(docs, labels)
+    assert (least == -math.inf) == (n == 0) and weights.any() == (n > 0)
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs, labels).collect() if r.kept}
+    assert set(range(n)) <= kept and (n or len(kept) == 21)
+
+
+def test_words_are_told_apart():
+    """Words whose polynomial hashes modulo 2**64 are equal for any base have different hashes here."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    for text in (f"{a} {b}", f"x{a} x{b}", "a\x00 a", "abcdefgh abcdefghabcdefgh", "ab ba"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        h = quality_rules.Words(raw, np.array([0, len(raw)])).hash
+        assert len(set(h.tolist())) == 2
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(5000)]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    h = quality_rules.Words(raw, np.array([0, len(raw)])).hash.tolist()
+    assert len(set(zip(words, h))) == len(set(words)) == len(set(h))
+
+
 def test_quality_rules(spark, data, docs, labels, texts):
     ws = re.compile(r"[^\x20\x09-\x0D]+")
     got = quality_rules.quality_rules(docs, labels).collect()
@@ -205,6 +392,7 @@ def test_quality_rules(spark, data, docs, labels, texts):
     label = {r.doc_id: r.quality for r in labels.collect()}
     kept = [r.kept for r in got if label.get(r.doc_id) == 1 and not r.base_failed]
     assert sum(kept) == len(kept)
+    brute_ratios(got, texts, label)
     assert {r.doc_id for r in quality_rules.keep_quality(docs, labels).collect()} == {r.doc_id for r in got if r.kept}
     # the ratio itself, by plain counting
     counts = quality_rules.gram_counts(docs, quality_rules.trusted_ids(labels))
@@ -227,7 +415,7 @@ def test_near_duplicates(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
-    factors = near_dedup.rarity(df)
+    factors = near_dedup.rarity(*near_dedup.frequencies(df))
 
     def weighted(text):
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -251,6 +439,48 @@ def test_near_duplicates(spark):
     assert near_dedup.one_of_each(df).count() == len(set(got.values()))
 
 
+def test_near_duplicates_lose_no_link(spark, data):
+    """All pairs of a whole table that share a shingle: those of a weighted similarity of 0.8 or more are in one class."""
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    frequency = Counter()
+    shingles = {}
+    for k, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n = min(5, len(w))
+        shingles[k] = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else Counter()
+        frequency.update(shingles[k].keys())
+    weight = {k: {g: (1 + 0.2 * math.log(n)) * (1 + 0.2 * (1 - min(1, math.log1p(frequency[g]) / math.log1p(len(texts))))) for g, n in own.items()} for k, own in shingles.items()}
+    where = {}
+    for k, own in shingles.items():
+        for g in own:
+            where.setdefault(g, []).append(k)
+    pairs = {(a, b) for own in where.values() if len(own) > 1 for a in own for b in own if a < b}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    linked = 0
+    for a, b in pairs:
+        low = sum(min(x, weight[b][g]) for g, x in weight[a].items() if g in weight[b])
+        high = sum(weight[a].values()) + sum(weight[b].values()) - low
+        if low / high >= 0.81:  # exact frequencies, where the operator counts in buckets
+            linked += 1
+            assert got[a] == got[b]
+    assert linked > 50
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    """Several texts of one id, texts without ids: nodes are texts."""
+    rng = random.Random(6)
+    words = lambda: [rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(100)]
+    edit = lambda w: [*w[:50], "edited", *w[51:]]
+    one, two, three, four = words(), words(), words(), words()
+    rows = [(1, one), (1, two), (2, edit(one)), (3, edit(two)), (None, three), (None, edit(three)), (None, four), (7, edit(four)), (8, words())]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id bigint, text string")
+    got = [(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, None), (None, None), (None, 7), (7, 7), (8, 8)], key=str)
+    kept = near_dedup.one_of_each(df).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "7", "8", "None"]
+
+
 def test_nbsvm_on_held_out_labels(spark, docs, labels):
     got = quality_nbsvm.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     rank, good = got.score.rank(), got.quality == 1
@@ -296,22 +526,123 @@ def test_personal_data_by_context(spark):
     assert all(not v for k, v in got.items() if k >= 200 or k < 100)
 
 
-@pytest.mark.parametrize(
-    "seed",
-    [
-        lambda i: f"{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}.novak@mail.com",
-        lambda i: next(f"4465 7583 8288 {i:02d}{j:02d}" for j in range(100) if brute_pii(f"4465 7583 8288 {i:02d}{j:02d}")),
-        lambda i: f"+1 499 555 {1000 + i}",
-        lambda i: f"+1 (743) 555-{3800 + i}",
-    ],
+SEED_FORMS = (
+    lambda i: f"{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}.novak@mail.com",
+    lambda i: next(f"4465 7583 8288 {i:02d}{j:02d}" for j in range(100) if brute_pii(f"4465 7583 8288 {i:02d}{j:02d}")),
+    lambda i: f"+1 499 555 {1000 + i}",
+    lambda i: f"+1 (743) 555-{3800 + i}",
 )
-@pytest.mark.parametrize("words", ["reach {} x{}", "x{1}. {0} reach"])
-def test_personal_data_seeds_are_whole_spans(spark, seed, words):
-    rows = [(i, words.format(seed(i), i)) for i in range(20)] + [(100, words.format("ZX-40000-B", 100))]
+
+
+def test_personal_data_seeds_are_whole_spans(spark):
+    """Each form of a seed, with a word of its own before or behind it: the identifier beside that word is found."""
+    rows, wanted = [], {}
+    for v, (seed, words) in enumerate((s, w) for s in SEED_FORMS for w in ("reach{v} {} x{}", "x{1}. {0} reach{v}")):
+        rows += [(1000 * v + i, words.format(seed(i), f"{v}.{i}", v=v)) for i in range(20)] + [(1000 * v + 100, words.format(f"ZX-40{v}00-B", f"{v}.100", v=v))]
+        at = rows[-1][1].index("ZX")
+        wanted[1000 * v + 100] = [("context", at, at + 10)]
     got = {r.doc_id: [tuple(s) for s in r.spans if s.kind == "context"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    at = rows[-1][1].index("ZX")
-    assert got.pop(100) == [("context", at, at + 10)]
-    assert not any(got.values())
+    assert {k: v for k, v in got.items() if v} == wanted
+
+
+def brute_context(texts):
+    """Spans by context: the method on dicts and sets, each word with its place."""
+    outer = re.compile(r"^[^\w+]+|[^\w]+$")
+    rows = []  # document, start and end of the word without outer marks, token, is it a seed, patterns
+    for doc, text in texts.items():
+        marks, values, at = list(text), {}, 0
+        for a, b, k in sorted((a, b, k) for k, a, b in brute_pii(text)):
+            a = max(a, at)
+            if b > a:
+                values[a] = text[a:b].lower() if k == "email" else re.sub(r"(?<![0-9])0+(?=[0-9])", "", text[a:b]) if k == "ip" else re.sub("[^0-9]", "", text[a:b])
+                marks[a:b] = "\x01" * (b - a)
+                at = b
+        found = list(re.finditer(r"[^ \t-\r]+", "".join(marks)))
+        words = []
+        for m in found:
+            w, i = "", m.start()
+            while i < m.end():
+                if i in values:
+                    w += f"\x01{values[i]}\x01"
+                    i += 1
+                    while i < m.end() and marks[i] == "\x01" and i not in values:
+                        i += 1
+                else:
+                    w += marks[i].lower()
+                    i += 1
+            words.append(w)
+        get = lambda i: words[i] if 0 <= i < len(words) else None  # noqa: E731, B023
+        for i, (m, w) in enumerate(zip(found, words)):
+            seed = "\x01" in w
+            bare = w.split("\x01")[1] if seed else outer.sub("", w)
+            around = [("l", get(i - 1)), ("r", get(i + 1)), ("l", get(i - 2), get(i - 1)), ("l", get(i - 3), get(i - 2), get(i - 1)), ("r", get(i + 1), get(i + 2)), ("r", get(i + 1), get(i + 2), get(i + 3)), ("b", get(i - 1), get(i + 1))]
+            if seed or len(bare) >= 4:
+                own = m[0]
+                lead = len(own) - len(re.sub(r"^[^\w+]+", "", own))
+                rows.append((doc, m.start() + lead, m.start() + lead + len(outer.sub("", own)), bare, seed, [p for p in around if None not in p]))
+    known = {t for _, _, _, t, seed, _ in rows if seed}
+    held = {(p, t) for _, _, _, t, seed, ps in rows if seed for p in ps}
+    while True:
+        support = Counter(p for p, _ in held)
+        edges = Counter((p, t) for _, _, _, t, _, ps in rows for p in ps if support[p] >= 5)
+        size = Counter(p for p, _ in edges)
+        edges = {(p, t): n for (p, t), n in edges.items() if support[p] >= 0.45 * size[p]}
+        within = {}
+        for (p, t), n in edges.items():
+            within.setdefault(p, []).append((t, n))
+        score = {t: 1.0 for t in known}
+        while True:
+            good = {}
+            for p, own in within.items():
+                scores = [(score[t], n) for t, n in own if t in score]
+                c = min(sum(x for x, _ in scores) / (len(own) + 1), sum(x * n for x, n in scores) / (sum(n for _, n in own) + 1))
+                if c >= 0.9 and len(scores) >= 5:
+                    good[p] = c
+            new = {}
+            for p, t in edges:
+                if p in good and t not in known:
+                    new[t] = max(new.get(t, 0.0), good[p])
+            if {t: v for t, v in score.items() if t not in known} == new:
+                break
+            score = {t: 1.0 for t in known} | new
+        fresh = {t for p, t in edges if p in good} - known
+        if not fresh:
+            break
+        known |= fresh
+        held |= {(p, t) for _, _, _, t, _, ps in rows if t in fresh for p in ps}
+    out = {doc: set() for doc in texts}
+    for doc, a, b, _, seed, ps in rows:
+        if not seed and any(p in good for p in ps):
+            out[doc].add(("context", a, b))
+    return {doc: sorted(v) for doc, v in out.items()}
+
+
+def labelled_identifiers():
+    """Texts with seeds, identifiers of no format in the same contexts, others in contexts of these, and ordinary texts."""
+    rng = random.Random(11)
+    filler = ["the", "order", "was", "sent", "and", "paid", "late", "again", "by", "post", "from", "town"]
+    say = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    bodies = [(f"Contact: p{i}.doe@mail.example.com for help", None) for i in range(300)]
+    bodies += [(f"Contact: QX-{i}b-{i * 7} for help", f"QX-{i}b-{i * 7}") for i in range(30)]
+    bodies += [(f"member id QX-{i}b-{i * 7} joined", f"QX-{i}b-{i * 7}") for i in range(30)]  # learnt from those before
+    bodies += [(f"member id {name} joined", name) for name in ("hiddenuser", "jdoe.smith")]
+    bodies += [(f"client address 10.{i}.7.9 was seen", None) for i in range(60)]
+    bodies += [(f"member count {i}00 joined", None) for i in range(30)] + [("the client service was seen", None)] * 30 + [(f"Contact us for help in {say(2)}", None) for _ in range(30)]
+    texts = {i: f"{say(3)}. {body}. {say(4)}" for i, (body, _) in enumerate(bodies)}
+    return texts, {i: name for i, (_, name) in enumerate(bodies)}
+
+
+def test_personal_data_by_context_as_brute_force(spark):
+    texts, wanted = labelled_identifiers()
+    rng = random.Random(8)
+    more = {1000 + i: " ".join(rng.choice(["call", "me,", "at", "a@b.co", "x.y@b.co", "1.2.3.4", "+1 499 555 1000", "(zeta-9)", "İstanbul", "\x01", "or", "é\t"]) for _ in range(30)) for i in range(25)}
+    whole = texts | more
+    df = spark.createDataFrame(list(whole.items()), "doc_id bigint, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans if s.kind == "context"] for r in pii.personal_data(df).collect()}
+    assert got == brute_context(whole)
+    found = [(k, texts[k][a:b]) for k in texts for _, a, b in got[k]]
+    right = sum(wanted[k] == x for k, x in found)
+    assert len(found) == right == sum(v is not None for v in wanted.values())  # 62 of 62, and nothing else
 
 
 def test_pattern_graph_is_scored_to_the_end(spark):

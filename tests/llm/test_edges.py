@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from casejobs.llm import license_scan, mixing, near_dedup, pii, quality_nbsvm, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, topk
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -57,5 +58,37 @@ def test_topk_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [inf, 1.0]), (None, [1.0, 1.0]), (6, [1.0]), (7, []), (1, [1.0, 0.0]), (40, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({"rank": F.lit(1), "score": F.lit("x"), "c": F.lit(0)})
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 2).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 4096), (0, 2, 2, 4096), (20, 1, 0, 2048), (20, 2, 1, 2048), (40, 1, 7, 0)]
+    assert got == [(0, 1, 1, 4096), (0, 2, 1, 4096), (20, 1, 0, 2048), (20, 2, 1, 2048), (40, 1, 7, 0)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_pipeline_takes_odd_tables(spark, edge, empty, labels, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns; and no rows at all."""
+    for name, table in (("edge", edge), ("empty", empty)):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        coded = corpus_pipeline.encode(spark, docs, folder)
+        assert sorted(str(r.doc_id) for r in coded.collect()) == sorted(str(r.doc_id) for r in table.collect())
+        assert {r.n_tokens for r in coded.collect() if r.doc_id in (2, 3)} <= {1}
+        final = corpus_pipeline.run(spark, folder)
+        assert final.columns[:2] == ["doc_id", "n_tokens"] and {r.doc_id for r in final.collect()} <= {r.doc_id for r in table.collect()}
+
+
+def test_ids_at_the_border(spark):
+    text = "the same sixty bytes stand in each of these documents, here! "
+    rows = [(2**63 - 1, text), (-(2**63), text), (None, text), (None, text), (5, text + "more")]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == sorted([(str(2**63 - 1), 61), (str(-(2**63)), 0), ("None", 61), ("None", 61), ("5", 61)])
+
+
+def test_training_on_repeated_ids(spark):
+    """An id with several labels counts with the least, one with several texts with one of them."""
+    docs = spark.createDataFrame([(i, f"good words {i} " * 5 if i % 2 else f"bad noise {i} " * 5) for i in range(60)] + [(1, "other text of the id")] * 50, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (None, 1)], "doc_id bigint, quality int")
+    rows, known = quality_nbsvm.training_rows(docs, labels)
+    again, _ = quality_nbsvm.training_rows(docs.repartition(7), labels.repartition(5))
+    assert len(rows) == len(known) == len(again) < 60 and all((a == b).all() for a, b in zip(rows, again))
+    few, _ = quality_nbsvm.training_rows(docs, labels, 10)
+    assert 0 < len(few) <= 10
