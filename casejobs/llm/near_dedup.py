@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import Words, chunks, mix, released
-from .durable import checkpointed, small_batches, written
+from .durable import TEXT_ROWS, checkpointed, small_batches, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -216,8 +216,9 @@ def weighted_jaccard(left: tuple, right: tuple) -> float:
     return float(low / high) if high else 0.0
 
 
-def verified(pairs: DataFrame, n_pairs: int, store: DataFrame) -> DataFrame:
-    """Pairs whose exact weighted Jaccard similarity is at least 0.8. Shingles of paired nodes meet by shuffles."""
+def verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """Pairs (a written table) whose exact weighted Jaccard similarity is at least 0.8. Only the shingles of paired nodes
+    move, and meet by shuffles."""
 
     @released
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +226,12 @@ def verified(pairs: DataFrame, n_pairs: int, store: DataFrame) -> DataFrame:
             good = [weighted_jaccard(x, y) >= SIMILARITY for x, y in zip(_shingles_of(batch, "a_"), _shingles_of(batch, "b_"))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    n_pairs = pairs.count()
+    if 2 * n_pairs <= MAX_BROADCAST_IDS:
+        store = store.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
     one, two = (store.select(F.col("node").alias(x), F.col("grams").alias(f"{x}_grams"), F.col("weights").alias(f"{x}_weights")) for x in "ab")
     with small_batches(store.sparkSession):
-        return checkpointed(pairs.join(one, "a").join(two, "b").mapInArrow(work, "a bigint, b bigint"), n_pairs)
+        return checkpointed(pairs.join(one, "a").join(two, "b").mapInArrow(work, "a bigint, b bigint"), n_pairs, TEXT_ROWS)
 
 
 def own_weight(store: DataFrame) -> DataFrame:
@@ -264,7 +268,7 @@ def fine_samples(store: DataFrame, n_nodes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists(bits), lists(key.view(np.int64))], ["node", "bits", "keys"])
 
     with small_batches(store.sparkSession):
-        return written(store.mapInArrow(work, "node bigint, bits array<bigint>, keys array<bigint>"), n_nodes)
+        return written(store.mapInArrow(work, "node bigint, bits array<bigint>, keys array<bigint>"), n_nodes, TEXT_ROWS)
 
 
 def _close(pairs: DataFrame, fine: DataFrame) -> DataFrame:
@@ -367,7 +371,7 @@ def classes(docs: DataFrame) -> DataFrame:
     with small_batches(docs.sparkSession, "16m"):
         frequency, n_docs = frequencies(docs)
         factors = rarity(frequency, n_docs)
-        rows = written(signatures(docs, factors), n_docs)
+        rows = written(signatures(docs, factors), n_docs, TEXT_ROWS)
     rows = rows.withColumn("node", _node(F.col("text_hash")))
     texts = rows.where(F.col("samples").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("samples").alias("samples"), F.min("weight").alias("weight"))
     texts = written(texts, n_docs)
@@ -379,13 +383,13 @@ def classes(docs: DataFrame) -> DataFrame:
     n_held = held.count()
     candidates = held.select("node").distinct()
     with small_batches(docs.sparkSession):
-        store = written(shingle_store(docs, texts.join(candidates, "node", "left_semi").select("node", "doc_id"), n_nodes, factors), n_nodes)
+        store = written(shingle_store(docs, texts.join(candidates, "node", "left_semi").select("node", "doc_id"), n_nodes, factors), n_nodes, TEXT_ROWS)
         bounds = candidates.join(own_weight(store), "node", "left").join(nodes.select("node", "weight"), "node")
         bounds = bounds.select("node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("common"))
         bounds = checkpointed(bounds.where(F.col("common") >= (SIMILARITY - SLACK) * F.col("weight")), n_nodes)
     viable = written(held.join(bounds, "node").select("node", "band", "key", "weight", "common", F.col("node").alias("class")), n_held)
     tested = checkpointed(plausible(_led_pairs(_open_buckets(viable)).distinct(), nodes), n_held)
-    links = verified(tested, n_held, store)
+    links = verified(tested, store)
     same_id = _same_id(rows)
     if not same_id.isEmpty():
         links = links.union(checkpointed(same_id, n_nodes))
@@ -395,20 +399,21 @@ def classes(docs: DataFrame) -> DataFrame:
     n_still = still.count()
     if n_still:
         fine = fine_samples(store.join(still, "node", "left_semi"), n_still)
-        placed = bounds.join(fine, "node").select("node", "weight", "common", "bits", "keys", F.posexplode("keys").alias("band", "key"), F.col("node").alias("class"))
+        placed = bounds.join(fine, "node").select("node", "weight", "common", F.posexplode("keys").alias("band", "key"), F.col("node").alias("class"))
+        placed = written(placed, FINE_BANDS * n_still)
         led = _led_pairs(_open_buckets(_classed(placed, labels))).distinct()
         led = checkpointed(_close(led, fine).join(tested, ["a", "b"], "left_anti"), FINE_BANDS * n_still)
-        links = links.union(verified(led, led.count(), store))
+        links = links.union(verified(led, store))
         labels = components(links, n_nodes)
 
         placed = checkpointed(_open_buckets(_classed(placed, labels)), FINE_BANDS * n_still)
+        placed = placed.join(fine, "node")
         left, right = placed.alias("l"), placed.alias("r")
         across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & _possible("l", "r") & (_different(F.col("l.bits"), F.col("r.bits")) <= MOST_DIFFERENT) & (_first_band(F.col("l.keys"), F.col("r.keys")) == F.col("l.band")))
         across = across.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-        more = checkpointed(across.join(tested.union(led), ["a", "b"], "left_anti"))
-        n_more = more.count()
-        if n_more:
-            links = links.union(verified(more, n_more, store))
+        more = checkpointed(across.join(tested.union(led), ["a", "b"], "left_anti"), FINE_BANDS * n_still)
+        if not more.isEmpty():
+            links = links.union(verified(more, store))
             labels = components(links, n_nodes)
 
     known = texts.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("class", "node").alias("class"))
