@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Bytes of results of runs, about, and number of pair checks, that a Python worker keeps at most, from task to task.
-KEPT_BYTES = 120_000_000
+KEPT_BYTES = 110_000_000
 KEPT_PAIRS = 300_000
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -112,7 +112,6 @@ class Codec:
         for p, i in self.id.items():
             self.shorter[i] = next((self.id[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.automaton), -1)
         self.digits = [f" {i}" for i in range(len(self.pieces))]
-        self.shown = [p.replace(SPACE, " ") for p in self.pieces]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.runs = _Runs(self)
 
@@ -230,41 +229,63 @@ _RUN = re.compile(r" *[^ \n]+|\n+| +")
 
 
 class _Runs(dict):
-    """run -> (number of ids, their text with a space before each, decoded text)
+    """run -> its ids, as text with a space before each; ``shown`` has the decoded text where it is not the run itself.
 
-    When half of the bytes are used the table becomes the older half; what is used again moves to the new half.
+    A run that comes for the first time waits in ``once``, and is kept when it comes again, so that the many runs that
+    come only once don't drive out the others. A full table begins anew.
     """
 
-    #: Bytes of an entry besides its characters: four objects, a number and the places in the table.
-    ENTRY = 420
+    #: Bytes of an entry besides its characters: two objects and the places in the table.
+    ENTRY = 210
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
-        self.older: dict[str, tuple[int, str, str]] = {}
-        self.bytes = 0
-
-    def keep(self, run: str, found: tuple[int, str, str]) -> None:
-        if self.bytes >= KEPT_BYTES // 2:
-            self.older = dict(self)
-            self.clear()
-            self.bytes = 0
-        self[run] = found
-        self.bytes += self.ENTRY + len(run) + len(found[1]) + len(found[2])
-
-    def __missing__(self, run: str) -> tuple[int, str, str]:
-        found = self.older.pop(run, None)
+        self.once: dict[str, str] = {}
+        self.shown: dict[str, str] = {}
+        self.bytes = self.once_bytes = 0
+
+    def __missing__(self, run: str) -> str:
+        found = self.once.pop(run, None)
+        size = self.ENTRY + 2 * len(run)
         if found is not None:
-            self.keep(run, found)
+            self.once_bytes -= size
+            if self.bytes >= KEPT_BYTES // 2:
+                self.clear()
+                self.bytes = 0
+            self[run] = found
+            self.bytes += size
             return found
-        ids = self.codec.encode_run(run.replace(" ", SPACE))
-        digits, shown = self.codec.digits, self.codec.shown
-        plain = self.codec.characters.issuperset(run.replace(" ", SPACE))
-        found = (len(ids), "".join([digits[i] for i in ids]), "".join([shown[i] for i in ids]) if plain else self.codec._text(ids))
+        codec = self.codec
+        marked = run.replace(" ", SPACE)
+        ids = codec.encode_run(marked)
+        digits = codec.digits
+        found = "".join([digits[i] for i in ids])
+        pieces = codec.pieces
+        plain = "".join([pieces[i] for i in ids])
+        if plain != marked:  # there are bytes in it
+            shown = codec._text(ids)
+            if shown != run:
+                self.shown[run] = shown
         if len(run) <= 64:
-            self.keep(run, found)
+            if self.once_bytes >= KEPT_BYTES // 2:
+                self.once.clear()
+                self.once_bytes = 0
+            self.once[run] = found
+            self.once_bytes += size
         return found
 
+    def encode(self, text: str) -> tuple[str, str]:
+        """(ids, each with a space before it; the decoded text) of a whole text."""
+        runs = self.codec.split(text)
+        ids = "".join(map(self.__getitem__, runs))
+        decoded = "".join([self.shown.get(r, r) for r in runs] if self.shown else runs)
+        if len(self.shown) > 10_000:
+            for table in (self.shown, self.once, self):
+                table.clear()
+            self.bytes = self.once_bytes = 0
+        return ids, decoded.removeprefix(" ")
+
 
 _CODECS: dict[str, Codec] = {}
 
@@ -305,11 +326,9 @@ def _run(docs: DataFrame, model_path: str, whole: bool) -> DataFrame:
                 part = batch.slice(at, 256)
                 rows = []
                 for text in part.column(1).to_pylist():
-                    found = list(map(codec.runs.__getitem__, codec.split(text or "")))
-                    n, ids, decoded = zip(*found) if found else ((), (), ())
-                    ids = f"{''.join(ids)} {end}"[1:]
-                    decoded = "".join(decoded).removeprefix(" ")
-                    rows.append((sum(n) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([[int(i) for i in ids.split(" ")], decoded] if whole else [])))
+                    ids, decoded = codec.runs.encode(text or "")
+                    ids = f"{ids} {end}"[1:]
+                    rows.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([[int(i) for i in ids.split(" ")], decoded] if whole else [])))
                 columns = list(zip(*rows))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][: len(columns)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns) + 1])
