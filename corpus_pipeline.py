@@ -14,8 +14,8 @@ from casejobs.llm import durable, mixing, near_dedup, quality_rules, secret_scan
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """A stage's input in parts of some 50,000 rows: what the stage before wrote in many small files is read together."""
-    return durable.few_parts(docs, docs.count(), 50_000)
+    """A stage's input in parts of some 10,000 rows: what the stage before wrote in many small files is read together."""
+    return durable.few_parts(docs, docs.count(), durable.TEXT_ROWS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
