@@ -86,7 +86,8 @@ def _units(candidates: DataFrame, queries: DataFrame, n_candidates: int, n_queri
     right = queries.select("q", "size", *(F.col(x).alias(f"q_{x}") for x in ("width", "ids", "cutoffs", "parts"))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
     on = ["c", "q", "size"]
     if by_slice:
-        left = left.select("c", "q", "size", "width", F.posexplode("parts").alias("slice", "part"))
+        n = (F.octet_length("ids") / 8).cast("int").alias("n")
+        left = left.select("c", "q", "size", "width", n, F.posexplode("parts").alias("slice", "part"))
         right = right.select("c", "q", "size", "q_width", "q_ids", "q_cutoffs", F.posexplode("q_parts").alias("slice", "q_part"))
         on = [*on, "slice"]
     return left.join(right, on)
@@ -221,11 +222,7 @@ class Search:
         return F.pmod(F.xxhash64("vec_id", "embedding", F.spark_partition_id()), F.lit(blocks)).cast("int")
 
     def units(self, by_slice: bool) -> DataFrame:
-        found = _units(self.candidates, self.queries, self.c_blocks, self.q_blocks, by_slice)
-        if not by_slice:
-            return found
-        sizes = self.candidates.select("c", "size", (F.octet_length("ids") / 8).cast("int").alias("n"))
-        return found.join(sizes, ["c", "size"])
+        return _units(self.candidates, self.queries, self.c_blocks, self.q_blocks, by_slice)
 
     def entries(self) -> DataFrame:
         """Each unit's best entries, by all three phases."""
