@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casejobs.llm import license_scan, mixing, near_dedup, pii, quality_nbsvm, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, topk
+from casejobs.llm import license_scan, mixing, near_dedup, periodic_runs, pii, quality_nbsvm, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, topk
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,8 @@ ROWWISE = {
     "near": lambda d, _: near_dedup.near_duplicates(d),
     "nbsvm": quality_nbsvm.quality_scores,
     "pii": lambda d, _: pii.personal_data(d),
+    "runs": lambda d, _: periodic_runs.periodic_runs(d),
+    "simhash": lambda d, _: simhash_dedup.near_duplicates(d),
 }
 
 
