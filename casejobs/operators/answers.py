@@ -1,11 +1,10 @@
-"""Request and answer tables of the enrichment step, and place tags as its local stand-in."""
+"""Request and answer tables of the enrichment step."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.answers import fallback_snippet, parse_answer, request_batch, request_engine
-from ..session import spread
 
 
 def build_requests(cases: DataFrame, profile: str) -> DataFrame:
@@ -27,36 +26,3 @@ def attach_answers(cases: DataFrame, answers: DataFrame) -> DataFrame:
         F.when(none, C.DEFAULT_LAT).otherwise(F.col("answer.latitude")).alias("latitude"),
         F.when(none, C.DEFAULT_LON).otherwise(F.col("answer.longitude")).alias("longitude"),
     )
-
-
-#: A gazetteer of so many names at most is broadcast; a larger one meets the texts by a shuffle.
-MAX_BROADCAST_NAMES = 200_000
-
-
-def geotag(cases: DataFrame, gazetteer: DataFrame, max_words: int = 3) -> DataFrame:
-    """Point of each case (case_id, text) by places named in it; none gives the default point.
-
-    Only the characters that would be sent are looked at. Of several places the longest name counts, then the earliest
-    position. A word is followed only if a name begins with it; names and runs of words meet by an equi-join.
-    """
-    sent = spread(cases.select("case_id", F.substring("text", 1, C.ENGINE_SENT_CHARS).alias("text")))
-    words = F.split(F.regexp_replace(F.lower("text"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), r"[^\p{L}\p{N}]+")
-    listed = sent.select("case_id", words.alias("words"))
-    after = [F.slice("words", n + 1, C.ENGINE_SENT_CHARS).alias(f"w{n}") for n in range(max_words)]
-    zipped = listed.select("case_id", F.arrays_zip(*after).alias("places"))
-    # the outer form, since for the other Spark first looks which arrays are empty, and makes them twice for that
-    tokens = zipped.select("case_id", F.posexplode_outer("places").alias("at", "w")).select("case_id", "at", "w.*")
-    places = gazetteer.select(F.lower("name").alias("name"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    first = places.select(F.substring_index("name", " ", 1).alias("w0")).distinct()
-    runs = [F.concat_ws(" ", *(F.col(f"w{n}") for n in range(k))) for k in range(1, max_words + 1)]
-    few = F.broadcast if gazetteer.count() <= MAX_BROADCAST_NAMES else lambda table: table
-    found = tokens.join(few(first), "w0", "left_semi").select("case_id", "at", F.explode(F.array(*runs)).alias("name"))
-    # length and position as one number, and the name as a hash, so that the best is found without a sort
-    order = F.lit(1 << 20) - F.length("name").cast("bigint")
-    named = places.withColumns({"name_hash": F.xxhash64("name"), "order": order * F.lit(1 << 32)})
-    found = found.join(few(named.select("name", "name_hash", "order")), "name")
-    best = found.groupBy("case_id").agg(F.min_by("name_hash", F.col("order") + F.col("at")).alias("name_hash")).join(few(named), "name_hash")
-    return cases.select("case_id").join(best, "case_id", "left").select(
-        "case_id", F.col("name").alias("place"),
-        F.coalesce("lat", F.lit(C.DEFAULT_LAT)).alias("latitude"), F.coalesce("lon", F.lit(C.DEFAULT_LON)).alias("longitude"),
-    )

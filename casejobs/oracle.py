@@ -92,20 +92,28 @@ def _requests() -> str:
   UNION ALL SELECT 'engine', case_id, {engine} FROM k) SELECT profile, case_id, {_digest("request")} FROM r"""
 
 
-def _repair() -> str:
+def _repair(many: bool = False) -> str:
     patterns = [r[0] for r in C.REPAIR_RULES]
     prefix = "CASE id % 8 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(patterns)) + " WHEN 6 THEN 'UTAH-1953 AUTO-FBI-' ELSE '' END"
     chain = lambda i, c: "CASE " + " ".join(f"WHEN contains(cid, '{r[0]}') THEN {_q(r[i])}" for r in C.REPAIR_RULES) + f" ELSE {c} END AS {c}"
-    return f"WITH {CASES}, r AS (SELECT *, {prefix} || case_id AS cid FROM fx_cases) SELECT cid AS case_id, {chain(1, 'title')}, {chain(2, 'translation_snippet')} FROM r"
+    repaired = f"WITH {CASES}, r AS (SELECT *, {prefix} || case_id AS cid FROM fx_cases)"
+    if many:
+        return f"""{repaired}, u AS (SELECT doc_id::VARCHAR AS n, 'P-' || doc_id AS pattern FROM documents WHERE doc_id % 5 = 3),
+f AS (SELECT r.id, u.n FROM r JOIN u ON contains(r.cid, u.pattern) QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY length(u.n) DESC, u.pattern) = 1)
+SELECT cid AS case_id, coalesce('rule ' || f.n, title) AS title, {_digest("coalesce(f.n, translation_snippet)")} FROM r LEFT JOIN f ON r.id = f.id"""
+    return f"{repaired} SELECT cid AS case_id, {chain(1, 'title')}, {chain(2, 'translation_snippet')} FROM r"
 
 
 def _geotag() -> str:
-    places = ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in PLACES)
-    return rf"""WITH w AS (SELECT doc_id::VARCHAR AS case_id, list_filter(string_split_regex(lower(substr(text, 1, {C.ENGINE_SENT_CHARS})), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS words FROM documents),
-p(name, lat, lon) AS (VALUES {places}),
-r AS (SELECT case_id, i AS pos, array_to_string(words[i : least(i + k - 1, len(words))], ' ') AS name FROM w, unnest(range(1, len(words) + 1)) AS x(i), (VALUES (1), (2), (3)) AS n(k)),
-b AS (SELECT case_id, p.name, lat, lon FROM r JOIN p ON r.name = p.name QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY length(p.name) DESC, pos, p.name) = 1)
-SELECT w.case_id, b.name AS place, coalesce(lat, {C.DEFAULT_LAT}::DOUBLE) AS latitude, coalesce(lon, {C.DEFAULT_LON}::DOUBLE) AS longitude FROM w LEFT JOIN b ON w.case_id = b.case_id"""
+    places = ", ".join(f"({_q(n)}, {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in PLACES)
+    words = lambda text: rf"list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    return rf"""WITH w AS (SELECT doc_id::VARCHAR AS case_id, {words(f"substr(text, 1, {C.ENGINE_SENT_CHARS})")} AS words FROM documents),
+l AS (SELECT lower(name) AS place, {words("name")} AS words, lat, lon FROM (VALUES {places}) AS v(name, lat, lon)),
+p AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY words ORDER BY place, lat, lon) = 1),
+k AS (SELECT DISTINCT len(words) AS k FROM p),
+r AS (SELECT case_id, i AS pos, words[i : i + k - 1] AS words FROM w, unnest(range(1, len(words) + 1)) AS x(i), k WHERE i + k - 1 <= len(words)),
+b AS (SELECT case_id, place, lat, lon FROM r JOIN p ON r.words = p.words QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY length(array_to_string(p.words, ' ')) DESC, pos) = 1)
+SELECT w.case_id, b.place, coalesce(lat, {C.DEFAULT_LAT}::DOUBLE) AS latitude, coalesce(lon, {C.DEFAULT_LON}::DOUBLE) AS longitude FROM w LEFT JOIN b ON w.case_id = b.case_id"""
 
 
 CRAWL = r"""crawl AS (SELECT page_id, url, replace(html, '</body>', '<a href="files/' || page_id || '.PDF?x=1">f</a><A class="m" HREF="http://h.example/' || (page_id % 50) || '.mp4#t">v</A><script>var s=''<a href="x.png">'';</script><!-- <a href="y.mov"> --></body>') AS html,
@@ -194,6 +202,7 @@ def oracle_sql() -> dict[str, str]:
         "geotag": _geotag(),
         "repair_fixed": _repair(),
         "repair_table": _repair(),
+        "repair_many": _repair(many=True),
         "vector_upsert": "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS seq, (CASE WHEN vec_id % 3 = 0 THEN embedding[-1] ELSE embedding[1] END)::DOUBLE AS first, 'text ' || vec_id AS text, label::VARCHAR AS label FROM embeddings",
         "vector_check": "SELECT vec_id AS id, 63 AS dim FROM embeddings WHERE vec_id % 10 = 0",
         "vector_topk": "WITH s AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings) SELECT id, round(score, 6) AS score, 'text ' || id AS text FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 5)",

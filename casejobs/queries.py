@@ -16,7 +16,7 @@ from .functions import answers as fa
 from .functions import links as fl
 from .functions import naming as fn
 from .functions import text as ft
-from .operators import answers, catalog, crawl, ingest, media, repair, vectors
+from .operators import answers, catalog, crawl, ingest, media, places, repair, vectors
 from .plans import crawl as crawl_plan
 from .plans import ingest as ingest_plan
 from .session import scratch
@@ -54,7 +54,11 @@ SELECT d.doc_id AS id,
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """
 
-PLACES = (("the", 1.0, 2.0), ("of the", 3.0, 4.0), ("la", 5.0, 6.0), ("de la", 7.0, 8.0), ("und", 9.0, 10.0))
+#: Names of one to seven words, with punctuation, and one that stands twice.
+PLACES = (
+    ("the", 1.0, 2.0), ("of the", 3.0, 4.0), ("Of-The", 2.0, 4.5), ("Of The", 5.0, 4.0), ("la", 5.0, 6.0), ("de la", 7.0, 8.0), ("und", 9.0, 10.0),
+    ("Thanedble the Anea Eriner", 11.0, 12.0), ("The, Anea", 13.0, 14.0), ("ATTION to thanedble, the anea-eriner (thanea)", 15.0, 16.0), ("the of. Nowhere", 17.0, 18.0),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -302,7 +306,7 @@ def llm_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geotag(spark: SparkSession, sf_dir: str) -> DataFrame:
     gazetteer = spark.createDataFrame(list(PLACES), "name string, latitude double, longitude double")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("case_id"), "text")
-    return answers.geotag(docs, gazetteer)
+    return places.geotag(docs, gazetteer)
 
 
 def repair_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +318,13 @@ def repair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_by_rules(repaired_ids(fx_cases(spark, sf_dir)), rules).select("case_id", "title", "translation_snippet")
 
 
+def repair_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every fifth document, so that the rules grow with the table; ids hold several patterns."""
+    number = F.col("doc_id").cast("string")
+    rules = table(spark, sf_dir, "documents").where("doc_id % 5 = 3").select((-F.length(number)).alias("priority"), F.concat(F.lit("P-"), number).alias("pattern"), F.concat(F.lit("rule "), number).alias("title"), number.alias("translation_snippet"))
+    return repair.repair_by_rules(repaired_ids(fx_cases(spark, sf_dir)), rules).select("case_id", "title", *digest("translation_snippet"))
+
+
 def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fx_points(spark, sf_dir)
     updates = points.where("id % 3 = 0").withColumns({"vector": F.reverse("vector"), "seq": F.lit(1).cast("bigint")})
@@ -436,7 +447,7 @@ def queries() -> dict[str, Query]:
     plain = (
         case_ids, supported_files, existing_skip, existing_stored, first_wins, append_new, ingest_report, cap_text, year_date, display, map_points,
         search_url, search_cases, status_filter, first_case, stats_server, stats_view, stats_empty, export_catalog, append_cases, reset, seed,
-        llm_requests, llm_answers, llm_fallback, geotag, repair_fixed, repair_table, vector_upsert, vector_check, vector_topk, vector_knn,
+        llm_requests, llm_answers, llm_fallback, geotag, repair_fixed, repair_table, repair_many, vector_upsert, vector_check, vector_topk, vector_knn,
         vector_hits, links, media_links, new_downloads, fetch_status, crawl_report, frames_sampled, frame_report, telemetry, route_tasks,
         stream_ingest, stream_dedupe, list_incoming, ingest_stats,
     )
