@@ -5,9 +5,10 @@ is trained on the templates below, on notices made of the licences' names, on va
 and scraps of licences as unknown. Its temperature and the weight of the unknown class are calibrated with a second model
 from which every fourth family is left out, so that unseen families count as unknown.
 
-A paragraph is a run of lines most of whose word pairs licences have; blank lines end it, and a wrapped licence is one
-paragraph. It has a family if its calibrated probability is high enough, it shares enough word pairs with a template of
-that family, and it has a word or a pair of words that no other family's templates have.
+A paragraph is a stretch of words from one word pair that licences have to another, with gaps of a few other words; it may
+stand anywhere in a line, or run over wrapped lines, and blank lines end it. It has a family if its calibrated probability is
+high enough, it shares enough word pairs with a template of that family, and it has a word or a pair of words that no other
+family's templates have.
 """
 
 from __future__ import annotations
@@ -127,12 +128,12 @@ FEATURE_BITS = 16
 SAMPLE_LINES = 2000
 VARIANTS = 8
 MIN_PROBABILITY = 0.6
-#: Least number of shared word pairs (all of a shorter template's), and the least share: of a template's or the paragraph's
-#: pairs, the smaller of both; of the paragraph's alone if the template is short.
-LEAST_PAIRS, LEAST_SHARE = 3, 0.6
-SHORT_PAIRS = 8
-#: A line belongs to a paragraph if licences have so large a share of its word pairs.
-LINE_SHARE = 0.5
+#: Least number of word pairs shared with a short template (all of a still shorter one's), and with a longer one if its own
+#: share of the pairs is no fewer; and the least share: of a template's or the paragraph's pairs, the smaller of both, or of the
+#: paragraph's alone if the template is short.
+LEAST_PAIRS, SHORT_PAIRS, LEAST_SHARE = 3, 8, 0.6
+#: Words between two licence pairs of a paragraph, at most.
+GAP = 4
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -204,7 +205,7 @@ class Classifier:
         best = 0.0
         for own in self.pairs[family]:
             both = len(np.intersect1d(own, pairs, assume_unique=True))
-            if both and both >= min(LEAST_PAIRS, len(own)):
+            if both and both >= (min(LEAST_PAIRS, len(own)) if len(own) < SHORT_PAIRS else min(SHORT_PAIRS, LEAST_SHARE * len(own))):
                 best = max(best, both / (len(pairs) if len(own) < SHORT_PAIRS else min(len(own), len(pairs))))
         return best
 
@@ -337,20 +338,22 @@ def sample_lines(docs: DataFrame, n: int = SAMPLE_LINES) -> list[tuple[np.ndarra
     return sorted(((np.frombuffer(r.features, np.int32).astype(np.int64), r.n) for r in rows.collect()), key=lambda x: (x[0].tobytes(), x[1]))
 
 
-def paragraphs(near: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
-    """Runs (first line, end) of lines that are near to licences and in one document; a blank line is not near."""
-    at = np.flatnonzero(near)
-    cut = np.flatnonzero((np.diff(at) > 1) | (doc[at[1:]] != doc[at[:-1]])) + 1
-    return [(int(x[0]), int(x[-1]) + 1) for x in np.split(at, cut) if len(x)]
+def stretches(hits: np.ndarray, block: np.ndarray, gap: int) -> list[tuple[int, int]]:
+    """Stretches (first word, end) of the word pairs that licences have (``hits``: their first words, in order) with at most
+    so many other words between two; ``block`` tells which words may be together."""
+    cut = np.flatnonzero((hits[1:] - hits[:-1] > gap + 2) | (block[hits[1:]] != block[hits[:-1]])) + 1 if gap else np.flatnonzero(np.diff(hits) > 1) + 1
+    return [(int(x[0]), int(x[-1]) + 2) for x in np.split(hits, cut) if len(x)]
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``found``, an array of (line, lines, family, probability, share).
 
-    Lines count from 1 and are split at newlines (a carriage return is a space); every line of a whole text is looked at.
-    ``line`` is a paragraph's first line and ``lines`` their number. If lines of a paragraph have other families by
-    themselves than the whole, or the whole has none, they are reported one by one, and the whole only for a family that
-    none of them has. Null texts have no lines. Rows with repeated or null ids are scanned each for itself; other columns are left out.
+    Lines count from 1 and are split at newlines (a carriage return is a space); every word of a whole text is looked at.
+    ``line`` is the line of a paragraph's first word and ``lines`` their number. A paragraph is tried as a whole, and so are
+    its pieces without gaps. If pieces have other families by themselves than the whole, or the whole has none, they are
+    reported one by one, and the whole only for a family that none of them has. A licence's name of one word without a word
+    that licences have beside it is no notice. Null texts have no lines. Rows with repeated or null ids are scanned each for
+    itself; other columns are left out.
     """
     classifier = docs.sparkSession.sparkContext.broadcast(train(sample_lines(docs)))
 
@@ -358,29 +361,45 @@ def license_scan(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = classifier.value
         any_pair = _Set(np.concatenate([p for own in c.pairs for p in own]))
+        any_mark = _Set(np.concatenate(c.own_marks))
         for batch in batches:
             for row, end, raw, off in chunks(batch, "text"):
-                folded, edges, doc = _lines(raw, off)
-                words = Words(folded, edges)
-                pair, line = words.grams(2)
-                n = len(edges) - 1
-                hits, own = np.bincount(line[any_pair.has(pair)], minlength=n), np.bincount(line, minlength=n)
-                near = (hits > 0) & (hits >= LINE_SHARE * own)
-                first = np.searchsorted(doc, np.arange(end - row))
+                folded = _FOLD[raw]
+                words = Words(folded, off)
                 out: list[list[dict]] = [[] for _ in range(end - row)]
+                n = len(words.hash)
+                # the line of each word, and a number that changes at blank lines and between documents
+                breaks = np.concatenate([[0], np.cumsum(raw == 10)])
+                line = breaks[words.start]
+                block = np.cumsum(np.append(True, (np.diff(line) > 1) | (np.diff(words.doc) > 0))[:n])
+                pair = np.zeros(n, np.uint64)
+                inside = np.flatnonzero(words.doc[:-1] == words.doc[1:])
+                pair[inside] = words.grams(2)[0]
+                at = inside[block[inside] == block[inside + 1]]
+                hits = at[any_pair.has(pair[at])]
+                # no family without a word or pair of its own: how many of them stand before each word
+                marks = np.zeros(n + 1, np.int64)
+                marks[1:] = np.cumsum(any_mark.has(words.hash & ~np.uint64(1)))
+                pair_marks = np.zeros(n + 1, np.int64)
+                pair_marks[hits + 1] = any_mark.has(pair[hits] | np.uint64(1))
+                pair_marks = np.cumsum(pair_marks)
 
                 def tried(a: int, z: int) -> tuple | None:
-                    part = folded[edges[a] : edges[z]]
+                    if marks[z] == marks[a] and pair_marks[z - 1] == pair_marks[a]:
+                        return None
+                    part = folded[words.start[a] : words.start[z - 1] + words.length[z - 1]]
                     return c.family(Words(part, np.array([0, len(part)])))
 
-                for a, z in paragraphs(near, doc):
+                for a, z in stretches(hits, block, GAP):
                     whole = tried(a, z)
-                    results = [(a, z - a, whole)] if whole else []
-                    singles = [x for x in ((i, 1, tried(i, i + 1)) for i in range(a, z)) if x[2]] if z - a > 1 else []
+                    results = [(a, z, whole)] if whole else []
+                    pieces = stretches(hits[np.searchsorted(hits, a) : np.searchsorted(hits, z)], block, 0)
+                    singles = [x for x in ((i, j, tried(i, j)) for i, j in pieces) if x[2]] if len(pieces) > 1 else []
                     if singles and {x[2][0] for x in singles} != {whole and whole[0]}:  # several notices
                         results = singles + [x for x in results if whole[0] not in {y[2][0] for y in singles}]
-                    for i, lines, (family, p, share) in sorted(results):
-                        out[doc[i]].append({"line": int(i - first[doc[i]]) + 1, "lines": lines, "family": FAMILIES[family], "probability": p, "share": share})
+                    for i, j, (family, p, share) in sorted(results):
+                        doc = int(words.doc[i])
+                        out[doc].append({"line": int(line[i] - breaks[off[doc]]) + 1, "lines": int(line[j - 1] - line[i]) + 1, "family": FAMILIES[family], "probability": p, "share": share})
                 kind = pa.list_(pa.struct([("line", pa.int64()), ("lines", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("share", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(out, kind)], ["doc_id", "found"])
 
