@@ -1,8 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Words are summed per source (partial sums in each task), targets and repetition rates follow from the sums, and each
-document is taken floor(rate) times plus once more if a coin, seeded by a hash of its id, falls below the fraction. A
-document without an id seeds its coin by its text, so that a source of such documents is not taken as one.
+document is taken floor(rate) times plus once more if a coin, seeded by a hash of its id and text, falls below the fraction.
+Rows that have id, text and source in common share a coin, and are numbered: the coin and the number decide together, so that
+of n such rows n times the fraction, rounded up or down, are taken once more.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
+from .durable import checkpointed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order (null last), repeated.
@@ -22,6 +23,8 @@ MOST_REPEATS = 2
 #: each source is dealt out in so many parts.
 MAX_BROADCAST_SOURCES = 20_000
 SALTS = 64
+#: Keys of repeated rows are broadcast up to this number, and joined by a shuffle beyond.
+MAX_BROADCAST_KEYS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -73,30 +76,56 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def coin(doc_id: Column, text: Column) -> Column:
-    """A number in [0, 1) that depends on the id, or without one on the text: the first 13 hexadecimal digits of an MD5."""
-    seed = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit(""))))
+    """A number in [0, 1) that depends on the id and the text: the first 13 hexadecimal digits of an MD5."""
+    seed = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))
     return F.conv(F.substring(F.md5(seed.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows (doc, size) with ``number``: from 0 on among the rows with the same id, text and source.
+
+    Only rows that come again are numbered in groups, each part of the table by itself, and what the earlier parts hold is
+    added; so a group that is a large part of the table is in no task as a whole. They are written first, so that the parts stay.
+    """
+    keyed = rows.withColumn("key", F.xxhash64("doc.doc_id", "doc.text", "doc.source", F.col("doc.doc_id").isNull(), F.col("doc.text").isNull(), F.col("doc.source").isNull()))
+    again = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    n = again.count()
+    if not n:
+        return rows.withColumn("number", F.lit(0).cast("bigint"))
+    few = F.broadcast(again) if n <= MAX_BROADCAST_KEYS else again
+    once = keyed.join(few, "key", "left_anti").select("doc", "size", F.lit(0).cast("bigint").alias("number"))
+    repeated = written(keyed.join(few, "key", "left_semi").withColumn("part", F.spark_partition_id()))
+    counts = repeated.groupBy("key", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("key", "part").orderBy("size")  # of equal rows, any order is the same
+    number = F.col("before") + F.row_number().over(within) - 1
+    return once.unionByName(repeated.join(before, ["key", "part"]).select("doc", "size", number.cast("bigint").alias("number")))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc`` (a struct of its columns), size, source_size, target and copies.
 
     Null and empty texts have size 0 and are taken as often as the coin says; they add nothing. Null is a source of its
-    own, the last in order. Rows with the same id have the same coin, and so have rows without an id that have the same
-    text. Extra columns, whatever their names, stay in ``doc``.
+    own, the last in order. Of rows with one id, text and source so many are taken once more as their number times the
+    fraction says, one more or less by their common coin; which of them is left open only as far as they are equal. Extra
+    columns, whatever their names, stay in ``doc``.
     """
     rows = docs.select(F.struct("*").alias("doc"), word_count(F.col("text")).alias("size"))
     sizes = rows.select(F.col("doc.source").alias("source"), "size")
     table = checkpointed(source_targets(sizes))
+    rows = numbered(rows)
     same = rows["doc"]["source"].eqNullSafe(table["source"])
     if table.count() <= MAX_BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(table), same)
     else:
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc.doc_id", "doc.text"), F.lit(SALTS)).cast("int"))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc.doc_id", "doc.text", "number"), F.lit(SALTS)).cast("int"))
         parts = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.join(parts, rows["doc"]["source"].eqNullSafe(parts["source"]) & (F.col("salt") == F.col("part")))
-    extra = coin(F.col("doc.doc_id"), F.col("doc.text")) < F.col("rate") - F.floor("rate")
-    return joined.select("doc", "size", "source_size", "target", (F.floor("rate") + extra.cast("bigint")).alias("copies"))
+    own, fraction = coin(F.col("doc.doc_id"), F.col("doc.text")), F.col("rate") - F.floor("rate")
+    # for the first row: one if the coin is below the fraction
+    extra = F.ceil((F.col("number") + 1) * fraction - own) - F.ceil(F.col("number") * fraction - own)
+    return joined.select("doc", "size", "source_size", "target", (F.floor("rate") + extra).cast("bigint").alias("copies"))
 
 
 def emit(docs: DataFrame) -> DataFrame:

@@ -131,11 +131,12 @@ l AS (SELECT *, most / weight AS edge, row_number() OVER (ORDER BY most / weight
       / sum(weight) OVER (ORDER BY most / weight, source COLLATE "C" ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM m),
 v AS (SELECT level FROM l WHERE edge >= level ORDER BY place LIMIT 1),
 t AS (SELECT source, source_size, least(most, coalesce((SELECT level FROM v) * weight, most)) AS target FROM l),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t)
-SELECT d.doc_id, d.size, r.source_size, r.target,
-  d.size * (floor(r.rate)::BIGINT + CASE WHEN ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null:' || coalesce(d.text, ''))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE
-    < r.rate - floor(r.rate) THEN 1 ELSE 0 END) AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t),
+c AS (SELECT d.*, r.source_size, r.target, floor(r.rate) AS whole, r.rate - floor(r.rate) AS part,
+    row_number() OVER (PARTITION BY d.doc_id, d.text, d.source) AS number,
+    ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':' || coalesce(d.text, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS coin
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, size * (whole + ceil(number * part - coin) - ceil((number - 1) * part - coin))::BIGINT AS taken FROM c
 """
 
 

@@ -85,6 +85,29 @@ def test_mix_without_ids(spark, monkeypatch, most):
     assert all(abs(target[s] - (level * weights[s] if s in open_ else 2 * sizes[s])) < 1e-6 for s in target)
 
 
+@pytest.mark.parametrize("most", [(20_000, 200_000), (0, 0)])
+def test_mix_of_repeated_rows(spark, monkeypatch, most):
+    """A source of equal rows comes near its target, and so does one whose rows share an id or come twice; SQL agrees."""
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", most[0])
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_KEYS", most[1])
+    rows = [(1, "one and the same", "a", 1)] * 2000 + [(None, "no id here", "b", 2)] * 1500 + [(5, f"text {i} of one id", "c", i) for i in range(900)] + [(i, f"text {i} w", "d", 3) for i in range(450)] * 2 + [(None, None, None, 4)] * 40
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, number int").repartition(7)
+    got = mixing.mix(df).select("doc.*", "size", "source_size", "target", "copies").collect()
+    assert Counter((r.doc_id, r.text, r.source, r.number) for r in got) == Counter(rows)
+    taken, targets = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.size * r.copies
+    assert all(abs(taken[s] - t) <= 0.05 * t for s, t in targets.items()) and max(r.copies for r in got) <= 2
+    again = mixing.mix(df.repartition(3)).select("doc.*", "copies").collect()
+    assert Counter((r.doc_id, r.text, r.source, r.copies) for r in again) == Counter((r.doc_id, r.text, r.source, r.copies) for r in got)
+    con = duckdb.connect()
+    import pandas as pd
+
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source", "number"]).astype({"doc_id": "Int64"}))
+    want = con.sql(queries.OP2_SQL).fetchall()
+    assert Counter((r.doc_id, r.size, r.source_size, r.target, r.size * r.copies) for r in got) == Counter(want)
+
+
 def brute_removed(texts):
     first = {}
     for k in sorted(texts):
