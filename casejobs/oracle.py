@@ -181,6 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "first_wins": f"WITH {FILES}, {CANDIDATES} SELECT case_id, file_name FROM cand QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY file_name) = 1",
         "append_new": f"WITH {FILES}, {CANDIDATES}, {EXISTING} SELECT case_id FROM ex UNION ALL SELECT DISTINCT case_id FROM cand ANTI JOIN ex USING (case_id)",
         "ingest_report": f"WITH {FILES}, {CANDIDATES}, {EXISTING}, n AS (SELECT count(DISTINCT case_id) AS stored FROM cand ANTI JOIN ex USING (case_id)) SELECT (SELECT count(*) FROM fx_files) AS total, stored, (SELECT count(*) FROM cand) - stored AS skipped FROM n",
+        "ingest_observed": f"WITH {FILES}, {CANDIDATES}, {EXISTING}, n AS (SELECT count(DISTINCT case_id) AS stored FROM cand ANTI JOIN ex USING (case_id)) SELECT (SELECT count(*) FROM fx_files) AS total, stored, (SELECT count(*) FROM cand) - stored AS skipped FROM n",
         "cap_text": f"WITH {FILES}, t AS ({texts}) SELECT doc_id, {_digest('text')} FROM t",
         "year_date": f"WITH d AS (SELECT doc_id, {_year(years)} AS y FROM documents) SELECT doc_id, CASE WHEN y <> '' THEN y || '-01-01' ELSE '{C.ENGINE_DATE}' END AS date FROM d",
         "catalog": f"WITH {CATALOG} SELECT * FROM catalog",
@@ -188,6 +189,9 @@ def oracle_sql() -> dict[str, str]:
         "map_points": f"WITH {RAW} SELECT id, latitude, longitude, '<b>' || coalesce(id, '') || '</b><br/>' || coalesce(title, '') || '<br/>📍 ' || coalesce(location, '') AS popup FROM raw WHERE {truthy('latitude')} AND {truthy('longitude')}",
         "search_url": _search_url(),
         "search_cases": f"WITH {RAW} SELECT id, title, location FROM raw WHERE contains(lower(id), 'src1') OR coalesce(contains(lower(title), 'src1'), false) OR coalesce(contains(lower(location), 'src1'), false)",
+        "search_many": f"""WITH {RAW}, terms AS (SELECT 'p-' || doc_id AS term FROM documents WHERE doc_id % 7 = 0 UNION VALUES ('sRc1'), ('_d1'), ('zz'), (''), ('no such term'), ('7_'))
+SELECT term, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM terms JOIN raw ON CASE WHEN term = '' THEN coalesce(id, '') <> '' OR coalesce(title, '') <> '' OR coalesce(location, '') <> ''
+  ELSE contains(lower(id), lower(term)) OR coalesce(contains(lower(title), lower(term)), false) OR coalesce(contains(lower(location), lower(term)), false) END GROUP BY term""",
         "status_filter": f"WITH {CASES} SELECT case_id, status FROM fx_cases WHERE status = 'Resolved'",
         "first_case": f"WITH {CATALOG} SELECT id, title FROM catalog ORDER BY id LIMIT 1",
         "stats_server": f"WITH {CASES}, {_stats('fx_cases')}",
@@ -204,9 +208,11 @@ def oracle_sql() -> dict[str, str]:
         "repair_table": _repair(),
         "repair_many": _repair(many=True),
         "vector_upsert": "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS seq, (CASE WHEN vec_id % 3 = 0 THEN embedding[-1] ELSE embedding[1] END)::DOUBLE AS first, 'text ' || vec_id AS text, label::VARCHAR AS label FROM embeddings",
+        "vector_store": "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS seq, (CASE WHEN vec_id % 3 = 0 THEN embedding[-1] ELSE embedding[1] END)::DOUBLE AS first, 'text ' || vec_id AS text, label::VARCHAR AS label FROM embeddings",
         "vector_check": "SELECT vec_id AS id, 63 AS dim FROM embeddings WHERE vec_id % 10 = 0",
         "vector_topk": "WITH s AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings) SELECT id, round(score, 6) AS score, 'text ' || id AS text FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 5)",
         "vector_knn": f"WITH {KNN} SELECT query_id, id, rank, round(score, 6) AS score FROM h",
+        "vector_index_knn": f"WITH {KNN} SELECT query_id, id, rank, round(score, 6) AS score FROM h",
         "vector_hits": f"WITH {CASES}, {KNN} SELECT query_id, rank, h.id, case_id, title FROM h JOIN fx_cases c ON h.id = c.id",
         "links": f"WITH {LINKS} SELECT page_id, pos, href FROM links",
         "media_links": f"WITH {MEDIA} SELECT page_id, pos, href, url, file_name FROM named",
@@ -221,7 +227,7 @@ def oracle_sql() -> dict[str, str]:
   SELECT l_orderkey, l_linenumber, {_half_even("a")} AS altitude_m, azimuth_deg, {_half_even("s")} AS true_speed_knots, true AS parallax_anomaly, {_q(C.HUD_NOTE)} AS note FROM t""",
         "route_tasks": f"WITH {TASKS} SELECT source_url, route, count(*) AS n FROM r GROUP BY ALL",
         "stream_ingest": f"WITH {TASKS} SELECT case_id, source_url, route, enqueued_at FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY enqueued_at, source_url) = 1",
-        "stream_dedupe": "SELECT DISTINCT user_id::VARCHAR AS case_id FROM events",
+        "stream_dedupe": f"WITH {TASKS} SELECT case_id, source_url, enqueued_at FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY enqueued_at, source_url) = 1",
         "ingest_stats": f"WITH {FILES}, {CANDIDATES}, {EXISTING}, {CASES}, u AS (SELECT status FROM fx_cases UNION ALL SELECT 'Unresolved' FROM (SELECT DISTINCT case_id FROM cand ANTI JOIN ex USING (case_id))), {_stats('u')}",
         "assemble_all": _assemble("chr(10)", "", True),
         "assemble_first5": _assemble("chr(10)", "WHERE page_no <= 5", True),

@@ -1,9 +1,10 @@
 """The ingest job: files and page texts to new case rows, in two profiles."""
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -60,6 +61,20 @@ def ingest(files: DataFrame, pages: DataFrame, existing: DataFrame, profile: Pro
     return _batch_rows(rows) if profile is BATCH else _engine_rows(rows)
 
 
+def ingest_observed(files: DataFrame, existing: DataFrame, write: Callable[[DataFrame], None], profile: Profile = ENGINE) -> DataFrame:
+    """Writes the new files' keys (file_name, kind, case_id) by ``write`` and gives the report of this run, one row: total,
+    stored and skipped, as ``ingest_report`` has them.
+
+    The figures are counted on the rows that are written while they pass, so files and ids are read once.
+    """
+    total, usable, stored = (Observation(f"{name}-{uuid.uuid4().hex}") for name in ("total", "usable", "stored"))
+    seen = files.observe(total, F.count(F.lit(1)).alias("n"))
+    keys = candidates(seen, profile).select("file_name", "kind", "case_id").observe(usable, F.count(F.lit(1)).alias("n"))
+    write(first_per_key(skip_existing(keys, existing), "case_id", "file_name").observe(stored, F.count(F.lit(1)).alias("n")))
+    counts = [o.get["n"] for o in (total, usable, stored)]
+    return files.sparkSession.createDataFrame([(counts[0], counts[2], counts[1] - counts[2])], "total bigint, stored bigint, skipped bigint")
+
+
 def _cases(rows: DataFrame, **columns: Column) -> DataFrame:
     made = columns | {"id": F.xxhash64("case_id"), "status": F.lit(C.UNRESOLVED), "source_url": F.lit(C.PORTAL)}
     return rows.select(*[(F.col("case_id") if c == "case_id" else made[c]).cast(CASE_SCHEMA[c].dataType).alias(c) for c in CASE_COLUMNS])

@@ -16,11 +16,13 @@ from .functions import answers as fa
 from .functions import links as fl
 from .functions import naming as fn
 from .functions import text as ft
-from .operators import answers, catalog, crawl, ingest, media, places, repair, vectors
+from .operators import answers, catalog, crawl, ingest, media, places, repair, search_index, vector_index, vectors
 from .plans import crawl as crawl_plan
 from .plans import ingest as ingest_plan
 from .session import scratch
 from .sources import cases as sources
+from .sources import points as point_store
+from .streaming import dedupe
 from .streaming import tasks as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +193,11 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_report(fx_files(spark, sf_dir), _candidates(spark, sf_dir), fx_existing(spark, sf_dir))
 
 
+def ingest_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same figures, counted while the new files' keys are written."""
+    return ingest_plan.ingest_observed(fx_files(spark, sf_dir), fx_existing(spark, sf_dir), lambda new: new.write.parquet(scratch(spark, "new-files")))
+
+
 def assemble(separator: str, max_pages: int | None, trim: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ingest.assemble_text(fx_pages(spark, sf_dir), separator, max_pages, trim, key="doc_id").select("doc_id", *digest())
@@ -233,6 +240,16 @@ def search_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.search_cases(_raw_catalog(spark, sf_dir), "sRc1").select("id", "title", "location")
 
 
+def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that grow with the table, looked up in an index: parts of ids, and short, empty and unknown ones."""
+    target = scratch(spark, "search")
+    search_index.write_index(_raw_catalog(spark, sf_dir), target)
+    docs = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.concat(F.lit("p-"), F.col("doc_id").cast("string")).alias("term"))
+    more = spark.createDataFrame([("sRc1",), ("_d1",), ("zz",), ("",), ("no such term",), ("7_",)], "term string")
+    found = search_index.search_many(spark, target, docs.unionByName(more))
+    return found.groupBy("term").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.with_status(fx_cases(spark, sf_dir), C.RESOLVED).select("case_id", "status")
 
@@ -263,21 +280,22 @@ def export_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows taken and rejected by the sink, after two runs with the same rows."""
+    """Rows taken and rejected by the sink, after two runs with the same rows, and one of them again."""
     rows = fx_cases(spark, sf_dir).withColumn("case_id", F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.concat(F.lit("c"), (F.col("id") % 700).cast("string"))))
-    target, rejected = scratch(spark, "cases"), scratch(spark, "rejected")
-    sources.append_cases(rows, target, rejected)
-    sources.append_cases(rows.where("case_id is not null"), target, rejected)
+    target = scratch(spark, "cases")
+    sources.append_cases(rows, target, "first run")
+    sources.append_cases(rows.where("case_id is not null"), target, "second run")
+    sources.append_cases(rows, target, "first run")
     taken = sources.read_cases(spark, target).select("id", "case_id", F.lit("stored").alias("result"))
-    return taken.unionByName(sources.read_cases(spark, rejected).select("id", "case_id", F.lit("rejected").alias("result")))
+    return taken.unionByName(sources.read_rejected(spark, target).select("id", "case_id", F.lit("rejected").alias("result")))
 
 
 def reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of the case table after it was filled, emptied, and filled with every third case."""
     cases, target = fx_cases(spark, sf_dir), scratch(spark, "cases")
-    sources.append_cases(cases, target, scratch(spark, "rejected"))
+    sources.append_cases(cases, target)
     sources.reset_cases(spark, target)
-    sources.append_cases(cases.where("id % 3 = 0"), target, scratch(spark, "rejected"))
+    sources.append_cases(cases.where("id % 3 = 0"), target)
     return sources.read_cases(spark, target).select("id", "case_id")
 
 
@@ -336,6 +354,19 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upserted(spark, sf_dir).select("id", "seq", first.alias("first"), F.element_at("payload", "text").alias("text"), F.element_at("payload", "label").alias("label"))
 
 
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert in a stored table: a base, two deltas, a compaction, and a delta with writes that are too old."""
+    points, target = fx_points(spark, sf_dir), scratch(spark, "points")
+    updates = points.where("id % 3 = 0").withColumns({"vector": F.reverse("vector"), "seq": F.lit(1).cast("bigint")})
+    point_store.write_points(points.where("id % 5 <> 0"), target)
+    point_store.upsert(updates.where("id % 2 = 0"), target)
+    point_store.upsert(points.where("id % 5 = 0").unionByName(updates.where("id % 2 = 1")), target)
+    point_store.compact(spark, target)
+    point_store.upsert(points.where("id % 3 = 0"), target)
+    first = F.get("vector", F.lit(0)).cast("double")
+    return point_store.read_points(spark, target).select("id", "seq", first.alias("first"), F.element_at("payload", "text").alias("text"), F.element_at("payload", "label").alias("label"))
+
+
 def vector_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fx_points(spark, sf_dir).withColumn("vector", F.when(F.col("id") % 10 == 0, F.slice("vector", 1, 63)).otherwise(F.col("vector")))
     return vectors.check_collection(points, 64).select("id", F.size("vector").alias("dim"))
@@ -356,6 +387,13 @@ def vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+def vector_index_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search in clusters."""
+    points = fx_points(spark, sf_dir)
+    hits = vector_index.ClusterIndex(points).search(points.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"))
+    return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.hits_with_cases(_knn(spark, sf_dir), fx_cases(spark, sf_dir)).select("query_id", "rank", "id", "case_id", "title")
 
@@ -410,15 +448,15 @@ def route_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch(spark, "tasks")
     streams.ingest_stream(task_stream(spark, sf_dir), target, scratch(spark, "tasks-state")).awaitTermination()
-    return streams.read_store(spark, target).drop("part")
+    return streams.read_store(spark, target)
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3: the ids that pass; which of an id's tasks passes is the stream's choice."""
+    """ST3: the whole tasks that pass, each case's first."""
     target = scratch(spark, "deduped")
-    passed = streams.dedupe_stream(task_stream(spark, sf_dir), "10000 days")
+    passed = dedupe.dedupe_stream(task_stream(spark, sf_dir), "10000 days")
     passed.writeStream.option("checkpointLocation", scratch(spark, "deduped-state")).trigger(availableNow=True).format("parquet").start(target).awaitTermination()
-    return spark.read.parquet(target).select("case_id")
+    return spark.read.parquet(target).select("case_id", "source_url", "enqueued_at")
 
 
 def list_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,9 +483,9 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = (
-        case_ids, supported_files, existing_skip, existing_stored, first_wins, append_new, ingest_report, cap_text, year_date, display, map_points,
-        search_url, search_cases, status_filter, first_case, stats_server, stats_view, stats_empty, export_catalog, append_cases, reset, seed,
-        llm_requests, llm_answers, llm_fallback, geotag, repair_fixed, repair_table, repair_many, vector_upsert, vector_check, vector_topk, vector_knn,
+        case_ids, supported_files, existing_skip, existing_stored, first_wins, append_new, ingest_report, ingest_observed, cap_text, year_date, display, map_points,
+        search_url, search_cases, search_many, status_filter, first_case, stats_server, stats_view, stats_empty, export_catalog, append_cases, reset, seed,
+        llm_requests, llm_answers, llm_fallback, geotag, repair_fixed, repair_table, repair_many, vector_upsert, vector_store, vector_check, vector_topk, vector_knn, vector_index_knn,
         vector_hits, links, media_links, new_downloads, fetch_status, crawl_report, frames_sampled, frame_report, telemetry, route_tasks,
         stream_ingest, stream_dedupe, list_incoming, ingest_stats,
     )

@@ -1,5 +1,7 @@
 """Reading and writing the case table, listings and exports."""
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from .. import constants as C
 from ..operators.catalog import catalog_rows
 from ..operators.ingest import first_per_key, is_valid, skip_existing
 from ..schema import CASE_COLUMNS, CASE_SCHEMA
+from .commits import Log, touched
 
 _LISTING = "path string, file_name string, length bigint, modificationTime timestamp"
 
@@ -27,12 +30,13 @@ def list_incoming(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str | None = None, jdbc: dict | None = None, parts: int = 64) -> DataFrame:
-    """The case table from Parquet, or from a database by JDBC options (with ``dbtable``)."""
+    """The case table from its commits, from a plain Parquet folder, or from a database by JDBC options (with ``dbtable``)."""
     if jdbc:
         rows = _by_ranges(spark, jdbc, parts).load()
         named = {c.lower(): c for c in rows.columns}  # some databases fold names to capitals
         return rows.select(*[F.col(named[f.name]).cast(f.dataType).alias(f.name) for f in CASE_SCHEMA])
-    return spark.read.schema(CASE_SCHEMA).parquet(path)
+    log = Log(spark, path)
+    return log.read("cases", CASE_SCHEMA) if log.commits() else spark.read.schema(CASE_SCHEMA).parquet(path)
 
 
 def _by_ranges(spark: SparkSession, jdbc: dict, parts: int) -> DataFrameReader:
@@ -54,31 +58,34 @@ def split_valid(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cases.where(good), cases.where(~F.coalesce(good, F.lit(False)))
 
 
-def append_cases(cases: DataFrame, target: str, rejected: str) -> None:
-    """Appends the rows that the table takes and writes the others beside it.
+def append_cases(cases: DataFrame, target: str, run: str | None = None) -> bool:
+    """Adds the rows that the table takes and, as rejected, those that it does not, in one commit: both or neither are seen.
 
-    A run is atomic as a whole, not row by row. Rows without an id are rejected before the first of each id is chosen, so
-    a bad row never hides a good one; ids that are stored are skipped, so a repeated run adds nothing.
+    Rows without an id are rejected before the first of each id is chosen, so a bad row never hides a good one. Ids that
+    are stored are skipped; only files that may hold one of the new ids are read for that. A run that is committed already
+    changes nothing, and a failed one can be done again under its name. Says whether it committed.
     """
     good, bad = split_valid(cases)
-    ordered = good.withColumn("order", F.coalesce("id", F.lit(0)))
-    new = first_per_key(ordered, "case_id", "order").select(*CASE_COLUMNS)
-    stored = _stored(cases.sparkSession, target)
-    (skip_existing(new, stored) if stored is not None else new).write.mode("append").parquet(target)
-    bad.write.mode("append").parquet(rejected)
+    new = first_per_key(good.withColumn("order", F.coalesce("id", F.lit(0))), "case_id", "order").select(*CASE_COLUMNS)
+    log = Log(cases.sparkSession, target)
 
+    def make(commits: list[dict]) -> tuple[dict, bool]:
+        found = [] if commits else log.plain_files()  # a table made without commits is taken over
+        files = touched(log, new, "case_id", found or log.files("cases", commits))
+        fresh = skip_existing(new, log.read("cases", CASE_SCHEMA, files)) if files else new
+        return {"cases": found + log.write(fresh, "case_id"), "rejected": log.write(bad.select(*CASE_COLUMNS))}, False
 
-def _stored(spark: SparkSession, target: str) -> DataFrame | None:
-    try:
-        return read_cases(spark, target)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    return log.update(run or uuid.uuid4().hex, make)
+
+
+def read_rejected(spark: SparkSession, target: str) -> DataFrame:
+    """The rows that the case table did not take."""
+    return Log(spark, target).read("rejected", CASE_SCHEMA)
 
 
 def reset_cases(spark: SparkSession, target: str) -> None:
-    spark.createDataFrame([], CASE_SCHEMA).write.mode("overwrite").parquet(target)
+    """Empties the table and its rejected rows; a table that is not there yet becomes an empty one."""
+    Log(spark, target).update(uuid.uuid4().hex, lambda _: ({}, True))
 
 
 def seed_cases(spark: SparkSession) -> DataFrame:

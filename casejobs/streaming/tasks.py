@@ -1,16 +1,17 @@
 """The task queue as a stream: routing, deduplication in flight, idempotent storing."""
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.links import route_source
 from ..operators.ingest import first_per_key, skip_existing
+from ..sources.commits import Log, touched
 
 STORED_SCHEMA = "case_id string, source_url string, route string, enqueued_at timestamp"
-#: The store is partitioned by a hash of the case_id; a batch reads and appends to the parts of its own ids only.
-PARTS = 32
+_TABLE = "tasks"
 
 
 def route_stream(tasks: DataFrame) -> DataFrame:
@@ -18,35 +19,36 @@ def route_stream(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("route", route_source(F.col("source_url")))
 
 
-def dedupe_stream(tasks: DataFrame, bound: str = "1 hour") -> DataFrame:
-    """Drops a case_id that comes again within the bound; the watermark only limits what is remembered."""
-    timed = tasks.withColumn("enqueued_at", F.col("enqueued_at").cast("timestamp"))
-    return timed.withWatermark("enqueued_at", bound).dropDuplicatesWithinWatermark(["case_id"])
-
+def store_batch(batch: DataFrame, target: str, run: str | None = None) -> bool:
+    """Adds the first task of each case that is not stored yet, in one commit; says whether it committed.
 
-def store_batch(batch: DataFrame, target: str) -> None:
-    """Appends the first task of each case that is not stored yet; doing it again changes nothing."""
-    part = F.pmod(F.xxhash64("case_id"), F.lit(PARTS)).cast("int")
-    ordered = batch.withColumn("order", F.struct("enqueued_at", "source_url"))
-    new = first_per_key(ordered, "case_id", "order").select("case_id", "source_url", "route", "enqueued_at").withColumn("part", part)
-    stored = read_store(batch.sparkSession, target)
-    if stored is not None:
-        touched = [r.part for r in batch.select(part.alias("part")).distinct().collect()]  # PARTS numbers at most
-        new = skip_existing(new, stored.where(F.col("part").isin(touched)))
-    new.repartition("part").write.mode("append").partitionBy("part").parquet(target)
+    Only files whose key range and filter may hold a case of the batch are read. A run (as a stream's batch) that is
+    committed already changes nothing, and of several writers that store a case at once one is first: the others find it.
+    A task without a case_id is not stored.
+    """
+    tasks = batch.where("case_id IS NOT NULL").withColumn("order", F.struct("enqueued_at", "source_url"))
+    new = first_per_key(tasks, "case_id", "order").select("case_id", "source_url", "route", "enqueued_at").persist()
+    log = Log(batch.sparkSession, target)
 
+    def make(commits: list[dict]) -> tuple[dict, bool]:
+        files = touched(log, new, "case_id", log.files(_TABLE, commits))
+        fresh = skip_existing(new, log.read(_TABLE, STORED_SCHEMA, files)) if files else new
+        return {_TABLE: log.write(fresh.repartitionByRange("case_id"), "case_id")}, False
 
-def read_store(spark: SparkSession, target: str) -> DataFrame | None:
-    """The stored tasks with their ``part``; None if nothing was ever stored."""
     try:
-        return spark.read.schema(f"{STORED_SCHEMA}, part int").parquet(target)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+        return log.update(run or uuid.uuid4().hex, make)
+    finally:
+        new.unpersist()
+
+
+def read_store(spark: SparkSession, target: str) -> DataFrame:
+    """The stored tasks; none if nothing was ever stored."""
+    return Log(spark, target).read(_TABLE, STORED_SCHEMA)
 
 
 def ingest_stream(tasks: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Stores each case once. One query may write to a target; several writers need a table format with transactions."""
-    writer = route_stream(tasks).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: store_batch(batch, target))
+    """Stores each case once, also if several queries, each with its own checkpoint, write to one target. A batch that
+    is done again after a failure has the name that it had before."""
+    routed = route_stream(tasks)
+    writer = routed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: store_batch(batch, target, f"{checkpoint}#{n}") and None)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

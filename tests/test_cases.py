@@ -190,12 +190,12 @@ def test_knn_pairs_blocks_inside_spark(spark, monkeypatch):
 def test_ingest_twice_is_ingest_once(spark, tmp_path):
     files = spark.createDataFrame([("a.pdf",), ("b.txt",), ("x" * 25 + "1.mp4",), ("x" * 25 + "2.mp4",), ("bad.pdf",), ("scan.pdf",)], "file_name string")
     pages = spark.createDataFrame([("a.pdf", 2, "two 1999"), ("a.pdf", 1, " one"), ("bad.pdf", 1, None), ("scan.pdf", 1, "  ")], "file_name string, page_no int, text string").withColumn("error", F.when(F.col("file_name") == "bad.pdf", "broken"))
-    target, rejected = str(tmp_path / "cases"), str(tmp_path / "rejected")
+    target = str(tmp_path / "cases")
     sources.reset_cases(spark, target)
     for _ in range(2):
         new = plan.ingest(files, pages, sources.read_cases(spark, target), plan.ENGINE)
         assert new.columns == CASE_COLUMNS
-        sources.append_cases(new, target, rejected)
+        sources.append_cases(new, target)
     got = {r.title: r for r in sources.read_cases(spark, target).collect()}
     assert len(got) == 4
     a, bad, scan = (got[C.TITLE_PDF + n] for n in ("a.pdf", "bad.pdf", "scan.pdf"))
@@ -222,7 +222,7 @@ def test_stream_in_batches(spark, tmp_path):
         df.write.mode("append").parquet(source)
         stream = spark.readStream.schema(df.schema).parquet(source)
         tasks.ingest_stream(stream, target, str(tmp_path / "state")).awaitTermination()
-    assert sorted(r.case_id for r in spark.read.parquet(target).collect()) == [f"c{i}" for i in range(6)]
+    assert sorted(r.case_id for r in tasks.read_store(spark, target).collect()) == [f"c{i}" for i in range(6)]
 
 
 def test_report_parts(spark):
@@ -247,13 +247,3 @@ def test_database_reads_by_ranges(spark, tmp_path):
     assert sources.read_cases(spark, jdbc=jdbc).count() == 0
     own = jdbc | {"partitionColumn": "ID", "lowerBound": "0", "upperBound": "10", "numPartitions": "2"}
     assert sources.read_cases(spark, jdbc=own).rdd.getNumPartitions() == 2
-
-
-def test_a_store_reads_only_touched_parts(spark, tmp_path):
-    target = str(tmp_path / "store")
-    batch = spark.createDataFrame([(f"u{i}", f"c{i % 50}", "pdf", i) for i in range(100)], "source_url string, case_id string, route string, n int").withColumn("enqueued_at", F.timestamp_seconds("n")).drop("n")
-    for _ in range(2):
-        tasks.store_batch(batch, target)
-    stored = tasks.read_store(spark, target)
-    assert stored.count() == 50 and sorted(r.source_url for r in stored.collect()) == sorted(f"u{i}" for i in range(50))
-    assert stored.where("part <> pmod(xxhash64(case_id), 32)").isEmpty()
