@@ -39,6 +39,8 @@ FLOOR = CONFIDENCE / 2
 STILL = 1e-9
 #: Patterns, and documents with identifiers found by them, are broadcast up to this number.
 MAX_BROADCAST = 200_000
+#: Rounds of scoring, and of new patterns, at most: each round of either kind takes in something new, so it ends long before.
+MAX_ROUNDS = 200
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
@@ -235,12 +237,12 @@ def score_graph(edges: DataFrame, known: DataFrame) -> DataFrame:
     Each round: confidence = known instances / (all instances + 1), by different instances or by how often they stand
     there, whichever is less, so that one word that stands there often counts; score of an instance = its best pattern's
     confidence, if that is high and enough different known instances support the pattern. Scores only rise from round to
-    round, and the rounds end when nothing changes any more.
+    round, and the rounds end when nothing changes any more; ``MAX_ROUNDS`` without an end are an error.
     """
     edges = edges if "n" in edges.columns else edges.withColumn("n", F.lit(1))
     edges = checkpointed(edges.join(known.select("token", F.lit(1.0).alias("own")).distinct(), "token", "left"))
     scored, last = edges.withColumn("score", F.col("own")), (0, 0.0)
-    while True:
+    for _ in range(MAX_ROUNDS):
         score = F.coalesce("score", F.lit(0.0))
         share = F.least(F.sum(score) / (F.count("*") + 1), F.sum(score * F.col("n")) / (F.sum("n") + 1))
         patterns = scored.groupBy("pattern").agg(share.alias("confidence"), F.count("score").alias("support"))
@@ -251,6 +253,7 @@ def score_graph(edges: DataFrame, known: DataFrame) -> DataFrame:
         last = n, total
         grown = edges.where("own IS NULL").join(good, "pattern").groupBy("token").agg(F.max("confidence").alias("grown"))
         scored = edges.join(grown, "token", "left").withColumn("score", F.coalesce("own", "grown"))
+    raise RuntimeError(f"scores still rise after {MAX_ROUNDS} rounds")
 
 
 def good_patterns(contexts: DataFrame, of_seeds: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
@@ -258,12 +261,12 @@ def good_patterns(contexts: DataFrame, of_seeds: DataFrame) -> tuple[DataFrame,
 
     ``of_seeds`` are the contexts of words with seeds. Each round takes the patterns that enough different known instances
     stand in, drops those whose instances (counted by a sketch, within some 2 %) are mostly unknown, scores the graph of the
-    others, and ends if no instance becomes known that was not.
+    others, and ends if no instance becomes known that was not; ``MAX_ROUNDS`` without an end are an error.
     """
     every = F.explode(F.concat(F.array("l1", "r1"), "more")).alias("pattern")
     held = checkpointed(of_seeds.select(every, _token(F.col("word")).alias("token")).where("pattern IS NOT NULL AND token IS NOT NULL").distinct())
     known = held.select("token").distinct()
-    while True:
+    for _ in range(MAX_ROUNDS):
         candidates = checkpointed(held.groupBy("pattern").agg(F.count("*").alias("n_known")).where(F.col("n_known") >= SUPPORT))
         near = candidates, candidates.count()
         if not near[1]:
@@ -284,6 +287,7 @@ def good_patterns(contexts: DataFrame, of_seeds: DataFrame) -> tuple[DataFrame,
         named = contexts.select("l1", "r1", "more", _token(F.col("word")).alias("token")).join(_small(new, n_new), "token", "left_semi")
         held = checkpointed(held.union(named.select(every, "token").where("pattern IS NOT NULL")).distinct())
         known = checkpointed(known.union(new))
+    raise RuntimeError(f"instances still become known after {MAX_ROUNDS} rounds")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -66,17 +66,21 @@ def _margins(rows: list[np.ndarray], weights: np.ndarray, bias: float) -> np.nda
     return np.array([weights[x].sum() / np.sqrt(max(1, len(x))) + bias for x in rows])
 
 
+#: Epochs at most; some dozens reach the tolerance.
+MAX_EPOCHS = 10_000
+
+
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, tolerance: float = 0.1, seed: int = 0) -> tuple[np.ndarray, float]:
     """L2-regularised hinge loss: weights of the *unscaled* indicators and the bias.
 
     Row i has the values scale[f] / sqrt(number of its features) for its features f, and a constant 1. Epochs go on until
-    the projected gradients of one differ by no more than ``tolerance``.
+    the projected gradients of one differ by no more than ``tolerance``; ``MAX_EPOCHS`` without that are an error.
     """
     w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
     norm = np.array([1.0 / np.sqrt(max(1, len(x))) for x in rows])
     square = np.array([(scale[x] ** 2).sum() * k * k + 1.0 for x, k in zip(rows, norm)])
     order = np.random.default_rng(seed)
-    while True:
+    for _ in range(MAX_EPOCHS):
         least, most = np.inf, -np.inf
         for i in order.permutation(len(rows)):
             x = rows[i]
@@ -92,6 +96,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
                 alpha[i] = new
         if most - least <= tolerance:
             return w * scale, bias
+    raise RuntimeError(f"no fit within {MAX_EPOCHS} epochs")
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:

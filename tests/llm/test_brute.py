@@ -108,6 +108,32 @@ def test_mix_of_repeated_rows(spark, monkeypatch, most):
     assert Counter((r.doc_id, r.size, r.source_size, r.target, r.size * r.copies) for r in got) == Counter(want)
 
 
+def test_hinge_fit_against_plain_numbers():
+    """The same objective by coordinate descent on dictionaries, to a far smaller tolerance: equal scores within it."""
+    rng = random.Random(12)
+    rows = [sorted(rng.sample(range(30), rng.randint(0, 8))) for _ in range(80)]
+    y = [1.0 if sum(x < 12 for x in r) * 2 + rng.random() > len(r) else -1.0 for r in rows]
+    rows, y = rows + rows[:10], y + [-v for v in y[:5]] + y[5:10]  # equal and contradicting rows
+    scale, cost = [rng.uniform(-2, 2) for _ in range(30)], [rng.choice([0.5, 2.0]) for _ in rows]
+    values = [{f: scale[f] / math.sqrt(max(1, len(r))) for f in r} | {"bias": 1.0} for r in rows]
+    w, alpha = Counter(), [0.0] * len(rows)
+    for _ in range(20_000):
+        most = 0.0
+        for i, x in enumerate(values):
+            slope = y[i] * sum(w[f] * v for f, v in x.items()) - 1.0
+            new = min(max(0.0, alpha[i] - slope / sum(v * v for v in x.values())), cost[i])
+            most = max(most, abs(new - alpha[i]))
+            for f, v in x.items():
+                w[f] += (new - alpha[i]) * y[i] * v
+            alpha[i] = new
+        if most < 1e-10:
+            break
+    got, bias = quality_nbsvm.dual_coordinate_descent([np.array(r, np.int64) for r in rows], np.array(y), np.array(scale), np.array(cost), tolerance=1e-9)
+    for r, x in zip(rows, values):
+        score = sum(got[f] for f in r) / math.sqrt(max(1, len(r))) + bias
+        assert abs(score - sum(w[f] * v for f, v in x.items())) < 1e-6
+
+
 def brute_removed(texts):
     first = {}
     for k in sorted(texts):
