@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SEARCHED = ("id", "title", "location")
 GRAM = 3
 #: Postings are in so many parts by a hash of the stretch; terms read the parts of their own stretches only.
-PARTS = 64
+PARTS = 16
 
 
 def _stretches(text: Column, size: int) -> Column:

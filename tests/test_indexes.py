@@ -25,7 +25,7 @@ def test_a_thousand_terms(spark, tmp_path):
     for t in terms:
         want = [r for r, own in zip(rows, low) if any(t.lower() in c and c for c in own)]
         assert sorted(map(repr, found.get(t, []))) == sorted(map(repr, want)), t
-    for t in ("aB", "", "same", "b a"):  # and as the search for one term
+    for t in ("aB", "", "same", "É"):  # and as the search for one term
         assert sorted(map(repr, found.get(t, []))) == sorted(repr((r.id, r.title, r.location)) for r in catalog.search_cases(df, t).collect())
     # a term reads the parts of its own stretches
     one = search_index.search_many(spark, str(tmp_path / "index"), spark.createDataFrame([("same",)], "term string"))
