@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SEARCHED = ("id", "title", "location")
 GRAM = 3
+_TABLES = {"rows": "number bigint, id string, title string, location string", "postings": "gram string, number bigint, part int", "counts": "gram string, n bigint"}
 #: Postings are in so many parts by a hash of the stretch; terms read the parts of their own stretches only.
 PARTS = 16
 
@@ -27,16 +28,20 @@ def _part(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(PARTS)).cast("int")
 
 
+def _read(spark: SparkSession, target: str, name: str) -> DataFrame:
+    return spark.read.schema(_TABLES[name]).parquet(f"{target}/{name}")
+
+
 def write_index(catalog: DataFrame, target: str) -> None:
     """Writes the searched columns under numbers of their own, the postings (stretch, number) and how many each stretch has."""
     spark = catalog.sparkSession
     catalog.select(F.monotonically_increasing_id().alias("number"), *SEARCHED).write.mode("overwrite").parquet(f"{target}/rows")
-    rows = spark.read.parquet(f"{target}/rows")
+    rows = _read(spark, target, "rows")
     postings = rows.select(F.explode(_of_row(GRAM)).alias("gram"), "number").withColumn("part", _part(F.col("gram")))
     # a stretch that all rows have is dealt over several tasks by the number, too
     dealt = postings.repartition("part", F.pmod("number", F.lit(8))).sortWithinPartitions("part", "gram")
     dealt.write.mode("overwrite").partitionBy("part").parquet(f"{target}/postings")
-    stored = spark.read.parquet(f"{target}/postings")
+    stored = _read(spark, target, "postings")
     stored.groupBy("gram").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{target}/counts")
 
 
@@ -47,16 +52,16 @@ def search_many(spark: SparkSession, target: str, terms: DataFrame) -> DataFrame
     there is verified. Shorter ones meet the stretches of their own length of all rows; an empty one finds rows that have
     any of the columns. A null term finds nothing.
     """
-    rows = spark.read.parquet(f"{target}/rows")
+    rows = _read(spark, target, "rows")
     asked = terms.where("term IS NOT NULL").select("term", F.lower("term").alias("low")).distinct()
     long = asked.where(F.length("low") >= GRAM)
-    counts = spark.read.parquet(f"{target}/counts")
+    counts = _read(spark, target, "counts")
     grams = long.select("term", "low", F.explode(_stretches(F.col("low"), GRAM)).alias("gram"))
     counted = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.groupBy("term", "low").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min("n").alias("n")).where("n > 0").drop("n").persist()
     try:
         parts = [r[0] for r in rarest.select(_part(F.col("gram"))).distinct().collect()]  # PARTS at most
-        looked_up = spark.read.parquet(f"{target}/postings").where(F.col("part").isin(parts)).select("gram", "number")
+        looked_up = _read(spark, target, "postings").where(F.col("part").isin(parts)).select("gram", "number")
         met = looked_up.join(rarest, "gram").join(rows, "number")
     finally:
         rarest.unpersist()
