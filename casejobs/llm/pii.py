@@ -10,6 +10,8 @@ comes in. Words in good patterns are identifiers that no format describes.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -37,8 +39,14 @@ SUPPORT = 5
 FLOOR = CONFIDENCE / 2
 #: Rounds go on until no pattern comes in and the mean confidence rises by no more than this.
 STILL = 1e-9
-#: Patterns, and documents with identifiers found by them, are broadcast up to this number.
+#: Patterns, and documents with identifiers found by them, are broadcast up to this number; the keys of joins beyond it
+#: are dealt out so many times.
 MAX_BROADCAST = 200_000
+SALTS = 16
+#: Bits of a filter for each row of its table, and of any filter at most.
+BITS_EACH, MOST_BITS = 32, 1 << 20
+#: One in so many texts is looked at first, to rule patterns out.
+PARTS = 16
 #: Rounds of scoring, and of new patterns, at most: each round of either kind takes in something new, so it ends long before.
 MAX_ROUNDS = 200
 
@@ -156,7 +164,7 @@ def _apart(base: Column) -> Column:
 
 def _masked(text: Column, seeds: Column, mask: Callable[[Column, Column], Column]) -> Column:
     """The text with each seed (start, end, kind, before) replaced by what ``mask`` makes of it and its characters."""
-    plain = F.translate(text, _MARK, _OTHER)
+    plain = F.replace(text, F.lit(_MARK), F.lit(_OTHER))
 
     def of(pieces: Column) -> Column:
         parts = F.transform(seeds, lambda s: F.concat(_cut(pieces, s["before"], s["start"]), mask(s, _cut(pieces, s["start"], s["end"]))))
@@ -189,24 +197,55 @@ def _with_blots(text: Column, seeds: Column) -> Column:
 _OUTER = r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$"
 
 
-def word_contexts(rows: DataFrame) -> DataFrame:
-    """One row for each word of ``rows`` (doc_id, text_hash, words): ``at`` (from 0), ``word`` and the hashes of its patterns.
+def _bits(table: DataFrame, column: str, n: int) -> Callable[[Column], Column]:
+    """Whether a hash may be in the column of a table of some ``n`` rows; one that is in it always may.
 
-    ``l1`` and ``r1`` are those of the word on the left and on the right; ``more`` has longer ones. Null: no such words.
+    A bitmap of 128 KB at most, whatever the table's size; what it lets pass is joined with the table itself.
     """
-    around = F.array(*[F.lit("")] * 3)
-    padded = F.concat(around, "words", around)
-    places = [F.slice(padded, k + 1, F.size("words")).alias(name) for k, name in enumerate(("l3", "l2", "l1", "w", "r1", "r2", "r3"))]
-    zipped = rows.select("doc_id", "text_hash", F.arrays_zip(*places).alias("places"))
+    bits = min(MOST_BITS, 1 << max(10, (BITS_EACH * n).bit_length()))
+
+    def place(h: Column) -> tuple[Column, Column]:
+        at = F.pmod(h, F.lit(bits))
+        return F.shiftright(at, 6).cast("int"), at.bitwiseAND(63).cast("int")
+
+    slot, bit = place(F.col(column))
+    rows = table.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("set"))
+    longs = [0] * (bits // 64)
+    for r in rows.collect():
+        longs[r["slot"]] = r["set"]
+    bitmap = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")  # folded to one literal
+
+    def may(h: Column) -> Column:
+        slot, bit = place(h)
+        return F.getbit(F.get(bitmap, slot), bit) == 1
+
+    return may
+
+
+def word_contexts(rows: DataFrame, chosen: Callable[[Column], Column], steps: tuple[int, ...] = (0,)) -> DataFrame:
+    """One row for each word of ``rows`` (doc_id, text_hash, words) that has a ``chosen`` word one of the ``steps`` away.
+
+    ``at`` is its number (from 0), ``token`` its instance, ``seed`` whether it has one. ``patterns`` are the hashes of its
+    patterns, each with ``near``, that of the neighbour it begins with. Words that aren't chosen never become rows.
+    """
+    names = ("l3", "l2", "l1", "w", "r1", "r2", "r3")
+
+    def numbers(flags: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: functools.reduce(operator.or_, (F.get(flags, i + k) for k in steps)) & (F.get("words", i) != ""))
+
+    # the flags stand in an array of one, so that they are made once and not again for each word
+    at = F.element_at(F.transform(F.array(F.transform("words", chosen)), numbers), 1)
+    around = F.transform(at, lambda i: F.struct(i.alias("at"), *(F.coalesce(F.get("words", i + k - 3), F.lit("")).alias(x) for k, x in enumerate(names))))
     # the outer form, since for the other Spark first looks which arrays are empty, and makes them twice for that
-    each = zipped.select("doc_id", "text_hash", F.posexplode_outer("places").alias("at", "x")).select("doc_id", "text_hash", "at", "x.*")
+    each = rows.select("doc_id", "text_hash", F.explode_outer(around).alias("x")).where("x IS NOT NULL").select("doc_id", "text_hash", "x.*")
 
     def pattern(kind: str, *words: str) -> Column:
         there = F.col(words[0]) != "" if len(words) == 1 else (F.col(words[0]) != "") & (F.col(words[-1]) != "")
-        return F.when(there, F.xxhash64(F.lit(kind), *words))
+        return F.struct(F.when(there, F.xxhash64(F.lit(kind), *words)).alias("pattern"), F.xxhash64("l1" if "l1" in words else "r1").alias("near"))
 
-    more = F.array(pattern("l2", "l2", "l1"), pattern("l3", "l3", "l2", "l1"), pattern("r2", "r1", "r2"), pattern("r3", "r1", "r2", "r3"), pattern("b", "l1", "r1"))
-    return each.where("w != ''").select("doc_id", "text_hash", "at", F.col("w").alias("word"), pattern("l1", "l1").alias("l1"), pattern("r1", "r1").alias("r1"), more.alias("more"))
+    kinds = [("l1", "l1"), ("r1", "r1"), ("l2", "l2", "l1"), ("l3", "l3", "l2", "l1"), ("r2", "r1", "r2"), ("r3", "r1", "r2", "r3"), ("b", "l1", "r1")]
+    patterns = F.filter(F.array(*(pattern(*k) for k in kinds)), lambda p: p["pattern"].isNotNull())
+    return each.select("doc_id", "text_hash", "at", _token(F.col("w")).alias("token"), F.col("w").contains(_MARK).alias("seed"), patterns.alias("patterns")).where("token IS NOT NULL")
 
 
 def _token(word: Column) -> Column:
@@ -220,15 +259,21 @@ def _small(table: DataFrame, n: int) -> DataFrame:
     return F.broadcast(table) if n <= MAX_BROADCAST else table
 
 
-def instances(contexts: DataFrame, near: tuple[DataFrame, int], patterns: tuple[DataFrame, int]) -> DataFrame:
-    """(doc_id, text_hash, at, pattern, token, seed) of the words that stand in one of the patterns (table, number of rows).
+def _found_in(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows whose key is in the table of ``n`` keys: by a broadcast, or by salted keys, so that a frequent one is many."""
+    if n <= MAX_BROADCAST:
+        return rows.join(F.broadcast(table.select(key)), key, "left_semi")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("text_hash", "at"), F.lit(SALTS)))
+    each = table.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    return salted.join(each, [key, "salt"], "left_semi").drop("salt")
 
-    ``near`` has the patterns of one word that the patterns begin with, among others: a word in none of these is in none.
-    """
-    one, two = (_small(near[0].select(F.col("pattern").alias(x), F.lit(True).alias(f"in_{x}")), near[1]) for x in ("l1", "r1"))
-    some = contexts.join(one, "l1", "left").join(two, "r1", "left").where("in_l1 OR in_r1")
-    each = some.select("doc_id", "text_hash", "at", _token(F.col("word")).alias("token"), F.col("word").contains(_MARK).alias("seed"), F.explode(F.concat(F.array("l1", "r1"), "more")).alias("pattern"))
-    return each.where("token IS NOT NULL").join(_small(patterns[0].select("pattern"), patterns[1]), "pattern", "left_semi")
+
+def instances(rows: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text_hash, at, token, seed, pattern) of the words that stand in one of the ``n`` patterns (pattern, near)."""
+    may, may_be = _bits(patterns, "near", n), _bits(patterns, "pattern", n)
+    some = word_contexts(rows, lambda w: may(F.xxhash64(w)), (-1, 1)).withColumn("patterns", F.filter("patterns", lambda p: may_be(p["pattern"])))
+    each = some.select("doc_id", "text_hash", "at", "token", "seed", F.explode_outer("patterns.pattern").alias("pattern"))
+    return _found_in(each.where("pattern IS NOT NULL"), patterns, "pattern", n)
 
 
 def score_graph(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -256,36 +301,47 @@ def score_graph(edges: DataFrame, known: DataFrame) -> DataFrame:
     raise RuntimeError(f"scores still rise after {MAX_ROUNDS} rounds")
 
 
-def good_patterns(contexts: DataFrame, of_seeds: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
-    """Patterns of high confidence and all candidates of the last round, with their numbers, by rounds over all texts.
+def good_patterns(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Patterns (pattern, near) of high confidence with their number, by rounds over all ``rows`` (doc_id, text_hash, words).
 
-    ``of_seeds`` are the contexts of words with seeds. Each round takes the patterns that enough different known instances
-    stand in, drops those whose instances (counted by a sketch, within some 2 %) are mostly unknown, scores the graph of the
-    others, and ends if no instance becomes known that was not; ``MAX_ROUNDS`` without an end are an error.
+    Each round takes the patterns that enough different known instances stand in, drops those whose instances are mostly
+    unknown, scores the graph of the others, and ends if no instance becomes known that was not; ``MAX_ROUNDS`` without an
+    end are an error. A pattern with too many unknown instances in a part of the texts has them in all, so a part is
+    looked at first: frequent words fall there, and few words of all texts stand beside what is left.
     """
-    every = F.explode(F.concat(F.array("l1", "r1"), "more")).alias("pattern")
-    held = checkpointed(of_seeds.select(every, _token(F.col("word")).alias("token")).where("pattern IS NOT NULL AND token IS NOT NULL").distinct())
+    each = "token", F.explode_outer("patterns").alias("x")
+    of_seeds = word_contexts(rows.where("has_seeds"), lambda w: w.contains(_MARK))
+    held = checkpointed(of_seeds.select(*each).select("x.*", "token").where("pattern IS NOT NULL").distinct())
     known = held.select("token").distinct()
+
+    def likely(candidates: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+        """Candidates without those that these edges rule out."""
+        of_all = edges.groupBy("pattern").agg(F.count("*").alias("n_all"))
+        return candidates.join(_small(of_all, n), "pattern", "left").where(F.col("n_known") >= FLOOR * F.coalesce("n_all", F.lit(0))).drop("n_all")
+
     for _ in range(MAX_ROUNDS):
-        candidates = checkpointed(held.groupBy("pattern").agg(F.count("*").alias("n_known")).where(F.col("n_known") >= SUPPORT))
-        near = candidates, candidates.count()
-        if not near[1]:
-            return candidates, 0, *near
-        counted = instances(contexts, near, near).groupBy("pattern").agg(F.approx_count_distinct("token", 0.02).alias("n_all"))
-        likely = checkpointed(counted.join(_small(candidates, near[1]), "pattern").where(F.col("n_known") >= FLOOR * F.col("n_all")).select("pattern"))
-        n = likely.count()
+        candidates = checkpointed(held.groupBy("pattern").agg(F.min("near").alias("near"), F.count("*").alias("n_known")).where(F.col("n_known") >= SUPPORT))
+        n = candidates.count()
+        if n:
+            part = rows.where(F.pmod("text_hash", F.lit(PARTS)) == 0)
+            candidates = checkpointed(likely(candidates, instances(part, candidates, n).select("pattern", "token").distinct(), n))
+            n = candidates.count()
         if not n:
-            return likely, 0, *near
-        edges = checkpointed(instances(contexts, near, (likely, n)).groupBy("pattern", "token").agg(F.count("*").alias("n")))
-        good = score_graph(edges, known)
+            return candidates.select("pattern", "near"), 0
+        edges = checkpointed(instances(rows, candidates, n).groupBy("pattern", "token").agg(F.count("*").alias("n")))
+        candidates = checkpointed(likely(candidates, edges, n).select("pattern", "near"))
+        edges = edges.join(_small(candidates.select("pattern"), n), "pattern", "left_semi")
+        good = score_graph(edges, known).select("pattern")
         n = good.count()
-        new = checkpointed(edges.join(_small(good, n), "pattern", "left_semi").select("token").distinct().join(known, "token", "left_anti"))
+        good = candidates.join(_small(good, n), "pattern", "left_semi")
+        new = checkpointed(edges.join(_small(good.select("pattern"), n), "pattern", "left_semi").select("token").distinct().join(known, "token", "left_anti"))
         n_new = new.count()
         if not n_new:
-            return good, n, *near
+            return good, n
         # patterns that the new instances stand in, wherever they do
-        named = contexts.select("l1", "r1", "more", _token(F.col("word")).alias("token")).join(_small(new, n_new), "token", "left_semi")
-        held = checkpointed(held.union(named.select(every, "token").where("pattern IS NOT NULL")).distinct())
+        may = _bits(new.select(F.xxhash64("token").alias("hash")), "hash", n_new)
+        named = _found_in(word_contexts(rows, lambda w: may(F.xxhash64(_token(w)))), new, "token", n_new)
+        held = checkpointed(held.union(named.select(*each).select("x.*", "token").where("pattern IS NOT NULL")).distinct())
         known = checkpointed(known.union(new))
     raise RuntimeError(f"instances still become known after {MAX_ROUNDS} rounds")
 
@@ -299,18 +355,20 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Patterns are told apart by 64-bit hashes. Other columns are left out.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # the base spans stand in an array of one, so that they are found once
+
+    def split(seeds: Column) -> Column:
+        return F.split(F.lower(F.btrim(_with_values(F.col("text"), seeds), F.lit(" \t\n\v\f\r"))), r"[\x20\x09-\x0D]+")
+
+    # each step's result stands in an array of one, so that it is made once
     spans = F.transform(F.array(base_spans(F.col("text"))), lambda base: F.struct(base.alias("base"), _apart(base).alias("seeds")))
-    found = written(texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.element_at(spans, 1).alias("x")).select("doc_id", "text", "text_hash", "x.*"))
-    split = F.split(F.lower(F.regexp_replace(_with_values(F.col("text"), F.col("seeds")), r"^[\x20\x09-\x0D]++|[\x20\x09-\x0D]++$", "")), r"[\x20\x09-\x0D]+")
-    words = found.select("doc_id", "text_hash", "seeds", split.alias("words"))
-    contexts = word_contexts(words)
-    of_seeds = word_contexts(words.where(F.size("seeds") > 0)).where(F.col("word").contains(_MARK))
-    good, n, *near = good_patterns(contexts, of_seeds)
+    made = F.transform(spans, lambda x: F.struct(x["base"].alias("base"), x["seeds"].alias("seeds"), split(x["seeds"]).alias("words")))
+    found = written(texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.element_at(made, 1).alias("x")).select("doc_id", "text", "text_hash", "x.*"))
+    words = found.select("doc_id", "text_hash", "words", (F.size("seeds") > 0).alias("has_seeds"))
+    good, n = good_patterns(words)
     if not n:
         return found.select("doc_id", "base", F.col("base").alias("spans"))
 
-    places = instances(contexts, tuple(near), (good, n)).where("NOT seed").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("at"))
+    places = instances(words, good, n).where("NOT seed").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("at"))
     places = checkpointed(places)
     n_places = places.count()
     here = (F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("l.text_hash") == F.col("r.text_hash"))
