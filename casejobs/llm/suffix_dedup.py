@@ -460,7 +460,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     blocks = buckets = max(1, -(-total // BLOCK_BYTES))
     plan = docs.sparkSession.sparkContext.broadcast(Plan(buckets, min(64, int(total).bit_length() + 12), _splitters(docs, n_docs, buckets)))
 
-    block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).alias("block")
+    # rows of one id need not meet, since decisions compare ids and not blocks, so a frequent id is spread by its texts
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
     dealt = docs.select(block, F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def keys(table: pa.Table) -> pa.Table:

@@ -170,6 +170,33 @@ def test_suffix_dedup(spark, monkeypatch):
         assert got == brute_removed(texts)
 
 
+def test_suffix_dedup_one_id_in_several_blocks(spark, monkeypatch):
+    """10,000 rows of one id: they lose what smaller ids have, and nothing to each other, whatever block they are in."""
+    rng = random.Random(4)
+    passage = [bytes(rng.choice(b"abcdefgh ") for _ in range(size)) for size in (50, 64, 90)]
+    own = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    rows = [(3, own(20) + passage[0]), (5, passage[1] + own(9)), (9, passage[0] + own(7) + passage[2])]
+    rows += [(7, own(rng.randint(0, 30)) + rng.choice(passage) + own(rng.randint(0, 30)) + b"%d" % i) for i in range(10_000)]
+    size = sum(len(t) for _, t in rows)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", size // 7)
+    df = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id bigint, text string")
+    used = df.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(8)).alias("block")).distinct().count()
+    got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    first = {}
+    for i, t in sorted(rows):
+        for at in range(len(t) - 49):
+            first.setdefault(t[at : at + 50], i)
+    expected = Counter()
+    for i, t in rows:
+        cover = bytearray(len(t))
+        for at in range(len(t) - 49):
+            if first[t[at : at + 50]] < i:
+                cover[at : at + 50] = b"\1" * 50
+        runs = sum(1 for k, c in enumerate(cover) if c and (k == 0 or not cover[k - 1]))
+        expected[i, len(t), sum(cover), runs, hashlib.sha256(bytes(x for x, c in zip(t, cover) if not c)).hexdigest()] += 1
+    assert used == 8 and got == expected
+
+
 @pytest.mark.parametrize("limit,chunk", [(50_000, 200_000), (1, 200_000), (50_000, 120)])
 def test_suffix_dedup_routes(monkeypatch, limit, chunk):
     """The same decisions with windows compared in the bucket, sent as open windows, and with documents cut into pieces."""
