@@ -32,3 +32,13 @@ def docs(spark, data):
 @pytest.fixture(scope="session")
 def texts(docs):
     return {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+@pytest.fixture
+def compiled(spark):
+    """Whole-stage compiling, as in production; the other tests go without, since it takes longer than their small tables."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    yield
+    spark.conf.set(name, before)

@@ -612,6 +612,7 @@ def brute_pii(t):
     return [(k, m.start(), m.end()) for k, m in out]
 
 
+@pytest.mark.usefixtures("compiled")
 def test_personal_data(spark, docs, texts):
     rng = random.Random(3)
     more = ["a@b.c%d@e.f", "x@y", "@a.b a.b@-.-", "1.2.3.4.5.6.7.8", "001.0.0.255 256.1.1.1", "4465758382889437 4465 7583 8288 9437 44657583-82889437", "+1 (499) 555-6503) +1-2 +", "𓀀é a@b.co", "7" * 30_000, "a" * 30_000 + "@b.c", None]
@@ -739,6 +740,7 @@ def labelled_identifiers():
     return texts, {i: name for i, (_, name) in enumerate(bodies)}
 
 
+@pytest.mark.usefixtures("compiled")
 def test_personal_data_by_context_as_brute_force(spark):
     texts, wanted = labelled_identifiers()
     rng = random.Random(8)

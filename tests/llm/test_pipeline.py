@@ -1,12 +1,14 @@
 import hashlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from casejobs.llm import quality_rules
 
 
+@pytest.mark.usefixtures("compiled")
 def test_pipeline_against_single_steps(spark, data, docs, texts):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-dedup", "secret scan", "mixing", "sentencepiece"]
     kept, stage = docs, {}
