@@ -624,7 +624,9 @@ def test_personal_data(spark, docs, texts):
         assert [tuple(s) for s in r.spans][: len(r.base)] == [tuple(s) for s in r.base]
 
 
-def test_personal_data_by_context(spark):
+@pytest.mark.parametrize("most", [200_000, 0])  # patterns that are broadcast, and that meet the words by salted keys
+def test_personal_data_by_context(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "MAX_BROADCAST", most)
     rows = [(i, f"please call phone +1 499 555 {1000 + i} now, ip addr 8.196.197.{i} end") for i in range(30)]
     rows += [(100 + i, f"staff addr ZX-{40000 + i}-B end") for i in range(2)]  # no format has these
     rows += [(200 + i, f"model number {70000 + i} sold") for i in range(20)]
