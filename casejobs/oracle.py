@@ -199,6 +199,8 @@ SELECT term, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM terms J
         "stats_empty": f"WITH {CASES}, {_stats('(SELECT * FROM fx_cases WHERE false)')}",
         "export_catalog": f"WITH {CATALOG} SELECT id, title, date, location, status, latitude, longitude, source_url FROM catalog",
         "append_cases": f"WITH {CASES}, s AS ({sink}) SELECT min(id) AS id, case_id, 'stored' AS result FROM s WHERE case_id IS NOT NULL GROUP BY case_id UNION ALL SELECT id, case_id, 'rejected' FROM s WHERE case_id IS NULL",
+        "append_compacted": f"WITH {CASES}, s AS (SELECT id, CASE WHEN id % 10 = 0 THEN NULL ELSE case_id END AS case_id, title FROM fx_cases) SELECT id, case_id, title, 'stored' AS result FROM s WHERE case_id IS NOT NULL UNION ALL SELECT id, case_id, title, 'rejected' FROM s WHERE case_id IS NULL AND id % 5 < 4",
+        "list_incoming": "SELECT coalesce(lang, 'none') AS lang, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes, true AS all_texts FROM documents GROUP BY ALL",
         "seed": f"WITH {CASES} SELECT * FROM (VALUES {seeds}) AS v(was, case_id, title) UNION ALL SELECT 'full', case_id, title FROM fx_cases",
         "llm_requests": _requests(),
         "llm_answers": _answers(),

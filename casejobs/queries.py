@@ -22,6 +22,7 @@ from .plans import ingest as ingest_plan
 from .session import scratch
 from .sources import cases as sources
 from .sources import points as point_store
+from .sources.commits import Log
 from .streaming import dedupe
 from .streaming import tasks as streams
 
@@ -290,6 +291,20 @@ def append_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.unionByName(sources.read_rejected(spark, target).select("id", "case_id", F.lit("rejected").alias("result")))
 
 
+def append_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case store after four runs, a compaction, a run that stores ids again, one done again, and files cleared away."""
+    rows = fx_cases(spark, sf_dir).withColumn("case_id", F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.col("case_id")))
+    target = scratch(spark, "cases")
+    for i in range(4):
+        sources.append_cases(rows.where(F.col("id") % 5 == i), target, f"run {i}")
+    sources.compact_cases(spark, target)
+    sources.append_cases(rows.where("case_id is not null"), target, "run 4")
+    sources.append_cases(rows, target, "run 0")
+    Log(spark, target).vacuum(0)
+    taken = sources.read_cases(spark, target).select("id", "case_id", "title", F.lit("stored").alias("result"))
+    return taken.unionByName(sources.read_rejected(spark, target).select("id", "case_id", "title", F.lit("rejected").alias("result")))
+
+
 def reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of the case table after it was filled, emptied, and filled with every third case."""
     cases, target = fx_cases(spark, sf_dir), scratch(spark, "cases")
@@ -460,7 +475,11 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.list_incoming(spark, sf_dir).select("file_name", "length")
+    """S1: the documents' texts are put into a folder for each language, as lines of text files, and the files listed."""
+    target = scratch(spark, "incoming")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(target)
+    listed = sources.list_incoming(spark, target, recursive=True).withColumn("lang", F.regexp_extract("path", "/lang=([^/]*)/", 1))
+    return listed.groupBy("lang").agg(F.sum("length").alias("n_bytes"), F.bool_and(F.col("file_name").endswith(".txt")).alias("all_texts"))
 
 
 def _ingested(spark: SparkSession, sf_dir: str, profile: ingest_plan.Profile) -> DataFrame:
@@ -484,7 +503,7 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     plain = (
         case_ids, supported_files, existing_skip, existing_stored, first_wins, append_new, ingest_report, ingest_observed, cap_text, year_date, display, map_points,
-        search_url, search_cases, search_many, status_filter, first_case, stats_server, stats_view, stats_empty, export_catalog, append_cases, reset, seed,
+        search_url, search_cases, search_many, status_filter, first_case, stats_server, stats_view, stats_empty, export_catalog, append_cases, append_compacted, reset, seed,
         llm_requests, llm_answers, llm_fallback, geotag, repair_fixed, repair_table, repair_many, vector_upsert, vector_store, vector_check, vector_topk, vector_knn, vector_index_knn,
         vector_hits, links, media_links, new_downloads, fetch_status, crawl_report, frames_sampled, frame_report, telemetry, route_tasks,
         stream_ingest, stream_dedupe, list_incoming, ingest_stats,

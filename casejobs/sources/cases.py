@@ -15,13 +15,13 @@ from .commits import Log, touched
 _LISTING = "path string, file_name string, length bigint, modificationTime timestamp"
 
 
-def list_incoming(spark: SparkSession, folder: str) -> DataFrame:
-    """Files directly in a folder, without their contents; a missing folder is empty.
+def list_incoming(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """Files directly in a folder, or in it and all folders below, without their contents; a missing folder is empty.
 
     Spark leaves out names that start with ``_`` or ``.`` and files without content.
     """
     try:
-        files = spark.read.format("binaryFile").load(folder)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -88,6 +88,11 @@ def reset_cases(spark: SparkSession, target: str) -> None:
     Log(spark, target).update(uuid.uuid4().hex, lambda _: ({}, True))
 
 
+def compact_cases(spark: SparkSession, target: str, run: str | None = None) -> bool:
+    """Puts small files of the stored cases together by ranges of the id, so that later runs read fewer of them."""
+    return Log(spark, target).compact("cases", CASE_SCHEMA, "case_id", run)
+
+
 def seed_cases(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, c, title, date, place, lat, lon, C.UNRESOLVED, snippet, text, C.PORTAL) for i, (c, title, date, place, lat, lon, snippet, text) in enumerate(C.SEED_CASES)]
     return spark.createDataFrame(rows, CASE_SCHEMA)

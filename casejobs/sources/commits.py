@@ -5,11 +5,15 @@ adds to each table, and those that it takes away; files that no commit names are
 rename to a name that must not be there yet: a run that fails before leaves nothing visible, the tables of one commit
 appear together, and of several writers one is first while the others look again. The driver holds the names and key ranges
 of the files, never their rows; the files' filters are tables beside the data and are looked through by Spark.
+
+A commit that takes all earlier files away names all that stay and all earlier runs: readers start from the last such one.
+``compact`` makes it and puts small files together by ranges of the key; ``vacuum`` deletes files that no commit needs.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,17 +32,27 @@ _SHIFTS = (0, 20, 40)
 MAX_LOOKED_UP = 100_000
 #: How often a writer that was not first looks again.
 MAX_TRIES = 50
+#: Rows of a file that compaction makes, about; files with less than half of them are put together.
+FULL_ROWS = 1_000_000
+#: Files of lost tries and dropped commits stay for so many seconds, since a reader or writer may be at work with them.
+KEPT_SECONDS = 7 * 86_400
 
 
 @dataclass
 class DataFile:
-    """A data file, the least and greatest of its keys, and the folder of the table that has its filter; without these it may
-    hold any key."""
+    """A data file, the least and greatest of its keys, the folder of the table that has its filter, and its number of rows;
+    without the first three it may hold any key."""
 
     path: str
     low: str | None = None
     high: str | None = None
     filters: str | None = None
+    rows: int | None = None
+
+
+def next_number(commits: list[dict]) -> int:
+    """The number of the commit that comes after these."""
+    return commits[-1]["number"] + 1 if commits else 1
 
 
 class Log:
@@ -54,12 +68,17 @@ class Log:
         self._no_options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
 
     def commits(self) -> list[dict]:
-        """All commits in order."""
-        folder = self._path(f"{self.folder}/_commits")
-        if not self._fs.exists(folder):
-            return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        return [json.loads(self._read(f"{self.folder}/_commits/{name}")) for name in names]
+        """The commits in order, from the last on that names all files and runs before it; earlier ones are not read."""
+        found: list[dict] = []
+        for name in sorted(self._names("_commits", ".json"), reverse=True):
+            found.append(json.loads(self._read(f"{self.folder}/_commits/{name}")) | {"number": int(name.removesuffix(".json"))})
+            if "runs" in found[-1]:
+                break
+        return found[::-1]
+
+    def _names(self, folder: str, end: str = "") -> list[str]:
+        path = self._path(f"{self.folder}/{folder}" if folder else self.folder)
+        return [n for s in (self._fs.listStatus(path) if self._fs.exists(path) else ()) if (n := s.getPath().getName()).endswith(end)]
 
     def _read(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
@@ -105,11 +124,13 @@ class Log:
         if ranges:
             blocks = self.spark.createDataFrame([(r.file, -(-r.n * BITS_A_KEY // BLOCK_BITS)) for r in ranges], "file string, blocks int")
             _filters(written, blocks).withColumn("file", F.concat(F.lit(f"{name}/"), "file")).write.parquet(f"{self.folder}/{filters}")
-        return [DataFile(f"{name}/{r.file}", r.low, r.high, filters) for r in sorted(ranges)]
+        return [DataFile(f"{name}/{r.file}", r.low, r.high, filters, r.n) for r in sorted(ranges)]
 
-    def commit(self, number: int, run: str, files: dict[str, list[DataFile]], drops: bool = False) -> bool:
-        """Makes the commit with this number, unless another writer has made it. ``drops``: all earlier files go."""
-        body = {"run": run, "files": {t: [vars(f) for f in own] for t, own in files.items()}, "drops": drops}
+    def commit(self, number: int, run: str, files: dict[str, list[DataFile]], drops: list[str] | None = None) -> bool:
+        """Makes the commit with this number, unless another writer has made it. ``drops``: all earlier files go, and these
+        are all earlier runs, so nothing before this commit needs to be read."""
+        body = {"run": run, "files": {t: [vars(f) for f in own] for t, own in files.items()}, "drops": drops is not None}
+        body |= {} if drops is None else {"runs": drops}
         folder = self._path(f"{self.folder}/_commits")
         self._fs.mkdirs(folder)
         draft = self._path(f"{self.folder}/_commits/.{uuid.uuid4().hex}")
@@ -133,13 +154,59 @@ class Log:
         """
         for _ in range(MAX_TRIES):
             commits = self.commits()
-            if any(c["run"] == run for c in commits):
+            runs = [r for c in commits for r in (*c.get("runs", ()), c["run"])]
+            if run in runs:
                 return False
             files, drops = make(commits)
-            if self.commit(len(commits) + 1, run, files, drops):
+            if self.commit(next_number(commits), run, files, runs if drops else None):
                 return True
         raise RuntimeError(f"other writers were first {MAX_TRIES} times")
 
+    def compact(self, table: str, schema: str | StructType, key: str, run: str | None = None) -> bool:
+        """Puts the table's small files together, sorted by ranges of the key, in one commit; says whether there were any.
+
+        Large files, and the other tables, stay as they are, so a row is written again only while its file is small. The new
+        files' ranges do not overlap. A writer that commits meanwhile is first, and this looks again.
+        """
+
+        def small(commits: list[dict]) -> list[DataFile]:
+            return [f for f in self.files(table, commits) if f.rows is None or f.rows < FULL_ROWS // 2]
+
+        def make(commits: list[dict]) -> tuple[dict[str, list[DataFile]], bool]:
+            merged = small(commits)
+            rows = self.read(table, schema, merged)
+            n = sum(f.rows for f in merged) if all(f.rows is not None for f in merged) else rows.count()
+            made = self.write(rows.repartitionByRange(-(-n // FULL_ROWS) or 1, key).sortWithinPartitions(key), key)
+            paths = {f.path for f in merged}
+            stay = {t: self.files(t, commits) for t in dict.fromkeys(t for c in commits for t in c["files"])}
+            return stay | {table: [f for f in stay[table] if f.path not in paths] + made}, True
+
+        return len(small(self.commits())) > 1 and self.update(run or uuid.uuid4().hex, make)
+
+    def vacuum(self, kept_seconds: float = KEPT_SECONDS) -> int:
+        """Deletes data and filter folders that nothing in the table needs and that are older; says how many.
+
+        The age keeps files that a reader still reads or a writer is about to commit. Commits stay: a slow writer must not
+        find its number free.
+        """
+        # listed before the commits are read: a folder committed in between is needed by what is read then
+        found = [n for n in self._names("") if n.startswith(("data-", "filters-"))]
+        commits = self.commits()
+        files = [f for t in {t for c in commits for t in c["files"]} for f in self.files(t, commits)]
+        needed = {f.path.split("/")[0] for f in files} | {f.filters for f in files}
+        gone = [n for n in found if n not in needed and self._last_change(n) <= (time.time() - kept_seconds) * 1000]
+        for name in gone:
+            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+        return len(gone)
+
+    def _last_change(self, name: str) -> float:
+        """When a file below the folder was last written, in milliseconds; folders themselves have no time in some stores. A
+        folder without files may have a writer that begins: it counts as new."""
+        files, times = self._fs.listFiles(self._path(f"{self.folder}/{name}"), True), []
+        while files.hasNext():
+            times.append(files.next().getModificationTime())
+        return max(times, default=float("inf"))
+
 
 def _hashes(key: Column) -> list[Column]:
     """What tells a key's block, and its positions there."""

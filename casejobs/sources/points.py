@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vectors import latest_per_id
-from .commits import Log
+from .commits import Log, next_number
 
 #: ``turn`` is the commit that wrote a row: of writes with one seq the later commit counts.
 SCHEMA = "id bigint, vector array<float>, payload map<string,string>, seq bigint, turn bigint"
@@ -24,14 +24,14 @@ def _sorted(points: DataFrame) -> DataFrame:
 def write_points(points: DataFrame, target: str, run: str | None = None) -> bool:
     """Makes the table anew: the latest of each id as a base sorted by id."""
     log = Log(points.sparkSession, target)
-    rows = lambda commits: latest_per_id(points).select(*_COLUMNS, F.lit(len(commits) + 1).cast("bigint").alias("turn"))
+    rows = lambda commits: latest_per_id(points).select(*_COLUMNS, F.lit(next_number(commits)).cast("bigint").alias("turn"))
     return log.update(run or uuid.uuid4().hex, lambda commits: ({"base": log.write(_sorted(rows(commits)))}, True))
 
 
 def upsert(updates: DataFrame, target: str, run: str | None = None) -> bool:
     """Adds updates as a delta; no row of the base or of earlier deltas is read or written."""
     log = Log(updates.sparkSession, target)
-    rows = lambda commits: latest_per_id(updates).select(*_COLUMNS, F.lit(len(commits) + 1).cast("bigint").alias("turn"))
+    rows = lambda commits: latest_per_id(updates).select(*_COLUMNS, F.lit(next_number(commits)).cast("bigint").alias("turn"))
     return log.update(run or uuid.uuid4().hex, lambda commits: ({"delta": log.write(rows(commits))}, False))
 
 
@@ -60,7 +60,7 @@ def compact(spark: SparkSession, target: str, run: str | None = None) -> bool:
     log = Log(spark, target)
 
     def make(commits: list[dict]) -> tuple[dict, bool]:
-        rows = _merged(log, commits).withColumn("turn", F.lit(len(commits) + 1).cast("bigint"))
+        rows = _merged(log, commits).withColumn("turn", F.lit(next_number(commits)).cast("bigint"))
         return {"base": log.write(_sorted(rows))}, True
 
     return log.update(run or uuid.uuid4().hex, make)

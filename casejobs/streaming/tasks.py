@@ -46,6 +46,11 @@ def read_store(spark: SparkSession, target: str) -> DataFrame:
     return Log(spark, target).read(_TABLE, STORED_SCHEMA)
 
 
+def compact_store(spark: SparkSession, target: str, run: str | None = None) -> bool:
+    """Puts small files of the stored tasks together by ranges of the case; a stream that stores meanwhile goes on."""
+    return Log(spark, target).compact(_TABLE, STORED_SCHEMA, "case_id", run)
+
+
 def ingest_stream(tasks: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Stores each case once, also if several queries, each with its own checkpoint, write to one target. A batch that
     is done again after a failure has the name that it had before."""

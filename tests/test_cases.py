@@ -211,6 +211,8 @@ def test_listing(spark, tmp_path):
     for name in ("a b.pdf", "c%20d.txt", "sub/e.pdf"):
         (tmp_path / name).write_text("x")
     assert sorted(r.file_name for r in sources.list_incoming(spark, str(tmp_path)).collect()) == ["a b.pdf", "c%20d.txt"]
+    below = {r.file_name for r in sources.list_incoming(spark, str(tmp_path), recursive=True).collect()}
+    assert below == {"a b.pdf", "c%20d.txt"} | {f.name for f in tmp_path.glob("*/*") if f.stat().st_size}
     assert sources.list_incoming(spark, str(tmp_path / "none")).count() == 0
 
 

@@ -151,6 +151,74 @@ def test_points_are_merged_on_read(spark, tmp_path):
     assert points.read_points(spark, target).where("id = 1").first().payload == {"n": "last"}
 
 
+def test_small_files_are_put_together(spark, tmp_path, files_read, monkeypatch):
+    """The same rows after compactions between batches; large files are not written again, earlier commits not read."""
+    target, rng = str(tmp_path / "store"), random.Random(7)
+    monkeypatch.setattr(commits, "FULL_ROWS", 250)
+    log, numbers = commits.Log(spark, target), list(range(600))
+    rng.shuffle(numbers)
+    for i in range(6):
+        tasks.store_batch(batch(spark, numbers[100 * i : 100 * i + 100]), target, f"batch {i}")
+        if i in (2, 5):
+            before = {f.path for f in log.files("tasks")}
+            assert tasks.compact_store(spark, target, f"compaction {i}")
+            large = {f.path for f in log.files("tasks")} & before
+            assert bool(large) == (i == 5)  # what the first compaction made stays
+        want = sorted((f"c{n:05d}", f"u{n}") for n in numbers[: 100 * i + 100])
+        assert stored(spark, target) == want
+    files = log.files("tasks")
+    assert len(files) == 4 and sum(f.rows for f in files) == 600 and all(f.filters for f in files)
+    assert len(log.commits()) == 1 and log.commits()[0]["number"] == 8  # the last compaction tells all
+    assert not tasks.store_batch(batch(spark, range(700, 800)), target, "batch 1")  # its run is still known
+    made = sorted((f for f in files if f.path not in large), key=lambda f: f.low)
+    assert all(a.high < b.low for a, b in zip(made, made[1:]))
+    assert tasks.store_batch(batch(spark, [3, 1000]), target) and files_read[-1][0] < files_read[-1][1]
+    assert stored(spark, target) == sorted([*want, ("c01000", "u1000")])
+
+
+def test_compaction_and_another_writer(spark, tmp_path, monkeypatch):
+    """Tasks that are stored while a compaction has made its files are not lost."""
+    target = str(tmp_path / "store")
+    for i in range(2):
+        tasks.store_batch(batch(spark, range(40 * i, 40 * i + 40)), target)
+    real, meets = commits.Log.commit, []
+
+    def slow(self, number, run, *rest):
+        if run == "compaction" and not meets:
+            meets.append(tasks.store_batch(batch(spark, range(60, 120)), target))
+        return real(self, number, run, *rest)
+
+    monkeypatch.setattr(commits.Log, "commit", slow)
+    assert tasks.compact_store(spark, target, "compaction") and meets == [True]
+    assert [r[0] for r in stored(spark, target)] == [f"c{i:05d}" for i in range(120)]
+    assert not tasks.compact_store(spark, target)  # one file is left
+
+
+def test_cases_and_rejected_rows_after_compaction_and_vacuum(spark, tmp_path):
+    target = str(tmp_path / "cases")
+    cases = spark.createDataFrame([(i, f"c{i}" if i % 4 else None, *[None] * 9) for i in range(40)], CASE_SCHEMA)
+    cases.where("id < 10").write.parquet(target)  # made without commits
+    for low in (10, 20):
+        sources.append_cases(cases.where(F.col("id").between(low, low + 9)), target)
+    log = commits.Log(spark, target)
+    folders = lambda: {p.name for p in (tmp_path / "cases").iterdir() if p.is_dir() and p.name != "_commits"}
+    rejected = sorted(f.path for f in log.files("rejected"))
+    assert log.vacuum(0) == 0 and log.vacuum() == 0
+    before = folders()
+    assert sources.compact_cases(spark, target) and log.vacuum() == 0 and before < folders()  # too young to go
+    lost = log.write(cases.limit(3), "case_id")  # of a try that is never committed
+    assert log.vacuum(0) >= 4 and not folders() & {lost[0].path.split("/")[0], lost[0].filters}
+    assert rejected == sorted(f.path for f in log.files("rejected"))
+    assert [f.rows for f in log.files("cases")] == [25]
+    assert sorted(r.id for r in sources.read_cases(spark, target).collect()) == [i for i in range(30) if i < 10 or i % 4]
+    assert sorted(r.id for r in sources.read_rejected(spark, target).collect()) == [i for i in range(10, 30) if not i % 4]
+    sources.reset_cases(spark, target)
+    log.vacuum(0)
+    assert not folders() and sources.read_cases(spark, target).count() == 0
+    sources.append_cases(cases, target)
+    assert sources.read_cases(spark, target).count() == 30 and log.commits()[-1]["number"] == 5
+
+
 def drained(spark, source, target, state, bound):
     schema = "source_url string, case_id string, enqueued_at timestamp"
     passed = dedupe.dedupe_stream(spark.readStream.schema(schema).parquet(source), bound)
