@@ -503,6 +503,46 @@ def test_quality_rules_with_few_trusted(spark, n):
     assert set(range(n)) <= kept and (n or len(kept) == 21)
 
 
+@pytest.fixture(scope="module")
+def many_trusted(spark):
+    """(doc_id, text, quality) of 21,000 trusted documents and some others; the last thousand by a hash of the id, and three of the
+    others, are of a language of their own."""
+    rng = random.Random(6)
+    n, words = 21_000, {x: [f"{x}{i}" for i in range(9)] for x in "ab"}
+    place = F.xxhash64("id", F.lit(17))
+    late = {r.id for r in spark.range(n).orderBy(place.desc(), F.col("id").desc()).limit(1000).collect()} | {n, n + 1, n + 2}
+    return [(i, " ".join(rng.choices(words["b" if i in late else "a"], k=60)), 1 if i < n else None) for i in range(n + 6)]
+
+
+def test_quality_rules_with_many_trusted(spark, many_trusted):
+    """All trusted documents form the target and the threshold, however many they are."""
+    docs = spark.createDataFrame([x[:2] for x in many_trusted], "doc_id bigint, text string").repartition(8, "doc_id")
+    labels = spark.createDataFrame([x[::2] for x in many_trusted], "doc_id bigint, quality int")
+    got = quality_rules.quality_rules(docs, labels).collect()
+    brute_ratios(got, {x[0]: x[1] for x in many_trusted}, {x[0]: x[2] for x in many_trusted})
+    assert {r.doc_id for r in got if not r.base_failed} == {r.doc_id for r in got if r.kept} > {21_000, 21_003}
+
+
+def test_few_texts_move(spark):
+    """What surely is not trusted is left out before rows and ids meet; repeated and null ids, too."""
+    docs = spark.createDataFrame([(i, "x") for i in range(4000)] + [(7, "y"), (None, "z")], "doc_id bigint, text string")
+    trusted = quality_rules.trusted_ids(spark.createDataFrame([(i, 1) for i in range(0, 400, 7)] + [(None, 1), (14, 0)], "doc_id bigint, quality int"))
+    some = quality_rules.may_be_trusted(docs, trusted, trusted.count())
+    found = quality_rules._of_trusted(some, trusted)
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == sorted([(i, "x") for i in range(0, 400, 7) if i != 14] + [(7, "y")])
+    assert some.count() < 1000
+    assert "LeftSemi" in next(x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x)
+
+
+def test_quantile_is_exact(spark):
+    rng = random.Random(8)
+    for values in ([0.5], [2.0, -1.0], [1.0] * 9 + [3.0], [rng.gauss(0, 1) for _ in range(3000)], [1e-300 * i for i in range(40)] + [1e9, -1e9], [rng.choice([-2.0, 0.1, 0.1 + 2**-56]) for _ in range(500)]):
+        rows = spark.createDataFrame([(x,) for x in values], "x double")
+        for q in (0.0, 0.005, 0.5, 0.77, 1.0):
+            assert abs(quality_rules.quantile(rows, "x", q) - np.quantile(values, q)) <= 1e-12 * max(1, abs(np.quantile(values, q)))
+    assert quality_rules.quantile(rows.limit(0), "x", 0.5) is None
+
+
 def test_words_are_told_apart():
     """Words whose polynomial hashes modulo 2**64 are equal for any base have different hashes here."""
     a, b = "a", "b"
