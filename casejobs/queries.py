@@ -72,8 +72,12 @@ def fx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FILES_SQL, documents=table(spark, sf_dir, "documents"))
 
 
-def fx_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CASES_SQL, documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
+def fx_cases(spark: SparkSession, sf_dir: str, *hints: str) -> DataFrame:
+    """``hints``: how the labels are joined; else Spark decides."""
+    labels = table(spark, sf_dir, "labels")
+    for hint in hints:
+        labels = labels.hint(hint)
+    return spark.sql(CASES_SQL, documents=table(spark, sf_dir, "documents"), labels=labels)
 
 
 def fx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,8 +225,8 @@ def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog_rows(fx_cases(spark, sf_dir))
 
 
-def _raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx_cases(spark, sf_dir).drop("id").withColumnRenamed("case_id", "id")
+def _raw_catalog(spark: SparkSession, sf_dir: str, *hints: str) -> DataFrame:
+    return fx_cases(spark, sf_dir, *hints).drop("id").withColumnRenamed("case_id", "id")
 
 
 def display(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +248,7 @@ def search_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that grow with the table, looked up in an index: parts of ids, and short, empty and unknown ones."""
     target = scratch(spark, "search")
-    search_index.write_index(_raw_catalog(spark, sf_dir), target)
+    search_index.write_index(_raw_catalog(spark, sf_dir, "merge"), target)  # few columns move, and no labels to the driver
     docs = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.concat(F.lit("p-"), F.col("doc_id").cast("string")).alias("term"))
     more = spark.createDataFrame([("sRc1",), ("_d1",), ("zz",), ("",), ("no such term",), ("7_",)], "term string")
     found = search_index.search_many(spark, target, docs.unionByName(more))

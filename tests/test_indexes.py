@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from casejobs import queries
 from casejobs.operators import catalog, search_index, vector_index, vectors
 
 
@@ -35,6 +36,50 @@ def test_a_thousand_terms(spark, tmp_path):
     assert search_index.search_many(spark, str(tmp_path / "none"), spark.createDataFrame([("a",), ("abc",), ("",)], "term string")).count() == 0
 
 
+def plan_nodes(node):
+    """All nodes of a plan that has run."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        yield from plan_nodes(node.executedPlan())
+    elif kind.endswith("QueryStageExec"):
+        yield from plan_nodes(node.plan())
+    else:
+        yield node
+        for i in range(node.children().size()):
+            yield from plan_nodes(node.children().apply(i))
+
+
+@pytest.mark.parametrize("few", [0, 60])
+def test_terms_that_grow_with_the_table(spark, tmp_path, monkeypatch, few):
+    """Neither are the rows copied to all tasks, however small their files are, nor do rows meet each term that they share a stretch with."""
+    monkeypatch.setattr(search_index, "FEW", few, raising=False)
+    n = 3000
+    rows = [(f"UAP-{i}", f"spis: 059UAP{i}.pdf" if i % 3 else None, f"Loc src{i % 20}") for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, title string, location string")
+    terms = [f"p-{i}" for i in range(0, n, 7)] + ["P-7", "sRc1", "pdf", "UAP-2999", "00", "0", "", "p-x", "no such term"]
+    search_index.write_index(df, str(tmp_path / "index"))
+    got = search_index.search_many(spark, str(tmp_path / "index"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    low = [[c.lower() for c in r if c] for r in rows]
+    want = [(t, *r) for t in set(terms) for r, own in zip(rows, low) if any(t.lower() in c for c in own)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    made = [(x.nodeName(), x.metrics().get("numOutputRows").get().value()) for x in plan_nodes(got._jdf.queryExecution().executedPlan()) if x.metrics().contains("numOutputRows")]
+    assert max(rows for name, rows in made if name == "BroadcastExchange") <= max(few, 1), made
+    assert max(rows for name, rows in made if "Join" in name) <= 8 * n, made
+
+
+def test_searched_rows_meet_the_labels_by_a_shuffle(spark, data, monkeypatch):
+    plans = []
+    real = search_index.write_index
+
+    def planned(df, target):
+        plans.append(df.select(*search_index.SEARCHED)._jdf.queryExecution().executedPlan().toString())
+        real(df, target)
+
+    monkeypatch.setattr(search_index, "write_index", planned)
+    queries.search_many(spark, data)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 @pytest.fixture
 def compared(monkeypatch):
     """Pairs of a query and a point that were compared."""
